@@ -82,7 +82,8 @@ def ngram_weights(documents: DataFrame, targets: DataFrame, id_col: str, text_co
     Only two sums per bucket come to the driver: ``buckets`` rows whatever the corpus.
     """
     trusted = targets.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().withColumn("__target", F.lit(1))
-    rows = documents.join(trusted, F.col(id_col) == F.col("__id"), "left")
+    # a shuffle at every size: a list of ids has no bound that a broadcast could rely on
+    rows = documents.join(trusted.hint("merge"), F.col(id_col) == F.col("__id"), "left")
     rows = rows.select(F.coalesce("__target", F.lit(0)).alias("target"), F.explode(ngram_buckets(F.col(text_col), buckets)).alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target"))
     got = counts.collect()

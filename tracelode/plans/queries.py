@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import text as X
 from ..operators import evaluate, graph, group, ledger, match, normalize, retrieve, search, traces, views
-from ..sources import otlp
+from ..sources import otlp, readers
 from . import adapters as A
 from .sqlgate import query_unlimited
 
@@ -545,6 +545,106 @@ def chain_first_hash(spark, sf_dir):
     chained = ledger.chain_rows(rows, "source_id", "id", "raw")
     return chained.groupBy("source_id").agg(F.min_by("record_hash", "id").alias("first_hash"))
 
+# Operators of the batch path
+
+
+@_register(f"WITH {_PAIRS_SQL} SELECT pr.a, pr.b, round(coalesce(sum(CASE WHEN y.term IS NOT NULL THEN ln(((SELECT count(*) FROM benchmark) + 1) / (df + 1)) + 1 END), 0), 6)::DOUBLE AS idf_shared FROM pr LEFT JOIN tf x ON x.id = pr.a LEFT JOIN tf y ON y.id = pr.b AND y.term = x.term LEFT JOIN df ON df.term = x.term GROUP BY 1, 2")
+def idf_shared(spark, sf_dir):
+    docs, pairs = _pairs(spark, sf_dir)
+    uses = docs.select("id", F.explode("ts").alias("term")).distinct()
+    return match.idf_shared(pairs, uses, match.idf_table(docs, "id", "ts"), "id", "term")
+
+
+@_register(f"WITH {_JOBS}, d AS (SELECT n, count(*) AS d FROM (SELECT 'c' || a AS n FROM jb UNION ALL SELECT 'o' || (seq % 50) FROM jb) GROUP BY 1) SELECT seq, round(estimate / sqrt(x.d * y.d), 6)::DOUBLE AS priority FROM jb JOIN d x ON x.n = 'c' || a JOIN d y ON y.n = 'o' || (seq % 50)")
+def degree_priority(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir).select("seq", F.concat(F.lit("c"), "a").alias("a"), F.concat(F.lit("o"), F.col("seq") % 50).alias("b"), "estimate")
+    return match.degree_priority(jobs).select("seq", "priority")
+
+
+@_register("""WITH e AS (SELECT o_orderkey, 'c' || o_custkey AS src_id, 's' || (o_orderkey % 100) AS dst_id FROM orders), t AS (SELECT 'c' || c_custkey AS node_id FROM customer WHERE c_acctbal < 0 UNION SELECT 's7')
+SELECT DISTINCT * FROM e WHERE src_id IN (SELECT node_id FROM t) OR dst_id IN (SELECT node_id FROM t)""")
+def incident_events(spark, sf_dir):
+    e = A.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("src_id"), F.concat(F.lit("s"), F.col("o_orderkey") % 100).alias("dst_id"))
+    truth = A.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey").alias("node_id")).union(spark.createDataFrame([("s7",)], "node_id string"))
+    return readers.incident_events(e, truth)
+
+
+@_register("""SELECT o_orderkey, 'c' || o_custkey AS src_id, 's' || (o_orderkey % 200) AS dst_id, CASE WHEN c_custkey IS NULL THEN NULL ELSE 'customer' END AS src_type, coalesce(c_name, 'c' || o_custkey) AS src_name,
+CASE WHEN s_suppkey IS NULL THEN NULL ELSE 'supplier' END AS dst_type, coalesce(s_name, 's' || (o_orderkey % 200)) AS dst_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN supplier ON s_suppkey = o_orderkey % 200""")
+def edge_nodes(spark, sf_dir):
+    e = A.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("src_id"), F.concat(F.lit("s"), F.col("o_orderkey") % 200).alias("dst_id"))
+    c = A.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node_id"), F.lit("customer").alias("node_type"), F.col("c_name").alias("name"))
+    s = A.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.lit("supplier").alias("node_type"), F.col("s_name").alias("name"))
+    return readers.load_edges(e, c.union(s))
+
+
+@_register("""WITH r AS (SELECT CASE WHEN contains(source, '1') THEN 'sf' ELSE source END AS actor, doc_id AS session_id, text AS command, doc_id AS ts FROM documents WHERE source <> 'src2'),
+k AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY session_id) AS rk FROM r WHERE len(string_split_regex(trim(command, ' '), '\\s+')) <= 256) SELECT actor, session_id, 0::BIGINT AS seq FROM k WHERE actor <> 'sf' OR rk <= 20""")
+def load_corpus(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").select(F.col("source").alias("actor"), F.col("doc_id").alias("session_id"), F.col("text").alias("command"), F.col("doc_id").alias("ts"))
+    return readers.load_corpus(d, 256, "sf", ("1",), 20, "src2").select("actor", "session_id", "seq")
+
+
+@_register(f"""WITH {_SCORED}, t AS (SELECT DISTINCT p AS threshold FROM sc), a AS (SELECT threshold, count(*) FILTER (WHERE (p >= threshold) = (y = 1)) / count(*) AS accuracy FROM t, sc GROUP BY 1) SELECT threshold, accuracy::DOUBLE AS accuracy FROM a ORDER BY accuracy DESC, threshold LIMIT 1""")
+def best_threshold(spark, sf_dir):
+    return match.best_threshold(_scored(spark, sf_dir), "p", "y")
+
+
+@_register(f"""WITH {_LINKS}, n AS (SELECT g, count(*) AS n FROM lk GROUP BY 1), i AS (SELECT g AS group_id, 'x' || (t % 50) AS trace_id, list_sort(list(p), 'DESC') AS ps FROM lk GROUP BY 1, 2),
+j AS (SELECT trace_id, group_id, round(list_sum(ps[1:3]) / least(3, n), 6)::DOUBLE AS strength FROM i JOIN n ON g = group_id), k AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY strength DESC, group_id) AS rk FROM j WHERE strength >= 0.5)
+SELECT trace_id, group_id, strength FROM k WHERE rk <= 3""")
+def batch_assign(spark, sf_dir):
+    m = _members(spark, sf_dir).withColumn("member", F.concat_ws("/", "group_id", "trace_id"))
+    links = m.select(F.concat(F.lit("x"), F.col("trace_id") % 50).alias("a"), F.col("member").alias("b"), F.col("strength").alias("p"))
+    return group.batch_assign(links, m.select(F.col("member").alias("trace_id"), "group_id"))
+
+
+@_register(f"""WITH {_LINKS}, i AS (SELECT g AS group_id, t % 50 AS trace_id, count(*)::BIGINT AS n_links, list_sort(list(p), 'DESC') AS ps FROM lk GROUP BY 1, 2) SELECT group_id, trace_id, round(list_sum(ps[1:3]) / least(3, len(ps)), 6)::DOUBLE AS strength, n_links FROM i""")
+def membership_strength(spark, sf_dir):
+    m = _members(spark, sf_dir)
+    links = m.select((F.col("trace_id") % 50).alias("a"), F.concat_ws("/", "group_id", "trace_id").alias("b"), F.col("strength").alias("p"))
+    members = m.select(F.concat_ws("/", "group_id", "trace_id").alias("trace_id"), "group_id")
+    return group.membership_strength(links, members).select("group_id", "trace_id", "strength", "n_links")
+
+
+@_register(f"""WITH {_SK}, q AS (SELECT x.id AS a, y.id AS b, round((count(*) FILTER (WHERE x.m = y.m)) / 16.0, 6)::DOUBLE AS similarity FROM h x JOIN h y ON x.s = y.s AND x.id <> y.id GROUP BY 1, 2),
+k AS (SELECT id, s // 2 AS band, string_agg(m, ':' ORDER BY s) AS key FROM h GROUP BY 1, 2), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id <> y.id),
+u AS (SELECT id, unnest(ws) AS w FROM it), f AS (SELECT w FROM u GROUP BY 1 HAVING count(*) BETWEEN 2 AND 3), i AS (SELECT DISTINCT x.id AS a, y.id AS b FROM u x JOIN u y ON x.w = y.w AND x.id <> y.id SEMI JOIN f ON f.w = x.w),
+r AS (SELECT q.*, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM q JOIN (SELECT * FROM c UNION SELECT * FROM i) z USING (a, b)) SELECT a, b, similarity, rank::BIGINT AS rank FROM r WHERE rank <= 50""")
+def retrieval_index(spark, sf_dir):
+    s = _sketches(spark, sf_dir)
+    uses = s.select("id", F.explode("ws").alias("w"))
+    rare = uses.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 3").select("w")
+    return retrieve.retrieval_index(s.select("id", "sketch"), uses.join(rare, "w"), "id", "w", 8, 2)
+
+
+@_register("""SELECT n_regionkey::BIGINT AS seq, n_nationkey::BIGINT AS id, string_agg(n_name, ' ') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING) AS path FROM nation""")
+def running_path(spark, sf_dir):
+    n = A.table(spark, sf_dir, "nation")
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey").rowsBetween(Window.unboundedPreceding, 0)
+    return n.select(F.col("n_regionkey").cast("long").alias("seq"), F.col("n_nationkey").cast("long").alias("id"), F.array_join(F.collect_list("n_name").over(w), " ").alias("path"))
+
+
+@_register(f"""WITH {_EVENTS} SELECT source_id AS key, id, row_number() OVER (PARTITION BY source_id ORDER BY us DESC, id) - 1 AS age FROM ev QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY us DESC, id) <= 20""")
+def newest_per_source(spark, sf_dir):
+    w = Window.partitionBy("source_id").orderBy(F.col("us").desc(), "id")
+    e = A.events(spark, sf_dir).withColumn("age", (F.row_number().over(w) - 1).cast("long"))
+    return e.where("age < 20").select(F.col("source_id").alias("key"), "id", "age")
+
+
+@_register(f"""WITH {_EVENTS} SELECT id, (us * 1000)::BIGINT AS nanos FROM ev""")
+def nanos(spark, sf_dir):
+    e = A.events(spark, sf_dir)
+    given = F.when(F.col("id") % 2 == 0, (F.col("us") * 1000).cast("string")).otherwise(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+    return e.select("id", readers.to_nanos(given).alias("nanos"))
+
+
+@_register(f"""WITH {_EVENTS}, s AS (SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY id) AS n, CASE WHEN id % 50 = 0 THEN id * 10 END AS ex FROM ev),
+b AS (SELECT *, last_value(ex - n IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS base FROM s) SELECT source_id, id, (n + coalesce(base, -1))::BIGINT AS source_seq FROM b""")
+def stamp_sequence(spark, sf_dir):
+    e = A.events(spark, sf_dir).select("source_id", F.col("id").alias("position"), F.when(F.col("id") % 50 == 0, F.col("id") * 10).alias("explicit_seq"))
+    return readers.stamp_sequence(e).select("source_id", F.col("position").alias("id"), "source_seq")
+
 
 # The SQL surface, on the star tables
 

@@ -132,12 +132,12 @@ def fit_pair_model(pairs: DataFrame, features=FEATURES, label: str = "label", se
     rows = rows.withColumn("held", held)
     fitted_on = rows if n < 12 or fewest < 2 else rows.where(~F.col("held"))
     lr = LogisticRegression(labelCol=label, regParam=1 / (c * max(1, fitted_on.count())), standardization=False, maxIter=200).fit(fitted_on)
-    margin = lambda df: lr.transform(df).withColumn("margin", vector_to_array("rawPrediction")[1])
+    margin = lambda df: lr.transform(df).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("prediction")
     iso = IsotonicRegression(labelCol=label, featuresCol="margin").fit(margin(rows.where("held")))
 
     def score(df: DataFrame) -> DataFrame:
         out = margin(VectorAssembler(inputCols=list(features), outputCol="features").transform(df))
-        out = iso.transform(out.drop("prediction")).withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))))
+        out = iso.transform(out).withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))))
         return out.drop("features", "rawPrediction", "probability", "prediction")
 
     return lr, iso, score

@@ -43,10 +43,14 @@ def merge_maps(*maps: Column) -> Column:
     """Maps laid over each other, later ones winning."""
     out = maps[0]
     for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, v, m=m: ~F.map_contains_key(m, k)), m)
+        out = _over(out, m)
     return out
 
 
+def _over(below: Column, above: Column) -> Column:
+    return F.map_concat(F.map_filter(below, lambda k, v: ~F.map_contains_key(above, k)), above)
+
+
 def nanos_to_timestamp(value: Column) -> Column:
     """Nanoseconds, as a number or text, to a time; ISO text passes."""
     return F.coalesce(F.timestamp_micros(F.floor(value.try_cast("decimal(20,0)") / 1000).cast("long")), F.try_to_timestamp(value))

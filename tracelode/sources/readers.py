@@ -59,10 +59,14 @@ def apply_aliases(record: Column, aliases: dict[str, str] | None = None) -> Colu
     kept = F.map_filter(record, lambda k, v: ~F.array_contains(names, k))
     for canonical, alias in aliases.items():
         add = F.when(F.try_element_at(record, F.lit(canonical)).isNull() & F.map_contains_key(record, alias), F.map_from_arrays(F.array(F.lit(canonical)), F.array(F.try_element_at(record, F.lit(alias)))))
-        kept = F.when(add.isNull(), kept).otherwise(F.map_concat(F.map_filter(kept, lambda k, v, c=canonical: k != c), add))
+        kept = F.when(add.isNull(), kept).otherwise(F.map_concat(_without(kept, canonical), add))
     return kept
 
 
+def _without(record: Column, name: str) -> Column:
+    return F.map_filter(record, lambda k, v: k != name)
+
+
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     rows = read_jsonl(spark, path, "edges")
     return rows.withColumn("record", apply_aliases(F.col("record")))

@@ -22,7 +22,9 @@ from .graph import connected_components
 SHINGLE_WORDS = 5
 POSITIONS, MOST_ERRORS = 64, 27
 #: Members that one task compares with each other; larger buckets are dealt out in pairs of blocks.
-BLOCK = 2048
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Neighbours that a member is first compared with, and rounds of that before all that is left is compared.
+NEAREST, ROUNDS = 2, 2
 _CHUNKS = np.array_split(np.arange(POSITIONS), (MOST_ERRORS + 1) // 2)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -185,6 +187,23 @@ def _within(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets that aren't empty."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _texts(nodes: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node, check, text`` of classes: texts under the representative's id, once each."""
+    reps = nodes.join(classes.select("node", "check", "rep"), "node")
+    rows = documents.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    return materialize(rows.join(reps, "rep").dropDuplicates(["node", "check", "text"]).select("node", "check", "text"), "texts")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Of ``a, b`` those with 100 * intersection >= percent * union on full sets.
 
@@ -192,9 +211,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_co
     tasks, its own text once to each. A task holds the set of one class and one other.
     """
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    reps = nodes.join(classes.select("node", "check", "rep"), "node")
-    rows = documents.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    texts = materialize(rows.join(reps, "rep").dropDuplicates(["node", "check", "text"]).select("node", "check", "text"), "texts")
+    texts = _texts(nodes, classes, documents, id_col, text_col)
     deals = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("deals"))
     second = pairs.join(deals, "a").select("a", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int").alias("deal"), F.col("b").alias("node"))
     first = deals.select("a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("a").alias("node"))
@@ -215,54 +232,120 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_co
                         hub, own, done = a[i], s, set()
                     elif hub == a[i] and node[i] not in done:
                         done.add(node[i])
-                        both = len(np.intersect1d(own, s, assume_unique=True))
-                        if 100 * both >= percent * (len(own) + len(s) - both):
+                        if similar(own, s, percent):
                             found.append((a[i], node[i]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], ["a", "b"])
 
     return met.repartition("a", "deal").sortWithinPartitions("a", "deal", "side", "node").mapInArrow(run, "a long, b long")
 
 
-def _between(members: DataFrame) -> DataFrame:
-    """Pairs of one key's members in different components, within the allowed errors, found block by block.
+def _tiles(members: DataFrame) -> DataFrame:
+    """Members of a key in pairs of blocks ``i, j``: a block holds about ``BLOCK`` members and ``BLOCK_SHINGLES``."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    rows = members.join(members.groupBy("key").agg(blocks.alias("blocks")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n", "blocks", "other")
 
-    ``members``: key, node, comp, sig. A key with many members becomes pairs of blocks of ``BLOCK``;
-    a task holds two blocks' signatures.
-    """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig")
-
-    def compare(key, node, comp, block, sig, same):
-        for at in range(0, len(node), 64):
-            a = slice(at, at + 64)
-            errors = (sig[a, None, :] != sig[None, :, :]).sum(axis=2)
-            ok = (errors <= MOST_ERRORS) & (comp[a, None] != comp[None, :]) & (node[a, None] < node[None, :])
-            if not same:
-                ok &= block[a, None] != block[None, :]
-            x, y = np.nonzero(ok)
-            yield node[a][x], node[y]
-
-    def run(batches):
-        held, at = [], None
 
-        def flush():
-            if len(held) > 1:
-                node, comp, block = (np.array([h[k] for h in held]) for k in (0, 1, 2))
-                sig = np.frombuffer(b"".join(h[3] for h in held), np.uint16).reshape(-1, POSITIONS)
-                for a, b in compare(at, node, comp, block, sig, at[1] == at[2]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _by_tile(rows: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """``work(tile, columns as lists)`` for each (key, i, j), whose rows stream in together; yields Arrow batches."""
 
+    def run(batches):
+        held, at = None, None
         for batch in batches:
-            for key, i, j, block, node, comp, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != at:
-                    yield from flush()
-                    held, at = [], (key, i, j)
-                held.append((node, comp, block, sig))
-        yield from flush()
+            for part in slices(batch, 1024):
+                lists = [part.column(c).to_pylist() for c in columns]
+                tiles = list(zip(*(part.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
+                for r, tile in enumerate(tiles):
+                    if tile != at:
+                        if held and len(held[0]) > 1:
+                            yield from work(at, held)
+                        held, at = [[] for _ in columns], tile
+                    for own, values in zip(held, lists, strict=True):
+                        own.append(values[r])
+        if held and len(held[0]) > 1:
+            yield from work(at, held)
+
+    rows = rows.select("key", "i", "j", *columns)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def _candidates(comp: np.ndarray, block: np.ndarray, sig: np.ndarray, same: bool):
+    """Rows 64 by 64: their first row, errors to all rows, and which pairs are in different components and within the errors."""
+    for at in range(0, len(comp), 64):
+        a = slice(at, at + 64)
+        errors = (sig[a, None, :] != sig[None, :, :]).sum(axis=2)
+        ok = (errors <= MOST_ERRORS) & (comp[a, None] != comp[None, :])
+        if not same:
+            ok &= block[a, None] != block[None, :]
+        yield at, errors, ok
+
+
+def _likely(members: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` most likely to join components: each member with its tile's medoid and its nearest.
+
+    ``members``: key, node, n, comp, sig.
+    """
+
+    def work(tile, held):
+        node, comp, block = (np.array(x) for x in held[:3])
+        sig = np.frombuffer(b"".join(held[3]), np.uint16).reshape(-1, POSITIONS)
+        same = tile[1] == tile[2]
+        total = np.concatenate([np.where(ok, errors, MOST_ERRORS + 1).sum(axis=1) for _, errors, ok in _candidates(comp, block, sig, same)])
+        medoid = int(total.argmin())
+        for at, errors, ok in _candidates(comp, block, sig, same):
+            errors[~ok] = POSITIONS
+            likely = np.zeros(ok.shape, bool)
+            np.put_along_axis(likely, np.argsort(errors, axis=1, kind="stable")[:, :NEAREST], True, axis=1)
+            likely[:, medoid] = True
+            x, y = np.nonzero(likely & ok)
+            x += at
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
+
+    return _by_tile(_tiles(members), ["node", "comp", "block", "sig"], work, "a long, b long").distinct()
+
+
+def _links_left(members: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between components, of all pairs within the allowed errors, confirmed where they are found.
+
+    ``members``: key, node, n, comp, sig, check, text. A pair is looked at under the first key it
+    shares only; a pair whose components a link of the same tile has joined needs no look. Only links
+    leave the task.
+    """
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    def work(tile, held):
+        node, comp, block = (np.array(x) for x in held[:3])
+        sig = np.frombuffer(b"".join(held[3]), np.uint16).reshape(-1, POSITIONS)
+        keys = index_keys(sig)
+        sets: dict[int, np.ndarray | None] = {}
+        up: dict[int, int] = {}
+
+        def set_of(i: int) -> np.ndarray | None:
+            if i not in sets:
+                s = shingle_set((held[5][i] or "").encode())
+                sets[i] = s if fingerprint(s) == (held[0][i], held[4][i]) else None
+            return sets[i]
+
+        def top(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        found = []
+        for at, _, ok in _candidates(comp, block, sig, tile[1] == tile[2]):
+            x, y = np.nonzero(ok & (node[at : at + 64, None] < node[None, :]))
+            x += at
+            mine = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == tile[0]
+            for i, j in zip(x[mine].tolist(), y[mine].tolist(), strict=True):
+                p, q = top(int(comp[i])), top(int(comp[j]))
+                if p != q:
+                    s, t = set_of(i), set_of(j)
+                    if s is not None and t is not None and similar(s, t, percent):
+                        up[max(p, q)] = min(p, q)
+                        found.append((int(node[i]), int(node[j])))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _by_tile(_tiles(members), ["node", "comp", "block", "sig", "check", "text"], work, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -270,7 +353,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Equal sets are one class. In each bucket of the index every class is first compared with the
     bucket's smallest; the components of those links then tell which further pairs of a bucket can
-    matter, and only pairs across components are compared. A pair inside one component needs no test:
+    matter, and only pairs across components are compared, the likeliest first. A pair inside one component needs no test:
     its link would change nothing. So groups of many copies cost their size, not its square.
 
     Nulls, empty texts and texts without words have an empty set, component their own id. Repeated
@@ -279,22 +362,28 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     sets = materialize(_sets(documents, id_col, text_col), "sets")
     named = sets.where("n > 0")
-    classes = materialize(named.groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = materialize(named.groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
     buckets = materialize(_buckets(classes), "buckets")
     stars = materialize(_within(buckets.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes), "stars")
     links = materialize(_confirmed(stars, classes, documents, id_col, text_col, percent), "links")
     roots = connected_components(links)
 
-    # What the stars leave open: buckets with members in different components besides the leader's own pairs
-    comp = roots.select(F.col("node"), F.col("root").alias("comp"))
-    members = buckets.select("key", "node").union(buckets.select("key", F.col("leader").alias("node")).distinct())
-    members = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = mixed.where("k > 2 and lo <> hi").select("key")
-    open_rows = members.join(mixed, "key").join(classes.select("node", "sig"), "node").select("key", "node", "comp", "sig")
-    rest = materialize(_between(open_rows).join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _confirmed(rest, classes, documents, id_col, text_col, percent)
+    # What the stars leave open: buckets with members in different components. Likely pairs come
+    # first, as each link may close many others; the last round leaves none out.
+    tested = stars
+    for round_ in range(ROUNDS + 1):
+        comp = roots.select(F.col("node"), F.col("root").alias("comp"))
+        members = buckets.select("key", "node").union(buckets.select("key", F.col("leader").alias("node")).distinct())
+        members = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        members = members.join(mixed.where("k > 2 and lo <> hi").select("key"), "key")
+        members = materialize(members.join(classes.select("node", "sig", "n"), "node").select("key", "node", "n", "comp", "sig"), "open")
+        if round_ < ROUNDS:
+            likely = materialize(_likely(members).join(tested, ["a", "b"], "left_anti"), "likely")
+            more = _confirmed(likely, classes, documents, id_col, text_col, percent)
+            tested = tested.union(likely)
+        else:
+            more = _links_left(members.join(_texts(members.select("node").distinct(), classes, documents, id_col, text_col), "node"), percent)
         links = materialize(links.union(more), "all_links")
         roots = connected_components(links)
 

@@ -122,6 +122,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 11, hidden: in
     width = len(FEATURES)
     if not len(positive) or not len(unlabelled):  # nothing to learn from: every score is one half
         return Model(np.zeros(width), np.ones(width), [np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 0.5)
+    # rows come in order of id: the halves are drawn at random, ids may have a pattern
+    rng = np.random.default_rng(seed)
+    positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-6
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale

@@ -204,7 +204,7 @@ def _texts(nodes: DataFrame, classes: DataFrame, documents: DataFrame, id_col: s
     return materialize(rows.join(reps, "rep").dropDuplicates(["node", "check", "text"]).select("node", "check", "text"), "texts")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str, percent: int, spent: list[DataFrame]) -> DataFrame:
     """Of ``a, b`` those with 100 * intersection >= percent * union on full sets.
 
     Texts of the classes concerned meet their pairs; a class with many pairs is dealt to several
@@ -212,6 +212,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_co
     """
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     texts = _texts(nodes, classes, documents, id_col, text_col)
+    spent.append(texts)  # for the caller to discard when the links are written
     deals = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("deals"))
     second = pairs.join(deals, "a").select("a", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int").alias("deal"), F.col("b").alias("node"))
     first = deals.select("a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("a").alias("node"))
@@ -365,12 +366,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     classes = materialize(named.groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
     buckets = materialize(_buckets(classes), "buckets")
     stars = materialize(_within(buckets.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes), "stars")
-    links = materialize(_confirmed(stars, classes, documents, id_col, text_col, percent), "links")
+    spent: list[DataFrame] = []
+    links = materialize(_confirmed(stars, classes, documents, id_col, text_col, percent, spent), "links")
+    discard(*spent)
     roots = connected_components(links)
 
     # What the stars leave open: buckets with members in different components. Likely pairs come
     # first, as each link may close many others; the last round leaves none out.
-    tested = stars
+    tested, likelies = stars, []
     for round_ in range(ROUNDS + 1):
         comp = roots.select(F.col("node"), F.col("root").alias("comp"))
         members = buckets.select("key", "node").union(buckets.select("key", F.col("leader").alias("node")).distinct())
@@ -380,17 +383,23 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         members = materialize(members.join(classes.select("node", "sig", "n"), "node").select("key", "node", "n", "comp", "sig"), "open")
         if round_ < ROUNDS:
             likely = materialize(_likely(members).join(tested, ["a", "b"], "left_anti"), "likely")
-            more = _confirmed(likely, classes, documents, id_col, text_col, percent)
+            spent = [members]
+            more = _confirmed(likely, classes, documents, id_col, text_col, percent, spent)
             tested = tested.union(likely)
+            likelies.append(likely)
         else:
-            more = _links_left(members.join(_texts(members.select("node").distinct(), classes, documents, id_col, text_col), "node"), percent)
-        links = materialize(links.union(more), "all_links")
+            texts = _texts(members.select("node").distinct(), classes, documents, id_col, text_col)
+            spent = [members, texts]
+            more = _links_left(members.join(texts, "node"), percent)
+        grown = materialize(links.union(more), "all_links")
+        discard(links, *spent)
+        links = grown
         roots = connected_components(links)
 
     placed = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = materialize(placed.join(smallest, "root").select("node", "component_id"), "placed")
-    discard(buckets, stars)
+    discard(buckets, stars, links, classes, *likelies)
     out = sets.select("id", "n", "node").join(placed.dropDuplicates(["node"]), "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -68,7 +68,7 @@ def _sclc_sql(column: str) -> str:
 
 @_register(f"SELECT page_id, md5({_sclc_sql('html')}) AS digest, {_sclc_sql('url')} AS url FROM pages WHERE regexp_full_match(html, '[\\x00-\\x7f]*')")
 def sclc_normalize(spark, sf_dir):
-    p = A.table(spark, sf_dir, "pages").where(F.col("html").rlike(r"\A[\x00-\x7f]*\z"))
+    p = A.table(spark, sf_dir, "pages")
     return p.select("page_id", F.md5(X.normalize_sclc(F.col("html")).cast("binary")).alias("digest"), X.normalize_sclc(F.col("url")).alias("url"))
 
 

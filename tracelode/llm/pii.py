@@ -91,6 +91,8 @@ _RUN, _HEX = re.compile(r"(.)\1+"), re.compile(r"[0-9a-f]{12,}")
 #: Words that tell what the next ones are.
 TRIGGERS = frozenset("(at) [at] (dot) [dot] phone tel call fax mobile email mail password passwd token key secret card visa ip address version page number year dated license licence".split())
 EDGE = ("", "", "", "")
+#: Shapes a field numbers before it forgets them: bounds memory on texts of endless shapes.
+MOST_SHAPES = 200_000
 _MARKS = ".,!?;:$%&#*"
 
 
@@ -227,7 +229,7 @@ class Field:
     def number(self, key: tuple) -> int:
         n = self.ids.get(key)
         if n is None:
-            if len(self.ids) > 200_000:  # bounds memory on texts of endless shapes; numbers are not kept between batches
+            if len(self.ids) > MOST_SHAPES:
                 raise OverflowError
             n = self.ids[key] = len(self.ids)
             for slot, offset in enumerate((-2, -1, 0, 1, 2)):
@@ -259,6 +261,18 @@ class Field:
                     e[:shift] += self.table[slot][numbers[-shift:]]
         return e
 
+    def emissions_by_parts(self, words: list[str]) -> np.ndarray:
+        """What ``emissions`` gives, for words of any number of shapes: numbers are forgotten after each part, two words on either side ride along."""
+        out = np.empty((len(words), len(TAGS)), np.float32)
+        part = max(1, MOST_SHAPES - 4)
+        for at in range(0, len(words), part):
+            self.reset()
+            lo = max(0, at - 2)
+            e = self.emissions(self.numbers(words[lo : at + part + 2]))
+            out[at : at + part] = e[at - lo : at - lo + part]
+        self.reset()
+        return out
+
     def tags(self, words: list[str]) -> np.ndarray:
         """Best tags. ``words`` begins and ends with two empty words and has two between lines.
 
@@ -266,12 +280,14 @@ class Field:
         neighbours can repay is O on the best path, whatever the rest; so only the runs between such
         tokens are decoded, each framed by O, all of them in one batch.
         """
-        numbers = self.numbers(words)
-        e = self.emissions(numbers)
+        try:
+            e = self.emissions(self.numbers(words))
+        except OverflowError:
+            e = self.emissions_by_parts(words)
         t = self.trans
         repay = (t[:, 1:, None] + t[None, 1:, :].transpose(0, 1, 2) - t[:, :1, None] - t[None, :1, :]).max()
         open_ = e[:, 0] - e[:, 1:].max(axis=1) <= repay
-        open_ &= numbers != 0
+        open_ &= np.fromiter(map(bool, words), bool, len(words))
         out = np.zeros(len(words), np.int8)
         edge = np.diff(np.concatenate([[0], open_.astype(np.int8), [0]]))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -374,13 +390,7 @@ def field_spans(texts: list[str], crf: Field) -> list[list[tuple[str, int, int]]
             words += line.split()
             words += ("", "")
         ends.append(len(words))
-    try:
-        tags = crf.tags(words)
-    except OverflowError:
-        crf.reset()
-        if len(texts) > 1:
-            return [field_spans([x], crf)[0] for x in texts]
-        return [[]] if len(crf.ids) > 200_000 else [_long(texts[0], crf)]
+    tags = crf.tags(words)
     out = []
     start = 2
     for text, end in zip(texts, ends, strict=True):
@@ -404,27 +414,6 @@ def field_spans(texts: list[str], crf: Field) -> list[list[tuple[str, int, int]]
     return out
 
 
-def _long(text: str, crf: Field) -> list[tuple[str, int, int]]:
-    """A text of very many shapes: line by line, numbers forgotten between lines."""
-    spans, at = [], 0
-    for line in text.split("\n"):
-        crf.reset()
-        try:
-            tags_of = field_spans_one(line, crf)
-        except OverflowError:
-            tags_of = []
-        spans += [(k, a + at, b + at) for k, a, b in tags_of]
-        at += len(line) + 1
-    crf.reset()
-    return spans
-
-
-def field_spans_one(line: str, crf: Field) -> list[tuple[str, int, int]]:
-    tags = crf.tags(["", "", *line.split(), "", ""])[2:-2]
-    at = [m.span() for m in _TOKEN.finditer(line)]
-    return [_tight(line, (TAGS[g], *at[i])) for i, g in enumerate(tags) if g]
-
-
 def _tight(text: str, span: tuple[str, int, int]) -> tuple[str, int, int]:
     kind, a, b = span
     while a < b and text[a] in _STRIP:

@@ -37,3 +37,28 @@ def test_field_reads_a_line_of_more_shapes_than_it_numbers():
     spans = pii.field_spans([line], crf)[0]
     found = sum("(at)" in line[a:b] for k, a, b in spans if k == "email")
     assert found > 0.9 * 4300 and sum(k == "secret" for k, _, _ in spans) > 0.9 * 4300
+
+
+def test_field_spans_beside_base_spans_stay():
+    crf = pii.train_field()
+    for text, kept in (("write jane (at) mail (dot) org bob@x.org today", "jane (at) mail (dot) org"), ("call (555) 123-4567 +1 (555) 555-0199 now", "555) 123-4567")):
+        base, more = pii.base_spans(text), pii.field_spans([text], crf)[0]
+        assert any(a < base[0][1] and base[0][1] < b for _, a, b in more), "one merged span over both"
+        spans = pii.all_spans(base, more, text)
+        assert set(base) < set(spans) and any(kept in text[a:b] for _, a, b in spans[len(base) :])
+        assert kept not in pii.mask(text, spans)
+
+
+def test_rest_of_field_spans():
+    text = "aa bb, cc dd; ee"
+    assert pii.all_spans([("ip", 3, 5)], [("phone", 0, 9)], text) == [("ip", 3, 5), ("phone", 0, 2), ("phone", 7, 9)]
+    assert pii.all_spans([("ip", 3, 12), ("card", 7, 9)], [("phone", 3, 13)], text) == [("ip", 3, 12), ("card", 7, 9)]
+    assert pii.all_spans([], [("phone", 0, 2)], text) == [("phone", 0, 2)]
+    rng = random.Random(2)
+    for _ in range(500):
+        cut = sorted(rng.sample(range(41), 6))
+        more = [("phone", *cut[:2]), ("email", *cut[2:4]), ("phone", *cut[4:])]
+        base = [("ip", a, a + rng.randrange(1, 9)) for a in rng.sample(range(32), rng.randrange(4))]
+        inside = lambda spans: {i for _, a, b in spans for i in range(a, b)}
+        spans = pii.all_spans(base, more, "x" * 41)
+        assert inside(spans) == inside(base) | inside(more) and not inside(spans[len(base) :]) & inside(base)

@@ -379,6 +379,7 @@ def train_field(table: list[tuple[list[str], list[str]]] | None = None, epochs:
 
 
 _STRIP = ".,;:!?\"'#$%&*"
+_BESIDE = _STRIP + " \t\r\f\v<>|/="
 
 
 def field_spans(texts: list[str], crf: Field) -> list[list[tuple[str, int, int]]]:
@@ -414,19 +415,40 @@ def field_spans(texts: list[str], crf: Field) -> list[list[tuple[str, int, int]]
     return out
 
 
-def _tight(text: str, span: tuple[str, int, int]) -> tuple[str, int, int]:
+def _tight(text: str, span: tuple[str, int, int], off: str = _STRIP) -> tuple[str, int, int]:
     kind, a, b = span
-    while a < b and text[a] in _STRIP:
+    while a < b and text[a] in off:
         a += 1
-    while b > a and text[b - 1] in _STRIP:
+    while b > a and text[b - 1] in off:
         b -= 1
     return kind, a, b
 
 
-def all_spans(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The base spans and those of the field that overlap none of them."""
-    taken = sorted((a, b) for _, a, b in base)
-    return base + [s for s in more if not any(a < s[2] and s[1] < b for a, b in taken)]
+def all_spans(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
+    """The base spans, and what they leave of the field's spans: each rest that has a letter or digit, without space and marks at its ends."""
+    out, i = list(base), 0
+    taken: list[list[int]] = []
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    for kind, a, b in more:
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if i == len(taken) or taken[i][0] >= b:
+            out.append((kind, a, b))
+            continue
+        j, at, rests = i, a, []
+        while j < len(taken) and taken[j][0] < b:
+            rests.append((at, taken[j][0]))
+            at = taken[j][1]
+            j += 1
+        for lo, hi in (*rests, (at, b)):
+            rest = _tight(text, (kind, lo, hi), _BESIDE) if lo < hi else (kind, lo, lo)
+            if any(map(str.isalnum, text[rest[1] : rest[2]])):
+                out.append(rest)
+    return out
 
 
 def _run(documents: DataFrame, carry: list[str], text_col: str, schema: T.StructType, make):
@@ -438,7 +460,7 @@ def _run(documents: DataFrame, carry: list[str], text_col: str, schema: T.Struct
         for batch in batches:
             for part in slices(batch, 128):
                 texts = [x or "" for x in part.column(len(carry)).to_pylist()]
-                found = [(t, base, all_spans(base, more)) for t, base, more in zip(texts, map(base_spans, texts), field_spans(texts, own), strict=True)]
+                found = [(t, base, all_spans(base, more, t)) for t, base, more in zip(texts, map(base_spans, texts), field_spans(texts, own), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *make(found, part)], schema=pa.schema(_arrow(schema, part, carry)))
 
     return documents.select(*carry, text_col).mapInArrow(run, schema)

@@ -2,7 +2,12 @@
 
 import random
 
+import numpy as np
+from helpers import text
+
+from tracelode.llm import lm_scoring as lm
 from tracelode.llm import pii
+from tracelode.llm.tokens import WordTokens
 
 
 def mixed_line(rng, n):
@@ -62,3 +67,47 @@ def test_rest_of_field_spans():
         inside = lambda spans: {i for _, a, b in spans for i in range(a, b)}
         spans = pii.all_spans(base, more, "x" * 41)
         assert inside(spans) == inside(base) | inside(more) and not inside(spans[len(base) :]) & inside(base)
+
+
+def test_a_long_text_does_not_end_the_sample():
+    lengths = [900, 3, 5, 40]
+    share = lm.even_share(lengths, 100)
+    assert share == 52 and sum(min(n, share) for n in lengths) == 100
+    assert lm.even_share([3, 5], 100) == 5 and lm.even_share([], 5) == 1 and lm.even_share([9, 9], 10) == 5
+
+
+def test_network_reads_every_training_text(spark):
+    rng = random.Random(8)
+    texts = [text(rng, 40 + 30 * (i % 5)) for i in range(60)] + [None, "", text(rng, 3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    uni = np.zeros(lm.IDS)
+    uni[:2000] = np.random.default_rng(1).integers(1, 99, 2000)
+    vocabulary, shares = lm.build_vocabulary(uni, np.ones((lm.SIZE, lm.SIZE)))
+    scorer = lm.Scorer(vocabulary, lm.Network(shares))
+    start = {k: w.copy() for k, w in scorer.network.p.items()}
+    tokens, sums, total = WordTokens(), dict.fromkeys(start, 0.0), 0
+    for rows in df.rdd.glom().collect():  # each part by hand
+        network = lm.Network(shares)
+        network.p = {k: w.copy() for k, w in start.items()}
+        ids = [np.frombuffer(b"".join(tokens[w] for w in (r.text or "").lower().split()) + lm.END_ID.to_bytes(4, "little"), "<u4") for r in rows]
+        network.read(*scorer.lessons(ids), network.moments(), 0)
+        seen = sum(map(len, ids))
+        total += seen
+        sums = {k: sums[k] + seen * network.p[k].astype(float) for k in start}
+    lm.read_all(df, "text", scorer, None)
+    for k, w in scorer.network.p.items():
+        assert np.allclose(w, sums[k] / total, atol=1e-5) and not np.allclose(w, start[k], atol=1e-3), k
+
+
+def test_read_uses_every_live_place_once(monkeypatch):
+    net, used = lm.Network(np.full((lm.SIZE, lm.CLASSES), 1 / lm.CLASSES)), np.zeros((21, lm.STRIDE), int)
+    before = np.arange(21 * lm.STRIDE).reshape(21, lm.STRIDE)
+    live = np.random.default_rng(3).random(before.shape) < 0.8
+
+    def grads(b, begin, target, use):
+        np.add.at(used.ravel(), b.ravel()[use], 1)
+        return {}
+
+    monkeypatch.setattr(net, "_gradients", grads)
+    net.read(before, np.zeros(21, bool), before % lm.CLASSES, live, {}, 0)
+    assert (used == live).all()

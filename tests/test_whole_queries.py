@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 from compare import duck, rows
 
 from tracelode.functions import text as X
@@ -32,3 +33,12 @@ def test_sclc_of_accents(spark, tmp_path):
 
     got = {r.page_id: (r.digest, r.url) for r in QUERIES["sclc_normalize"](spark, str(tmp_path)).collect()}
     assert got == {i: (hashlib.md5(brute(h).encode()).hexdigest(), brute(u)) for i, u, h in pages}
+
+
+@pytest.mark.parametrize("name", ["tfidf_cosine", "pair_features", "baseline_score", "evidence_classes", "idf_shared"])
+def test_all_pairs_are_scored(spark, sf, name):
+    got = rows(QUERIES[name](spark, sf).toPandas())
+    want = rows(duck(sf).execute(sql_without(name, " AND x.id % 4 = y.id % 4")).df())
+    n = spark.read.parquet(f"{sf}/benchmark.parquet").count()
+    assert len(got[1]) == n * (n - 1) // 2 > 0
+    assert got == want

@@ -333,9 +333,8 @@ tc AS (SELECT pr.a, pr.b, round(coalesce(sum(x.w * y.w) / any_value(na.n * nb.n)
 
 def _pairs(spark, sf_dir):
     docs = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), X.tokenize(F.col("text")).alias("ts"))
-    i = docs.select("id").withColumn("m", F.col("id") % 4)
-    pairs = i.select(F.col("id").alias("a"), "m").join(i.select(F.col("id").alias("b"), "m"), "m").where("a < b").select("a", "b")
-    return docs, pairs
+    i = docs.select("id")
+    return docs, i.select(F.col("id").alias("a")).join(i.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
 
 
 @_register(f"WITH {_PAIRS_SQL} SELECT a, b, tfidf FROM tc")

@@ -7,6 +7,7 @@ from helpers import text
 
 from tracelode.llm import lm_scoring as lm
 from tracelode.llm import pii
+from tracelode.llm.quality_classifier import FEATURES, text_features
 from tracelode.llm.tokens import WordTokens
 
 
@@ -111,3 +112,10 @@ def test_read_uses_every_live_place_once(monkeypatch):
     monkeypatch.setattr(net, "_gradients", grads)
     net.read(before, np.zeros(21, bool), before % lm.CLASSES, live, {}, 0)
     assert (used == live).all()
+
+
+def test_top_word_is_of_the_whole_text():
+    words = [f"w{i}" for i in range(320)]
+    words[1:320:21] = ["same"] * 16
+    assert text_features(" ".join(words).encode())[FEATURES.index("top_word")] == 16 / 320
+    assert text_features(None)[FEATURES.index("top_word")] == 0 and text_features(b"a b a")[FEATURES.index("top_word")] == 2 / 3

@@ -151,3 +151,36 @@ def test_vectors_equal_brute_force(spark, block):
 def test_repeated_rows_link(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")
     assert [r.n_links for r in ed.near_duplicate_vectors(df).collect()] == [2, 2, 2]
+
+
+def test_texts_without_ids_link(spark):
+    """A chain of near copies whose middle has no id is one component."""
+    rng = random.Random(3)
+    a = text(rng, 100).split()
+    b = [*a[:88], *text(rng, 12).split()]
+    c = [*b[12:], *text(rng, 12).split()]
+    sets = [brute_set(" ".join(x)) for x in (a, b, c)]
+    like = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    assert like(sets[0], sets[1]) and like(sets[1], sets[2]) and not like(sets[0], sets[2])
+    df = spark.createDataFrame([(7, " ".join(a)), (None, " ".join(b)), (9, " ".join(c))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nd.near_duplicates(df).collect()} == {7: 7, None: 7, 9: 7}
+
+
+def test_tile_rows_stay_below_members(spark, monkeypatch):
+    """A family of near copies gives fewer likely pairs a tile than members, whatever its square."""
+    rng = random.Random(5)
+    base = text(rng, 200).split()
+    rows = [(i, mutated(rng, base, 6)) for i in range(300)]
+    sig = np.stack([nd.signature(nd.shingle_set(t.encode())) for _, t in rows])
+    key = nd.index_keys(sig)
+    best, count = np.unique(key, return_counts=True)
+    k = int(best[count.argmax()])
+    at = np.flatnonzero((key == k).any(axis=1))
+    held = [[int(i) for i in at], [int(i) for i in at], [0] * len(at), [sig[i].tobytes() for i in at]]
+    comp, x, y = nd._candidates((k, 0, 0), held)
+    errors = (sig[at][x] != sig[at][y]).sum(axis=1)
+    assert (np.diff(errors) >= 0).all() and len(x) > len(at)
+    forest = nd._forest(comp, x, y)
+    assert len(forest) < len(at)
+    # the forest joins what all pairs join
+    assert (nd.smallest_roots(len(at), x, y) == nd.smallest_roots(len(at), x[forest], y[forest])).all()

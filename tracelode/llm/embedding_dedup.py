@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .graph import connected_components
+from .graph import connected_components, smallest_roots
 
 PROJECTIONS = 32
 #: Half a window, in standard deviations of the projected difference of a pair at the threshold.
@@ -78,19 +78,6 @@ def collision_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool)
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest connected index of each of ``n`` nodes."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def near_duplicate_vectors(
     embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, block: int = BLOCK
 ) -> DataFrame:
@@ -140,7 +127,7 @@ def near_duplicate_vectors(
         links = np.zeros(len(node), np.int64)
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
-        root = _roots(len(node), a, b)
+        root = smallest_roots(len(node), a, b)
         some = links > 0
         return pa.table({"node": node[some], "links": links[some], "root": node[root][some]})
 

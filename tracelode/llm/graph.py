@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
 
+def smallest_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest connected index of each of ``n`` nodes in memory, by edges ``a``, ``b``."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node for every node that has an edge.
 
@@ -34,13 +48,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         following = materialize(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         discard(current, near)
         current = following
-    if not maps:
+    if maps:
+        discard(current)
+    else:
         return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = maps[0].select("node", F.col("p").alias("root"))
     for step in maps[1:]:
         roots = roots.join(step.select(F.col("node").alias("root"), F.col("p").alias("further")), "root", "left")
         roots = roots.select("node", F.coalesce("further", "root").alias("root"))
     if len(maps) == 1:
+        roots._tracelode_path = maps[0]._tracelode_path  # noqa: SLF001
         return roots
     out = materialize(roots, "roots")
     discard(*maps)

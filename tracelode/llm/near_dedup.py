@@ -10,6 +10,8 @@ document. Links are confirmed on full sets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,14 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, materialize, slices
-from .graph import connected_components
+from .graph import connected_components, smallest_roots
 
 SHINGLE_WORDS = 5
 POSITIONS, MOST_ERRORS = 64, 27
 #: Members that one task compares with each other; larger buckets are dealt out in pairs of blocks.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
-#: Neighbours that a member is first compared with, and rounds of that before all that is left is compared.
-NEAREST, ROUNDS = 2, 2
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Rounds in which the likeliest pairs are tried before all that is left is compared.
+ROUNDS = 2
 _CHUNKS = np.array_split(np.arange(POSITIONS), (MOST_ERRORS + 1) // 2)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -116,27 +118,28 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _unpack(column) -> np.ndarray:
     """Binary signatures as rows of 64 numbers."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
+    return np.frombuffer(b"".join(column if isinstance(column, list) else column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
 
 
 def _sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, node, check, sig`` by row; ``node`` and ``check`` are 128 bits that name the set."""
-    schema = T.StructType([T.StructField("id", documents.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "node", "check")], T.StructField("sig", T.BinaryType())])
+    """``id, n, node, check, bytes, sig`` by row; ``node`` and ``check`` are 128 bits that name the set."""
+    schema = T.StructType([T.StructField("id", documents.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "node", "check", "bytes")], T.StructField("sig", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                n, node, check, sig = [], [], [], []
-                for text in part.column(1).cast(pa.binary()).to_pylist():
+                n, node, check, size, sig = [], [], [], [], []
+                for text in part.column(1).to_pylist():
                     s = shingle_set(text)
                     n.append(len(s))
                     a, b = fingerprint(s)
                     node.append(a)
                     check.append(b)
+                    size.append(len(text or b""))
                     sig.append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sig, pa.binary())], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], schema.fieldNames())
 
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, schema)
+    return documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary")).mapInArrow(run, schema)
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -198,26 +201,38 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _texts(nodes: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``node, check, text`` of classes: texts under the representative's id, once each."""
+    """``node, check, text`` of classes: texts under the representative's id, once each.
+
+    A class whose rows all have a null id has no representative; its text is found among the rows
+    without an id by its fingerprint.
+    """
     reps = nodes.join(classes.select("node", "check", "rep"), "node")
-    rows = documents.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    return materialize(rows.join(reps, "rep").dropDuplicates(["node", "check", "text"]).select("node", "check", "text"), "texts")
+    rows = documents.select(F.col(id_col).alias("rep"), F.col(text_col).cast("binary").alias("text"))
+    named = rows.join(reps, "rep").select("node", "check", "text")
 
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                marks = [fingerprint(shingle_set(t)) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)), part.column(0)], ["node", "check", "text"])
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_col: str, text_col: str, percent: int, spent: list[DataFrame]) -> DataFrame:
+    unnamed = rows.where("rep is null and text is not null").select("text").mapInArrow(run, "node long, check long, text binary")
+    unnamed = unnamed.join(reps.where("rep is null").select("node", "check"), ["node", "check"])
+    return materialize(named.unionByName(unnamed).dropDuplicates(["node", "check", "text"]), "texts")
+
+
+def _confirmed(pairs: DataFrame, texts, percent: int) -> DataFrame:
     """Of ``a, b`` those with 100 * intersection >= percent * union on full sets.
 
     Texts of the classes concerned meet their pairs; a class with many pairs is dealt to several
     tasks, its own text once to each. A task holds the set of one class and one other.
     """
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = _texts(nodes, classes, documents, id_col, text_col)
-    spent.append(texts)  # for the caller to discard when the links are written
     deals = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("deals"))
     second = pairs.join(deals, "a").select("a", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int").alias("deal"), F.col("b").alias("node"))
     first = deals.select("a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("a").alias("node"))
     sides = first.withColumn("side", F.lit(0)).unionByName(second.withColumn("side", F.lit(1)))
-    met = sides.join(texts, "node").select("a", "deal", "side", "node", "check", "text")
+    met = sides.join(texts(nodes), "node").select("a", "deal", "side", "node", "check", "text")
 
     def run(batches):
         hub, own, done = None, None, set()
@@ -225,7 +240,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_co
             for part in slices(batch):
                 a, side, node, check = (part.column(i).to_pylist() for i in (0, 2, 3, 4))
                 found = []
-                for i, text in enumerate(part.column(5).cast(pa.binary()).to_pylist()):
+                for i, text in enumerate(part.column(5).to_pylist()):
                     s = shingle_set(text)
                     if fingerprint(s) != (node[i], check[i]):  # another row that repeats the id
                         continue
@@ -241,11 +256,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, id_co
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """Members of a key in pairs of blocks ``i, j``: a block holds about ``BLOCK`` members and ``BLOCK_SHINGLES``."""
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    """Members of a key in pairs of blocks ``i, j``: a block holds about ``BLOCK`` members and ``BLOCK_BYTES`` of text."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
     rows = members.join(members.groupBy("key").agg(blocks.alias("blocks")), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n", "blocks", "other")
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("bytes", "blocks", "other")
 
 
 def _by_tile(rows: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
@@ -271,82 +286,111 @@ def _by_tile(rows: DataFrame, columns: list[str], work, schema: str) -> DataFram
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
-def _candidates(comp: np.ndarray, block: np.ndarray, sig: np.ndarray, same: bool):
-    """Rows 64 by 64: their first row, errors to all rows, and which pairs are in different components and within the errors."""
-    for at in range(0, len(comp), 64):
+def _candidates(tile: tuple, held: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Component of each member by number, and the rows ``x, y`` of the tile's pairs, those of fewest errors first.
+
+    A pair is within the allowed errors, in two components, of two blocks unless the tile is one, and
+    belongs to this tile: its key is the first that the two share, so each pair has one tile.
+    """
+    node, block = np.array(held[0]), np.array(held[2])
+    comp = np.unique(np.array(held[1]), return_inverse=True)[1]
+    sig = _unpack(held[3])
+    keys = index_keys(sig)
+    found = []
+    for at in range(0, len(node), 64):
         a = slice(at, at + 64)
-        errors = (sig[a, None, :] != sig[None, :, :]).sum(axis=2)
-        ok = (errors <= MOST_ERRORS) & (comp[a, None] != comp[None, :])
-        if not same:
+        errors = (sig[a, None, :] != sig[None, :, :]).sum(axis=2, dtype=np.uint8)
+        ok = (errors <= MOST_ERRORS) & (comp[a, None] != comp[None, :]) & (node[a, None] < node[None, :])
+        if tile[1] != tile[2]:
             ok &= block[a, None] != block[None, :]
-        yield at, errors, ok
+        x, y = np.nonzero(ok)
+        e = errors[x, y]
+        x += at
+        mine = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == tile[0]
+        found.append((e[mine], x[mine], y[mine]))
+    e, x, y = (np.concatenate([f[k] for f in found]) for k in range(3))
+    order = np.argsort(e, kind="stable")
+    return comp, x[order], y[order]
+
+
+def _forest(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs make up the forest that joins components by the earliest pairs: fewer than there are components."""
+    chosen = []
+    at = np.arange(len(x))
+    while True:
+        at = at[comp[x[at]] != comp[y[at]]]
+        if not len(at):
+            return np.concatenate(chosen) if chosen else at
+        first = np.full(comp.max() + 1, len(x))
+        np.minimum.at(first, comp[x[at]], at)
+        np.minimum.at(first, comp[y[at]], at)
+        best = np.unique(first[first < len(x)])
+        chosen.append(best)
+        comp = smallest_roots(len(first), comp[x[best]], comp[y[best]])[comp]
 
 
 def _likely(members: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` most likely to join components: each member with its tile's medoid and its nearest.
+    """Pairs ``a, b`` most likely to join components: a forest of each tile's pairs, so a tile gives fewer rows than it has members.
 
-    ``members``: key, node, n, comp, sig.
+    ``members``: key, node, bytes, comp, sig.
     """
 
     def work(tile, held):
-        node, comp, block = (np.array(x) for x in held[:3])
-        sig = np.frombuffer(b"".join(held[3]), np.uint16).reshape(-1, POSITIONS)
-        same = tile[1] == tile[2]
-        total = np.concatenate([np.where(ok, errors, MOST_ERRORS + 1).sum(axis=1) for _, errors, ok in _candidates(comp, block, sig, same)])
-        medoid = int(total.argmin())
-        for at, errors, ok in _candidates(comp, block, sig, same):
-            errors[~ok] = POSITIONS
-            likely = np.zeros(ok.shape, bool)
-            np.put_along_axis(likely, np.argsort(errors, axis=1, kind="stable")[:, :NEAREST], True, axis=1)
-            likely[:, medoid] = True
-            x, y = np.nonzero(likely & ok)
-            x += at
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
-
-    return _by_tile(_tiles(members), ["node", "comp", "block", "sig"], work, "a long, b long").distinct()
-
-
-def _links_left(members: DataFrame, percent: int) -> DataFrame:
+        comp, x, y = _candidates(tile, held)
+        best = _forest(comp, x, y)
+        node = np.array(held[0])
+        yield pa.RecordBatch.from_arrays([pa.array(node[x[best]]), pa.array(node[y[best]])], ["a", "b"])
+
+    return _by_tile(_tiles(members), ["node", "comp", "block", "sig"], work, "a long, b long")
+
+
+def _open_members(members: DataFrame) -> DataFrame:
+    """Members of each tile that have a pair there, as ``key, i, j, node, comp, block, sig``: only their texts are needed."""
+
+    def work(tile, held):
+        _, x, y = _candidates(tile, held)
+        some = np.unique(np.concatenate([x, y])).tolist()
+        same = lambda v, kind: pa.array([v] * len(some), kind)
+        own = [pa.array([column[r] for r in some], kind) for column, kind in zip(held, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+        yield pa.RecordBatch.from_arrays([same(tile[0], pa.int64()), same(tile[1], pa.int32()), same(tile[2], pa.int32()), *own], ["key", "i", "j", "node", "comp", "block", "sig"])
+
+    return _by_tile(_tiles(members), ["node", "comp", "block", "sig"], work, "key long, i int, j int, node long, comp long, block int, sig binary")
+
+
+def _links_left(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` between components, of all pairs within the allowed errors, confirmed where they are found.
 
-    ``members``: key, node, n, comp, sig, check, text. A pair is looked at under the first key it
-    shares only; a pair whose components a link of the same tile has joined needs no look. Only links
-    leave the task.
+    A pair whose components a link of the same tile has joined needs no look. Only links leave the
+    task, fewer than the tile has members.
     """
 
     def work(tile, held):
-        node, comp, block = (np.array(x) for x in held[:3])
-        sig = np.frombuffer(b"".join(held[3]), np.uint16).reshape(-1, POSITIONS)
-        keys = index_keys(sig)
+        comp, x, y = _candidates(tile, held)
         sets: dict[int, np.ndarray | None] = {}
-        up: dict[int, int] = {}
 
         def set_of(i: int) -> np.ndarray | None:
             if i not in sets:
-                s = shingle_set((held[5][i] or "").encode())
+                s = shingle_set(held[5][i])
                 sets[i] = s if fingerprint(s) == (held[0][i], held[4][i]) else None
             return sets[i]
 
-        def top(c: int) -> int:
-            while up.get(c, c) != c:
-                c = up[c]
-            return c
-
         found = []
-        for at, _, ok in _candidates(comp, block, sig, tile[1] == tile[2]):
-            x, y = np.nonzero(ok & (node[at : at + 64, None] < node[None, :]))
-            x += at
-            mine = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == tile[0]
-            for i, j in zip(x[mine].tolist(), y[mine].tolist(), strict=True):
-                p, q = top(int(comp[i])), top(int(comp[j]))
-                if p != q:
+        while len(x):
+            live = comp[x] != comp[y]
+            x, y = x[live], y[live]
+            turn = max(256, len(x) // 16)
+            for i, j in zip(x[:turn].tolist(), y[:turn].tolist(), strict=True):
+                if comp[i] != comp[j]:
                     s, t = set_of(i), set_of(j)
                     if s is not None and t is not None and similar(s, t, percent):
-                        up[max(p, q)] = min(p, q)
-                        found.append((int(node[i]), int(node[j])))
+                        comp[comp == comp[j]] = comp[i]
+                        found.append((held[0][i], held[0][j]))
+            x, y = x[turn:], y[turn:]
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return _by_tile(_tiles(members), ["node", "comp", "block", "sig", "check", "text"], work, "a long, b long").distinct()
+    open_ = materialize(_open_members(members), "open_members")
+    rows = open_.join(texts(open_.select("node").distinct()), "node")
+    return _by_tile(rows, ["node", "comp", "block", "sig", "check", "text"], work, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -354,52 +398,63 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Equal sets are one class. In each bucket of the index every class is first compared with the
     bucket's smallest; the components of those links then tell which further pairs of a bucket can
-    matter, and only pairs across components are compared, the likeliest first. A pair inside one component needs no test:
-    its link would change nothing. So groups of many copies cost their size, not its square.
+    matter, and only pairs across components are compared, the likeliest first. A pair inside one
+    component needs no test: its link would change nothing. So groups of many copies cost their size,
+    not its square, and what leaves a task is less than the rows it reads.
 
-    Nulls, empty texts and texts without words have an empty set, component their own id. Repeated
+    Nulls, empty texts and texts without words have an empty set, component their own id. Texts of
+    any length are read whole; a task holds ``BLOCK_BYTES`` of text, or one text, a block. Repeated
     rows share a class; a component's id is its smallest id; null ids are passed over unless all are
-    null. Extra columns are not read; an empty table gives an empty result.
+    null, and link like others. Extra columns, whatever their names, are not read; an empty table
+    gives an empty result.
     """
     sets = materialize(_sets(documents, id_col, text_col), "sets")
     named = sets.where("n > 0")
-    classes = materialize(named.groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
+    classes = named.groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.max("bytes").alias("bytes"))
+    classes = materialize(classes, "classes")
     buckets = materialize(_buckets(classes), "buckets")
     stars = materialize(_within(buckets.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes), "stars")
     spent: list[DataFrame] = []
-    links = materialize(_confirmed(stars, classes, documents, id_col, text_col, percent, spent), "links")
-    discard(*spent)
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        spent.append(_texts(nodes, classes, documents, id_col, text_col))
+        return spent[-1]
+
+    def found(links: DataFrame, name: str) -> DataFrame:
+        """The links written, and what they were found in deleted."""
+        links = materialize(links, name)
+        discard(*spent)
+        spent.clear()
+        return links
+
+    links = found(_confirmed(stars, texts, percent), "links")
     roots = connected_components(links)
 
     # What the stars leave open: buckets with members in different components. Likely pairs come
     # first, as each link may close many others; the last round leaves none out.
-    tested, likelies = stars, []
+    tried = [stars]
     for round_ in range(ROUNDS + 1):
-        comp = roots.select(F.col("node"), F.col("root").alias("comp"))
+        comp = roots.select("node", F.col("root").alias("comp"))
         members = buckets.select("key", "node").union(buckets.select("key", F.col("leader").alias("node")).distinct())
         members = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         members = members.join(mixed.where("k > 2 and lo <> hi").select("key"), "key")
-        members = materialize(members.join(classes.select("node", "sig", "n"), "node").select("key", "node", "n", "comp", "sig"), "open")
+        members = materialize(members.join(classes.select("node", "sig", "bytes"), "node").select("key", "node", "bytes", "comp", "sig"), "open")
+        spent.append(members)
         if round_ < ROUNDS:
-            likely = materialize(_likely(members).join(tested, ["a", "b"], "left_anti"), "likely")
-            spent = [members]
-            more = _confirmed(likely, classes, documents, id_col, text_col, percent, spent)
-            tested = tested.union(likely)
-            likelies.append(likely)
+            likely = materialize(_likely(members).join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "likely")
+            more = _confirmed(likely, texts, percent)
+            tried.append(likely)
         else:
-            texts = _texts(members.select("node").distinct(), classes, documents, id_col, text_col)
-            spent = [members, texts]
-            more = _links_left(members.join(texts, "node"), percent)
-        grown = materialize(links.union(more), "all_links")
-        discard(links, *spent)
-        links = grown
+            more = _links_left(members, texts, percent)
+        old, links = (links, roots), found(links.union(more), "all_links")
+        discard(*old)
         roots = connected_components(links)
 
     placed = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = materialize(placed.join(smallest, "root").select("node", "component_id"), "placed")
-    discard(buckets, stars, links, classes, *likelies)
+    discard(buckets, links, roots, classes, *tried)
     out = sets.select("id", "n", "node").join(placed.dropDuplicates(["node"]), "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -170,16 +170,16 @@ def test_tile_rows_stay_below_members(spark, monkeypatch):
     """A family of near copies gives fewer likely pairs a tile than members, whatever its square."""
     rng = random.Random(5)
     base = text(rng, 200).split()
-    rows = [(i, mutated(rng, base, 6)) for i in range(300)]
+    rows = [(i, mutated(rng, base, 3)) for i in range(300)]
     sig = np.stack([nd.signature(nd.shingle_set(t.encode())) for _, t in rows])
     key = nd.index_keys(sig)
-    best, count = np.unique(key, return_counts=True)
+    best, count = np.unique(key[:, 0], return_counts=True)
     k = int(best[count.argmax()])
     at = np.flatnonzero((key == k).any(axis=1))
     held = [[int(i) for i in at], [int(i) for i in at], [0] * len(at), [sig[i].tobytes() for i in at]]
     comp, x, y = nd._candidates((k, 0, 0), held)
     errors = (sig[at][x] != sig[at][y]).sum(axis=1)
-    assert (np.diff(errors) >= 0).all() and len(x) > len(at)
+    assert (np.diff(errors) >= 0).all() and len(x) > 3 * len(at)
     forest = nd._forest(comp, x, y)
     assert len(forest) < len(at)
     # the forest joins what all pairs join

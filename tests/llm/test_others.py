@@ -339,12 +339,40 @@ def test_model_is_normalized_and_causal():
     assert each[:200].sum() == pytest.approx(prefix, abs=1e-3)
 
 
+def test_scores_equal_a_plain_model_token_by_token():
+    """Each token scored on its own: softmax attention over the subwords before it in its block and the block before."""
+    v, net = tiny()
+    net.p["scale"][0], net.p["bias"][:] = 0.9, np.linspace(-1, 1, lm.CLASSES)
+    p = {k: w.astype(float) for k, w in net.p.items()}
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 3000, n) for n in (1, 16, 17, 75)]
+
+    def plain(ids):
+        numbers, total = v.number[ids].astype(int), 0.0
+        before = [lm.EDGE, *numbers[:-1]]
+        for t, (i, n) in enumerate(zip(ids, numbers, strict=True)):
+            row = t % lm.STRIDE
+            seen = range(max(0, t - row - lm.STRIDE), t + 1)
+            x = {j: p["embed"][before[j]] for j in seen}
+            score = np.array([x[t] @ p["q"] @ (x[j] @ p["k"]) * lm.WIDTH**-0.5 + p["place"][row, lm.STRIDE + j - (t - row)] for j in seen])
+            share = np.exp(score - score.max())
+            h = sum(a * (x[j] @ p["v"]) for a, j in zip(share / share.sum(), seen, strict=True)) @ p["o"] + x[t]
+            z = h @ p["out"] + p["scale"] * p["table"][before[t]] + p["bias"]
+            c = v.class_of[n]
+            total += (z[c] - np.log(np.exp(z).sum())) / np.log(10) + v.within[before[t], n] + v.rest[i]
+        return total
+
+    got = lm.Scorer(v, net).score(np.concatenate(texts), np.array([len(t) for t in texts]), step=2)
+    assert got == pytest.approx([plain(t) for t in texts], abs=1e-3)
+
+
 def test_gradients_and_training():
     v, net = tiny()
     rng = np.random.default_rng(2)
     before, target = rng.integers(0, lm.SIZE, (6, lm.STRIDE)), rng.integers(0, lm.CLASSES, 6 * lm.STRIDE)
     first, use = np.array([1, 0, 0, 1, 0, 0], bool), np.ones(6 * lm.STRIDE, bool)
     net.p = {k: w.astype(np.float64) for k, w in net.p.items()}
+    net.p["scale"][0], net.p["bias"][3] = 0.8, 0.4
     g = net._gradients(before, first, target, use)
 
     def loss():
@@ -352,9 +380,9 @@ def test_gradients_and_training():
         z = z - z.max(axis=1, keepdims=True)
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), target]).mean())
 
-    for k in ("q", "k", "v", "o", "out", "place", "embed"):
+    for k in ("q", "k", "v", "o", "out", "place", "bias", "scale", "embed", "table"):
         w = net.p[k]
-        at = tuple(int(rng.integers(n)) for n in w.shape) if k != "embed" else (int(before[1, 3]), 2)
+        at = tuple(int(rng.integers(n)) for n in w.shape) if k not in ("embed", "table") else (int(before[1, 3]), 2)
         w[at] += 1e-4
         up = loss()
         w[at] -= 2e-4

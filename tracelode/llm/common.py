@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. A local folder is chosen only where that is
-    unset, as in tests on ``local[N]``, where driver and executors are one process.
+    unset and the master is local, as in tests, where driver and executors are one process; on a
+    cluster without the setting this raises.
     """
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not named:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tracelode-")
         spark.conf.set(_SETTING, named)
     return named.rstrip("/")
@@ -61,7 +67,22 @@ def schema_of(df: DataFrame, *columns: str) -> list[T.StructField]:
     return [df.schema[c] for c in columns]
 
 
-def slices(batch, step: int = 256):
-    """Cut an Arrow batch so that only few texts are Python objects at a time."""
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+def slices(batch, step: int = 256, text: int | None = None, most_bytes: int = 4 << 20):
+    """Cut an Arrow batch so that only few texts are Python objects at a time.
+
+    ``text`` is the position of a string or binary column: a slice holds at most ``most_bytes`` of
+    it, or one row.
+    """
+    if text is None or not batch.num_rows:
+        ends = range(step, batch.num_rows + step, step)
+    else:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends, at, base = [], 0, 0
+        while at < batch.num_rows:
+            at = max(at + 1, min(at + step, int(np.searchsorted(upto, base + most_bytes, "right"))))
+            base = int(upto[at - 1])
+            ends.append(at)
+    at = 0
+    for end in ends:
+        yield batch.slice(at, end - at)
+        at = end

@@ -24,7 +24,9 @@ from .graph import connected_components, smallest_roots
 SHINGLE_WORDS = 5
 POSITIONS, MOST_ERRORS = 64, 27
 #: Members that one task compares with each other; larger buckets are dealt out in pairs of blocks.
-BLOCK, BLOCK_BYTES = 2048, 16 << 20
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Rows of a tile whose errors to the others are counted at a time.
+STRIPE = 128
 #: Rounds in which the likeliest pairs are tried before all that is left is compared.
 ROUNDS = 2
 _CHUNKS = np.array_split(np.arange(POSITIONS), (MOST_ERRORS + 1) // 2)
@@ -283,34 +285,51 @@ def _by_tile(rows: DataFrame, columns: list[str], work, schema: str) -> DataFram
             yield from work(at, held)
 
     rows = rows.select("key", "i", "j", *columns)
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+    # a set number of partitions: few bytes are much work here, so they must not be merged by size
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
 def _candidates(tile: tuple, held: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Component of each member by number, and the rows ``x, y`` of the tile's pairs, those of fewest errors first.
 
     A pair is within the allowed errors, in two components, of two blocks unless the tile is one, and
-    belongs to this tile: its key is the first that the two share, so each pair has one tile.
+    belongs to this tile: its key is the first that the two share, so each pair has one tile. Rows go
+    by the size of their component, so that the largest is compared with the others, not with itself.
     """
     node, block = np.array(held[0]), np.array(held[2])
-    comp = np.unique(np.array(held[1]), return_inverse=True)[1]
+    comp, size = np.unique(np.array(held[1]), return_inverse=True, return_counts=True)[1:]
     sig = _unpack(held[3])
+    order = np.lexsort((node, comp, size[comp]))
+    ends = np.flatnonzero(np.diff(comp[order], append=-1)) + 1
+    columns = np.ascontiguousarray(sig[order].T)
     keys = index_keys(sig)
     found = []
-    for at in range(0, len(node), 64):
-        a = slice(at, at + 64)
-        errors = (sig[a, None, :] != sig[None, :, :]).sum(axis=2, dtype=np.uint8)
-        ok = (errors <= MOST_ERRORS) & (comp[a, None] != comp[None, :]) & (node[a, None] < node[None, :])
+    for at in range(0, len(node), STRIPE):
+        lo = int(ends[np.searchsorted(ends, at, "right")])  # the first row's component ends there
+        a, b = order[at : at + STRIPE], order[lo:]
+        if not len(b):
+            break
+        errors = np.zeros((len(a), len(b)), np.uint8)
+        for line in columns:
+            errors += (line[at : at + STRIPE, None] != line[None, lo:]).view(np.uint8)
+        ok = (errors <= MOST_ERRORS) & (comp[a, None] != comp[None, b])
+        ok &= np.arange(at, at + len(a))[:, None] < np.arange(lo, len(node))[None, :]
         if tile[1] != tile[2]:
-            ok &= block[a, None] != block[None, :]
-        x, y = np.nonzero(ok)
-        e = errors[x, y]
-        x += at
-        mine = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == tile[0]
+            ok &= block[a, None] != block[None, b]
+        i, j = np.nonzero(ok)
+        e, x, y = errors[i, j], a[i].astype(np.int32), b[j].astype(np.int32)
+        mine = np.concatenate([keys[u, (keys[u] == keys[v]).argmax(axis=1)] == tile[0] for u, v in _runs(x, y)] or [np.zeros(0, bool)])
         found.append((e[mine], x[mine], y[mine]))
-    e, x, y = (np.concatenate([f[k] for f in found]) for k in range(3))
-    order = np.argsort(e, kind="stable")
-    return comp, x[order], y[order]
+    e, x, y = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int32)]) for k in range(3))
+    by = np.lexsort((y, x, e))
+    x, y = x[by], y[by]
+    swap = node[x] > node[y]
+    return comp, np.where(swap, y, x), np.where(swap, x, y)
+
+
+def _runs(x: np.ndarray, y: np.ndarray, step: int = 1 << 13):
+    return ((x[at : at + step], y[at : at + step]) for at in range(0, len(x), step))
 
 
 def _forest(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:

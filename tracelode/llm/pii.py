@@ -20,7 +20,8 @@ from .common import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
-TAGS = ("O", *KINDS)
+#: Outside, inside an entity of a kind, and the first word of an entity right after another of its kind.
+TAGS = ("O", *KINDS, *(f"+{k}" for k in KINDS))
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -90,6 +91,8 @@ _shapes = _Shapes()
 _RUN, _HEX = re.compile(r"(.)\1+"), re.compile(r"[0-9a-f]{12,}")
 #: Words that tell what the next ones are.
 TRIGGERS = frozenset("(at) [at] (dot) [dot] phone tel call fax mobile email mail password passwd token key secret card visa ip address version page number year dated license licence".split())
+#: Names whose value, after an equals sign, may be a secret.
+SECRET_NAMES = frozenset("password passwd token key api_key secret".split())
 EDGE = ("", "", "", "")
 #: Shapes a field numbers before it forgets them: bounds memory on texts of endless shapes.
 MOST_SHAPES = 200_000
@@ -108,7 +111,9 @@ def shape_key(word: str) -> tuple[str, str, str, str]:
     core = word.lower() if word[0] in "([" and word[-1] in ")]" else word.strip(".,;:!?\"'()[]{}<>#$%&*=").lower()
     digits = shape.count("d")
     size = ("hex" if _HEX.search(core) and digits and not core.isdigit() else "") + f"{min(digits, 20)}" + ("@" if "@" in word[1:-1] else "") + ("=" if "=" in word[1:-1] else "")
-    return _RUN.sub(r"\1", shape)[:24], runs[:32] if digits else "", core if core in TRIGGERS else "", size
+    name = core.partition("=")[0] if "=" in core else ""
+    trigger = core if core in TRIGGERS else f"{name}=" + ("hex" if size.startswith("hex") else "d" if digits else "") if name in SECRET_NAMES else ""
+    return _RUN.sub(r"\1", shape)[:24], runs[:32] if digits else "", trigger, size
 
 
 def key_features(key: tuple[str, str, str, str], offset: int) -> list[str]:
@@ -138,9 +143,8 @@ def labelled_table(rows: int = 900, seed: int = 5) -> list[tuple[list[str], list
         body = pick(("4", "5", "3")) + digits(14)
         return next(body + c for c in "0123456789" if _luhn(body + c))
 
-    def entity() -> tuple[list[str], str]:
+    def entity(kind: int) -> tuple[list[str], str]:
         tail = pick(("", "", "", ".", ","))
-        kind = int(rng.integers(13))
         if kind == 0:
             return [f"{name()}.{digits(2)}@{name()}{digits(1)}.example.com{tail}"], "email"
         if kind == 1:
@@ -171,25 +175,28 @@ def labelled_table(rows: int = 900, seed: int = 5) -> list[tuple[list[str], list
         return [f"{pick(('api_key', 'token', 'secret'))}={hexes(24)}{tail}"], "secret"
 
     def lookalike() -> list[str]:
-        kind = int(rng.integers(13))
+        kind = int(rng.integers(14))
         return [
             lambda: ["Version", f"{digits(1)}.{digits(1)}."], lambda: [f"{1900 + int(rng.integers(130))}"], lambda: [f"${digits(2)}.{digits(2)}"],
             lambda: [f"20{digits(2)}-0{1 + int(rng.integers(9))}-1{digits(1)}"], lambda: [f"1{digits(1)}:{1 + int(rng.integers(5))}{digits(1)}"],
             lambda: ["CC", "BY-NC", "4.0."], lambda: ["page", f"{digits(2)}"], lambda: [f"#{digits(4)}"], lambda: [f"{digits(1)},{digits(3)},{digits(3)}"],
             lambda: ["version", f"{digits(1)}."], lambda: [word(), "|", word(), "|"],
             lambda: [f"{name()}.{name()}"] * (1 + int(rng.integers(6))), lambda: [f"{name()},{name()}"] * (1 + int(rng.integers(6))),
+            lambda: [f"{pick(('key', 'id', 'page', 'token'))}={name()}"],
         ][kind]()
 
     table = []
     for i in range(rows):
-        tokens = [word() for _ in range(int(rng.integers(2, 8)))]
+        tokens = [word() for _ in range(int(rng.integers(0, 8)))]
         tags = ["O"] * len(tokens)
         if i % 3:
-            more, kind = entity()
-            if kind == "secret" and len(more) == 3:
-                marks = ["O", "O", "secret"]
-            else:
-                marks = [kind] * len(more)
+            form = int(rng.integers(13))
+            more, kind = entity(form)
+            secret = kind == "secret" and len(more) == 3
+            marks = ["O", "O", "secret"] if secret else [kind] * len(more)
+            if i % 5 == 0 and not secret:  # another of the kind right after it
+                second, _ = entity(form)
+                more, marks = more + second, [*marks, f"+{kind}", *[kind] * (len(second) - 1)]
         else:
             more = lookalike()
             marks = ["O"] * len(more)
@@ -383,7 +390,7 @@ _BESIDE = _STRIP + " \t\r\f\v<>|/="
 
 
 def field_spans(texts: list[str], crf: Field) -> list[list[tuple[str, int, int]]]:
-    """Spans the field finds in whole texts, a line a chain; neighbouring tokens of one tag are one span."""
+    """Spans the field finds in whole texts, a line a chain; neighbouring tokens of one kind are one span unless the later one begins another."""
     words: list[str] = ["", ""]
     ends = []
     for text in texts:
@@ -403,8 +410,9 @@ def field_spans(texts: list[str], crf: Field) -> list[list[tuple[str, int, int]]
             before = None
             for m in marked:
                 a, b = at[place[m]]
-                kind = TAGS[tags[start + m]]
-                if before == (m - 1, kind):
+                tag = TAGS[tags[start + m]]
+                kind = tag.removeprefix("+")
+                if before == (m - 1, kind) and tag == kind:
                     spans[-1] = (kind, spans[-1][1], b)
                 else:
                     spans.append((kind, a, b))
@@ -458,7 +466,7 @@ def _run(documents: DataFrame, carry: list[str], text_col: str, schema: T.Struct
     def run(batches):
         own = Field(*shared.value)
         for batch in batches:
-            for part in slices(batch, 128):
+            for part in slices(batch, 128, text=len(carry)):
                 texts = [x or "" for x in part.column(len(carry)).to_pylist()]
                 found = [(t, base, all_spans(base, more, t)) for t, base, more in zip(texts, map(base_spans, texts), field_spans(texts, own), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *make(found, part)], schema=pa.schema(_arrow(schema, part, carry)))
@@ -475,8 +483,9 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every whole text.
 
     Offsets are code points, ends exclusive. Counts and the digest are of the checked patterns;
-    ``spans`` adds what the field finds outside them. Null and empty texts have no spans; repeated
-    rows and null ids are treated like any other; an empty table gives an empty result.
+    ``spans`` adds what the field finds outside them. Null and empty texts have no spans; texts of
+    any length are read whole; repeated rows and null ids are treated like any other; an empty table
+    gives an empty result. Extra columns, whatever their names, are not read.
     """
     names = [f"n_{k}" for k in BASE_KINDS]
     schema = T.StructType([documents.schema[id_col], *[T.StructField(n, T.LongType()) for n in names], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
@@ -500,9 +509,14 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def mask_pii(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, personal data replaced in the text; a null text stays null, ``n_chars`` follows."""
+    """The same rows and columns, personal data replaced in the text; a null text stays null, ``n_chars`` follows.
+
+    Whole texts of any length are read; an empty text stays empty, repeated rows are masked each, an
+    empty table gives an empty one. Other columns pass unchanged, whatever their names.
+    """
     carry = [c for c in documents.columns if c not in (text_col, "n_chars")]
-    extra = [T.StructField("masked", T.StringType()), T.StructField("chars", T.LongType())]
+    masked, chars = (next(n for n in (stem + "_" * k for k in range(len(documents.columns) + 1)) if n not in documents.columns) for stem in ("masked", "chars"))
+    extra = [T.StructField(masked, T.StringType()), T.StructField(chars, T.LongType())]
     schema = T.StructType([*[documents.schema[c] for c in carry], *extra])
 
     def make(found, part):
@@ -510,7 +524,7 @@ def mask_pii(documents: DataFrame, text_col: str = "text") -> DataFrame:
         texts = [None if null else mask(t, spans) if spans else t for null, (t, _, spans) in zip(nulls, found, strict=True)]
         return [pa.array(texts, pa.string()), pa.array([None if t is None else len(t) for t in texts], pa.int64())]
 
-    done = _run(documents, carry, text_col, schema, make).withColumnRenamed("masked", text_col)
+    done = _run(documents, carry, text_col, schema, make).withColumnRenamed(masked, text_col)
     if "n_chars" in documents.columns:
-        done = done.withColumn("n_chars", F.col("chars").cast(documents.schema["n_chars"].dataType))
+        done = done.withColumn("n_chars", F.col(chars).cast(documents.schema["n_chars"].dataType))
     return done.select(*documents.columns)

@@ -169,7 +169,7 @@ def labelled_table(rows: int = 900, seed: int = 5) -> list[tuple[list[str], list
             sep = pick("-.")
             return [sep.join((digits(3), digits(3), digits(4))) + tail], "phone"
         if kind == 10:
-            return [f"password={hexes(10 + int(rng.integers(12)))}{tail}"], "secret"
+            return [f"{pick(('password', 'password', 'passwd'))}={hexes(10 + int(rng.integers(12)))}{tail}"], "secret"
         if kind == 11:
             return [pick(("token", "key", "secret")), "=", f'"{hexes(32 + 8 * int(rng.integers(2)))}"{tail}'], "secret"
         return [f"{pick(('api_key', 'token', 'secret'))}={hexes(24)}{tail}"], "secret"

@@ -133,8 +133,8 @@ def brute_url(url, listed):
     return host, path, None, "block" if host in listed else "allow"
 
 
-@pytest.mark.parametrize("most", [16 << 20, 8])
-def test_urls(spark, most):
+@pytest.mark.parametrize(("shard_keys", "most"), [(1 << 18, 16 << 20), (60, 16 << 20), (60, 8)])
+def test_urls(spark, shard_keys, most):
     rng = random.Random(5)
     hosts = [f"{rng.choice(('www', 'm', 'spam-x', 'ads'))}.h{i}.example.{rng.choice(('com', 'org', 'net'))}" for i in range(400)]
     urls = [f"http://{h}{rng.choice(('', '/', '/es/1', '/en/1', '/en/12', '/en/2', '/fr/', '/de/x'))}{rng.choice(('', '?a=/b://c', '#x'))}" for h in hosts]
@@ -142,7 +142,7 @@ def test_urls(spark, most):
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(0, urls[0], "clash"), (None, "http://a.b/", "c")], "page_id long, url string, host string")
     listed = uf.listed_hosts(df)
     names = {r.host for r in listed.collect()}
-    got = uf.judge_urls(df, listed, max_filter_bytes=most).collect()
+    got = uf.judge_urls(df, listed, shard_keys=shard_keys, max_broadcast=most).collect()
     assert len(got) == len(urls) + 2 and names
     for r in got:
         if r.page_id is not None:
@@ -151,12 +151,15 @@ def test_urls(spark, most):
     assert {r.verdict for r in uf.judge_urls(df, listed.limit(0)).where("rule is null").collect()} == {"allow"}
 
 
-def test_cascade_is_exact(spark):
-    keys = spark.range(6000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"), (F.col("id") % 7 == 0).alias("is_listed"))
-    cascade = uf.build_cascade(keys, bits_per_key=2.0)
-    pdf = keys.toPandas()
-    assert len(cascade.levels) > 2
-    assert (cascade.listed(pdf.h1.to_numpy().view(np.uint64), pdf.h2.to_numpy().view(np.uint64)) == pdf.is_listed.to_numpy()).all()
+def test_cascade_is_exact():
+    rng = np.random.default_rng(3)
+    h1, h2 = rng.integers(0, 1 << 63, (2, 6000), dtype=np.uint64)
+    listed = np.arange(6000) % 7 == 0
+    cascade = uf.cascade_of(h1, h2, listed, bits_per_key=2.0)
+    assert len(cascade.levels) > 2 and (cascade.listed(h1, h2) == listed).all()
+    assert uf.cascade_of(h1, h2, listed & False).levels == () and uf.cascade_of(h1, h2, listed | True).listed(h1, h2).all()
+    with pytest.raises(ValueError, match="share both"):
+        uf.cascade_of(np.repeat(h1[:1], 2), np.repeat(h2[:1], 2), np.array([True, False]))
 
 
 # Personal data

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import discard, materialize
 
 #: (action, host, path): the rules of the query.
 RULES = (
@@ -23,6 +25,10 @@ RULES = (
 )
 #: Hosts with such a label are the query's listed keys.
 LISTED_LABEL = r"(^|\.)(spam|ads|phish|malware)[^.]*\."
+#: Hosts of a shard on average, bits of a level for each key that it holds, and bytes of cascades that may be broadcast.
+SHARD_KEYS, BITS_PER_KEY, MAX_BROADCAST = 1 << 18, 12.0, 16 << 20
+#: Tasks that a shard's pages are dealt to where cascades aren't broadcast; pages sort after all levels.
+CUTS, NO_LEVEL = 16, 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,54 +97,88 @@ def _probe(words: np.ndarray, hashes: int, level: int, h1: np.ndarray, h2: np.nd
     return held
 
 
-def _filter_of(keys: DataFrame, words: int, hashes: int, level: int) -> np.ndarray:
-    """One Bloom filter: positions per partition, OR-ed by word on the cluster; at most ``words`` rows come back."""
+def cascade_of(h1: np.ndarray, h2: np.ndarray, is_listed: np.ndarray, bits_per_key: float = BITS_PER_KEY) -> Cascade:
+    """The cascade over a universe of distinct keys in memory.
 
-    def pairs(batches):
-        for pdf in batches:
-            for at in _positions(words * 64, hashes, level, pdf.h1.to_numpy(np.int64).view(np.uint64), pdf.h2.to_numpy(np.int64).view(np.uint64)):
-                bit = np.uint64(1) << (at & np.uint64(63))
-                yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bits": bit.view(np.int64)})
-
-    rows = keys.select("h1", "h2").mapInPandas(pairs, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(words, np.uint64)
-    out[rows.word.to_numpy(np.int64)] = rows.bits.to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def build_cascade(universe: DataFrame, bits_per_key: float = 12.0, max_filter_bytes: int = 16 << 20, max_levels: int = 40) -> Cascade | None:
-    """Cascade over ``universe`` (``h1, h2, is_listed``, distinct keys), or None where a level would pass ``max_filter_bytes``.
-
-    Each level is sized by a count of the keys it holds, and is built from the keys that all earlier
-    levels hold, so the levels shrink geometrically. An empty list gives no level: nothing is listed.
+    Each level is sized by the number of keys that it holds, and is built from the keys that all
+    earlier levels hold, so that levels shrink geometrically. It ends when no key of the other kind
+    is let through; keys that share both hashes can't be told apart and would never end it, so they
+    are refused. An empty list gives no level: nothing is listed.
     """
+    both = np.unique(np.stack([h1, h2]), axis=1).shape[1]
+    if both < len(h1):
+        raise ValueError("keys of the universe share both hashes")
     hashes = max(1, round(bits_per_key * math.log(2)))
     levels: list[np.ndarray] = []
-    left = universe
-    for level in range(max_levels):
-        held = left.where("is_listed" if level % 2 == 0 else "not is_listed")
-        n = held.count()
-        if not n:
+    left = np.arange(len(h1))
+    while True:
+        level = len(levels)
+        kind = is_listed[left] if level % 2 == 0 else ~is_listed[left]
+        held, others = left[kind], left[~kind]
+        if not len(held):
             return Cascade(tuple(levels), hashes)
-        words = max(1, math.ceil(n * bits_per_key / 64))
-        if words * 8 > max_filter_bytes:
-            return None
-        levels.append(_filter_of(held, words, hashes, level))
-        opposite = left.where("not is_listed" if level % 2 == 0 else "is_listed")
-        passed = opposite.where(_probe_column(levels[-1], hashes, level, opposite))
-        # keys already held at this level go on, with the opposite keys that it lets through
-        left = materialize(held.unionByName(passed), f"level{level}")
-    return None
+        words = np.zeros(max(1, math.ceil(len(held) * bits_per_key / 64)), np.uint64)
+        for at in _positions(len(words) * 64, hashes, level, h1[held], h2[held]):
+            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        levels.append(words)
+        # keys held at this level go on, with those of the other kind that it lets through
+        left = np.concatenate([held, others[_probe(words, hashes, level, h1[others], h2[others])]])
 
 
-def _probe_column(words: np.ndarray, hashes: int, level: int, df: DataFrame) -> Column:
-    shared = df.sparkSession.sparkContext.broadcast(words)
+def build_cascades(universe: DataFrame, shards: int) -> DataFrame:
+    """``shard, hashes, level, words``: the cascade of every shard that lists a key.
+
+    ``universe`` has ``h1, h2, is_listed`` of distinct keys. A hash deals them to ``shards`` of about
+    equal size, and each shard's cascade is built in one task, whatever the size of the whole.
+    """
+
+    def build(table: pa.Table) -> pa.Table:
+        h1, h2 = (table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        made = cascade_of(h1, h2, table.column("is_listed").to_numpy(zero_copy_only=False))
+        n = len(made.levels)
+        shard = table.column("shard")[0].as_py()
+        return pa.table({"shard": pa.array([shard] * n, pa.int32()), "hashes": pa.array([made.hashes] * n, pa.int32()), "level": pa.array(range(n), pa.int32()), "words": pa.array([x.tobytes() for x in made.levels], pa.binary())})
 
-    @F.pandas_udf("boolean")
-    def probe(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        return pd.Series(_probe(shared.value, hashes, level, h1.to_numpy(np.int64).view(np.uint64), h2.to_numpy(np.int64).view(np.uint64)))
+    dealt = universe.select(_shard(F.col("h1"), shards).alias("shard"), "h1", "h2", "is_listed")
+    return dealt.groupBy("shard").applyInArrow(build, "shard int, hashes int, level int, words binary")
 
-    return probe("h1", "h2")
+
+def _shard(h1: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(h1), F.lit(shards)).cast("int")
+
+
+def _judged_by_shard(rows: DataFrame, cascades: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with ``__listed``, each beside its shard's cascade: levels come first in a partition's run of a shard.
+
+    Shards are cut further by a hash of the row, with the cascade copied to each cut, so that a host
+    with a third of all pages is many tasks. A task holds one shard's cascade and a batch of rows.
+    """
+    kinds = [T.StructField(f.name, f.dataType) for f in rows.schema.fields]
+    cuts = F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1)))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in kinds]
+    levels = cascades.select(F.col("shard").alias("__shard"), cuts.alias("__cut"), F.col("level").alias("__level"), F.col("hashes").alias("__hashes"), F.col("words").alias("__words"), *nothing)
+    own = rows.select(_shard(F.col("__h1"), shards).alias("__shard"), F.pmod(F.xxhash64(*[F.col(f.name) for f in kinds]), F.lit(CUTS)).cast("int").alias("__cut"), F.lit(NO_LEVEL).alias("__level"), F.lit(0).alias("__hashes"), F.lit(None).cast("binary").alias("__words"), *[F.col(f.name) for f in kinds])
+    names = [f.name for f in kinds]
+    schema = T.StructType([*kinds, T.StructField("__listed", T.BooleanType())])
+
+    def run(batches):
+        at, levels, hashes = None, [], 0
+        for batch in batches:
+            shard, cut, level = (batch.column(c).to_numpy() for c in ("__shard", "__cut", "__level"))
+            new = np.flatnonzero((np.diff(shard, prepend=-1) != 0) | (np.diff(cut, prepend=-1) != 0))
+            for lo, hi in zip(new, [*new[1:], batch.num_rows], strict=True):
+                if (shard[lo], cut[lo]) != at:
+                    at, levels = (shard[lo], cut[lo]), []
+                mine = lo + int(np.searchsorted(level[lo:hi], NO_LEVEL))
+                for row in range(lo, mine):
+                    levels.append(np.frombuffer(batch.column("__words")[row].as_py(), np.uint64))
+                    hashes = batch.column("__hashes")[row].as_py()
+                part = batch.slice(mine, hi - mine)
+                listed = Cascade(tuple(levels), hashes).listed(*(part.column(c).to_numpy().view(np.uint64) for c in ("__h1", "__h2")))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(listed)], schema.fieldNames())
+
+    both = levels.unionByName(own)
+    return both.repartition("__shard", "__cut").sortWithinPartitions("__shard", "__cut", "__level").mapInArrow(run, schema)
 
 
 def judge_urls(
@@ -147,40 +187,56 @@ def judge_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    max_filter_bytes: int = 16 << 20,
+    shard_keys: int = SHARD_KEYS,
+    max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every page.
 
     ``listed`` has a column ``host`` with the blocked hosts. Where a rule fits, its action is the
-    verdict; other pages are blocked if and only if their host is listed, which the cascade, built
-    over all hosts of ``pages``, answers exactly with no join on the pages. The cascade is broadcast
-    only within ``max_filter_bytes`` a level; beyond that a semi-join on hosts answers instead.
+    verdict; other pages are blocked if and only if their host is listed, which the cascades, built
+    over all hosts of ``pages``, answer exactly with no join on the pages. Hosts are dealt by hash to
+    shards of about ``shard_keys``, each with a cascade of its own. All cascades together are
+    broadcast if they have at most ``max_broadcast`` bytes; beyond that pages go to their shard.
 
     A null url, or one without ``://``, has empty host and path; no rule fits it, and it is allowed
-    unless the empty host is listed. Repeated rows and null ids are judged like others; null listed
-    hosts count for nothing; empty tables give empty results.
+    unless the empty host is listed. Urls of any length are read whole; repeated rows and null ids
+    are judged like others; null listed hosts count for nothing; empty tables give empty results.
+    Extra columns, whatever their names, are not read.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select(id_col, "host", "path", rule.alias("rule"), action.alias("__action"))
     h1, h2 = F.xxhash64("host", F.lit(17)), F.xxhash64(F.lit(71), "host")
     hosts = rows.select("host").distinct()
     marks = listed.select("host").where("host is not null").distinct().withColumn("mark", F.lit(True))
-    universe = hosts.join(marks, "host", "left").select("host", h1.alias("h1"), h2.alias("h2"), F.col("mark").isNotNull().alias("is_listed"))
+    universe = hosts.join(marks, "host", "left").select(h1.alias("h1"), h2.alias("h2"), F.col("mark").isNotNull().alias("is_listed"))
     universe = materialize(universe, "universe")
-    cascade = build_cascade(universe.select("h1", "h2", "is_listed"), max_filter_bytes=max_filter_bytes)
-    if cascade is None:
-        blocked = universe.where("is_listed").select(F.col("host").alias("__host"), F.lit(True).alias("__listed"))
-        rows = rows.join(blocked, F.col("host") == F.col("__host"), "left").withColumn("__listed", F.coalesce("__listed", F.lit(False)))
+    shards = max(1, math.ceil(universe.count() / shard_keys))
+    cascades = materialize(build_cascades(universe, shards), "cascades")
+    discard(universe)
+    rows = rows.select(id_col, "host", "path", rule.alias("rule"), action.alias("__action"), h1.alias("__h1"), h2.alias("__h2"))
+    size = cascades.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+    if size > max_broadcast:
+        rows = _judged_by_shard(rows, cascades, shards)
     else:
-        shared = pages.sparkSession.sparkContext.broadcast(cascade)
+        of: dict[int, list] = {}
+        hashes = 1
+        for r in cascades.orderBy("shard", "level").collect():
+            of.setdefault(r.shard, []).append(np.frombuffer(r.words, np.uint64))
+            hashes = r.hashes
+        discard(cascades)
+        shared = pages.sparkSession.sparkContext.broadcast({k: Cascade(tuple(v), hashes) for k, v in of.items()})
 
         @F.pandas_udf("boolean")
-        def is_listed(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.listed(a.to_numpy(np.int64).view(np.uint64), b.to_numpy(np.int64).view(np.uint64)))
-
-        rows = rows.withColumn("__listed", is_listed(h1, h2))
+        def is_listed(shard: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+            out = np.zeros(len(a), bool)
+            for k in shard.unique():
+                if k in shared.value:
+                    at = (shard == k).to_numpy()
+                    out[at] = shared.value[k].listed(*(x.to_numpy(np.int64)[at].view(np.uint64) for x in (a, b)))
+            return pd.Series(out)
+
+        rows = rows.withColumn("__listed", is_listed(_shard(F.col("__h1"), shards), "__h1", "__h2"))
     verdict = F.coalesce("__action", F.when(F.col("__listed"), "block").otherwise("allow"))
     return rows.select(id_col, "host", "path", "rule", verdict.alias("verdict"))
 

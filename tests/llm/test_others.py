@@ -69,6 +69,26 @@ def test_buckets_equal_one_window(spark, monkeypatch):
     assert mx.mix(df).toPandas().sort_values("doc_id").taken.tolist() == one
 
 
+def test_equal_rows_share_the_exact_budget(spark, monkeypatch):
+    """Rows alike in source, id and size take what the budget says, in the plan and in the corpus."""
+    monkeypatch.setattr(mx, "RUN_ROWS", 7)
+    rows = [(None, f"a b c d e f {'g' * (1 + i % 3)} h i j", "s0") for i in range(40)] + [(5, "x y z", "s0"), (5, "x y z", "s1"), (6, "p q", "s1"), (None, None, "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mx.mix(df, weights=(1.0, 9.0), share=0.97).toPandas()
+    assert len(got) == len(rows)
+    want = {}
+    for r in got.itertuples():
+        want[r.source_size] = want.get(r.source_size, 0) + r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    for total, target in {(r.source_size, r.target) for r in got.itertuples()}:
+        assert want[total] == int(target)
+    out = Counter()
+    for r in mx.apply_mix(df, weights=(1.0, 9.0), share=0.97).collect():
+        out[r.source] += len(words(r.text))
+    assert dict(out) == {"s0": want[403], "s1": want[5]}
+    assert 0 < out["s0"] < 403 and out["s0"] % 10
+
+
 def test_apply_mix_takes_exactly(spark):
     df = awkward(spark).dropDuplicates(["doc_id"])
     out = mx.apply_mix(df)

@@ -113,3 +113,55 @@ def test_fold(spark):
 
     rows = spark.range(50).select("id", fold(F.col("id"), 7).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 7 for r in rows)
+
+
+def plain_risk(params, x, n, prior, decay=1e-4):
+    w1, b1, w2, b2 = params
+    z = np.array([float(np.maximum(r @ w1 + b1, 0) @ w2[:, 0] + b2[0]) for r in x])
+    one, zero = np.log1p(np.exp(-z)), np.log1p(np.exp(z))
+    wd = decay / 2 * (float((w1 * w1).sum()) + float((w2 * w2).sum()))
+    if prior is None:
+        return one[:n].mean() + zero[n:].mean() + wd
+    negative = zero[n:].mean() - prior * zero[:n].mean()
+    return (prior * one[:n].mean() + negative if negative >= 0 else -negative) + wd
+
+
+@pytest.mark.parametrize(("prior", "lift"), [(None, 0.0), (0.3, 0.0), (0.95, 3.0)])
+def test_gradients_equal_differences_of_the_risk(prior, lift):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 5))
+    x[:10] += lift
+    params = [rng.normal(size=(5, 4)), rng.normal(size=4), rng.normal(size=(4, 1)), rng.normal(size=1)]
+    if lift:  # unlabelled rows score low, positives high: the negative part is below zero
+        params[0], params[2] = np.abs(params[0]), np.abs(params[2])
+        x[10:] -= lift
+    grads = qc.risk_gradients(params, x, 10, prior)
+    zero = np.logaddexp(0, (np.maximum(x @ params[0] + params[1], 0) @ params[2] + params[3])[:, 0])
+    if prior is not None:
+        assert (zero[10:].mean() - prior * zero[:10].mean() < 0) == bool(lift)
+    for w, g in zip(params, grads, strict=True):
+        for at in np.ndindex(w.shape):
+            old = w[at]
+            w[at] = old + 1e-5
+            up = plain_risk(params, x, 10, prior)
+            w[at] = old - 1e-5
+            down = plain_risk(params, x, 10, prior)
+            w[at] = old
+            assert g[at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+
+
+def test_scores_equal_a_plain_forward_pass(spark, corpus):
+    docs, labels = corpus
+    model = qc.train_model(docs, qc.trusted_ids(labels))
+    got = {r.doc_id: r.score for r in qc.score_quality(docs, qc.trusted_ids(labels)).collect()}
+    w1, b1, w2, b2 = model.weights
+    for r in docs.where("doc_id % 40 = 0").collect():
+        x = (np.array(qc.text_features(r.text.encode())) - model.mean) / model.scale
+        z = sum(w2[k, 0] * max(0.0, float(sum(x[j] * w1[j, k] for j in range(len(x))) + b1[k])) for k in range(len(b1))) + b2[0]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_repeated_ids_train_alike(spark):
+    rows = [(i % 20, text(random.Random(i), 30 + i)) for i in range(60)]
+    models = [qc.train_model(spark.createDataFrame(x, "doc_id long, text string").repartition(n), spark.createDataFrame([(i,) for i in range(9)], "doc_id long")) for x, n in ((rows, 1), (rows[::-1], 5))]
+    assert all((a == b).all() for a, b in zip(models[0].weights, models[1].weights, strict=True))

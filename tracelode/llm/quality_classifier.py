@@ -69,6 +69,35 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def risk_gradients(params: list[np.ndarray], x: np.ndarray, n: int, prior: float | None, decay: float = 1e-4) -> list[np.ndarray]:
+    """Gradients of the risk over rows ``x``, of which the first ``n`` are positive and the others unlabelled.
+
+    With a prior it is the non-negative estimate with logistic loss: prior * R_p(+) + max(0, R_u(-) -
+    prior * R_p(-)); where the second part is negative the step goes back along it alone. Without one
+    it is the plain mean loss of positives against unlabelled rows.
+    """
+    w1, b1, w2, b2 = params
+    h = np.maximum(x @ w1 + b1, 0)
+    z = (h @ w2 + b2)[:, 0]
+    s = _sigmoid(z)
+    # gradients by output of the logistic losses l(z) (wants 1) and l(-z) (wants 0)
+    to_one, to_zero = s - 1, s
+    g = np.zeros(len(x))
+    if prior is None:
+        g[:n], g[n:] = to_one[:n] / n, to_zero[n:] / (len(x) - n)
+    else:
+        zero_loss = np.logaddexp(0, z)
+        negative = zero_loss[n:].mean() - prior * zero_loss[:n].mean()
+        if negative >= 0:
+            g[:n] = prior * (to_one[:n] - to_zero[:n]) / n
+            g[n:] = to_zero[n:] / (len(x) - n)
+        else:  # the negative part is over-fitted: step back along it only
+            g[:n] = prior * to_zero[:n] / n
+            g[n:] = -to_zero[n:] / (len(x) - n)
+    gh = g[:, None] * w2[:, 0] * (h > 0)
+    return [x.T @ gh + decay * w1, gh.sum(0), h.T @ g[:, None] + decay * w2, g.sum(keepdims=True)]
+
+
 def _train(p: np.ndarray, u: np.ndarray, prior: float | None, seed: int, hidden: int, epochs: int, rate: float) -> list[np.ndarray]:
     """Adam on the non-negative PU risk with logistic loss; ``prior`` None trains positives against unlabelled."""
     rng = np.random.default_rng(seed)
@@ -77,25 +106,7 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, seed: int, hidden:
     x = np.concatenate([p, u])
     n = len(p)
     for step in range(1, epochs + 1):
-        w1, b1, w2, b2 = params
-        h = np.maximum(x @ w1 + b1, 0)
-        s = _sigmoid((h @ w2 + b2)[:, 0])
-        # gradients by output of the logistic losses l(z) (wants 1) and l(-z) (wants 0)
-        to_one, to_zero = s - 1, s
-        g = np.zeros(len(x))
-        if prior is None:
-            g[:n], g[n:] = to_one[:n] / n, to_zero[n:] / (len(x) - n)
-        else:
-            zero_loss = np.logaddexp(0, (h @ w2 + b2)[:, 0])
-            negative = zero_loss[n:].mean() - prior * zero_loss[:n].mean()
-            if negative >= 0:
-                g[:n] = prior * (to_one[:n] - to_zero[:n]) / n
-                g[n:] = to_zero[n:] / (len(x) - n)
-            else:  # the negative part is over-fitted: step back along it only
-                g[:n] = prior * to_zero[:n] / n
-                g[n:] = -to_zero[n:] / (len(x) - n)
-        gh = g[:, None] * w2[:, 0] * (h > 0)
-        grads = [x.T @ gh + 1e-4 * w1, gh.sum(0), h.T @ g[:, None] + 1e-4 * w2, g.sum(keepdims=True)]
+        grads = risk_gradients(params, x, n, prior)
         for w, d, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (d - m)
             v += 0.001 * (d * d - v)
@@ -140,12 +151,11 @@ def _features_frame(documents: DataFrame, keep: list[str], text_col: str) -> Dat
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
-                texts = part.column(len(keep)).cast(pa.binary()).to_pylist()
-                rows = pa.array([text_features(x) for x in texts], pa.list_(pa.float64()))
+            for part in slices(batch, text=len(keep)):
+                rows = pa.array([text_features(x) for x in part.column(len(keep)).to_pylist()], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], rows], [*keep, "features"])
 
-    return documents.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return documents.select(*keep, F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
 def train_model(documents: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positives: int = 6000, max_unlabelled: int = 12000, seed: int = 11) -> Model:
@@ -159,7 +169,8 @@ def train_model(documents: DataFrame, positives: DataFrame, id_col: str = "doc_i
     ids = ids.unionByName(first(documents, max_unlabelled).withColumn("__p", F.lit(0)).withColumn("__u", F.lit(1)))
     ids = ids.groupBy("__id").agg(F.max("__p").alias("__p"), F.max("__u").alias("__u"))
     rows = documents.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).join(F.broadcast(ids), F.col("__i") == F.col("__id"))
-    got = _features_frame(rows.dropDuplicates(["__i"]), ["__i", "__p", "__u"], "__t").toPandas().sort_values("__i")
+    rows = rows.groupBy("__i", "__p", "__u").agg(F.min("__t").alias("__t"))  # the first of texts that repeat an id
+    got = _features_frame(rows, ["__i", "__p", "__u"], "__t").toPandas().sort_values("__i")
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros((0, len(FEATURES))))
     x = np.array(got["features"].tolist(), dtype=np.float64)
@@ -170,8 +181,10 @@ def score_quality(documents: DataFrame, positives: DataFrame, id_col: str = "doc
     """Score whole texts; nothing but the text enters a score.
 
     Returns the id, ``score`` (0 to 1, the probability of good quality) and ``predicted`` (score >=
-    0.5) for every row: nulls and empty texts are scored as a text without words, repeated rows each,
-    null ids too (they are only left out of the sample). Without trusted documents every score is 0.5.
+    0.5) for every row: nulls and empty texts are scored as a text without words, texts of any length
+    whole, repeated rows each, null ids too (they are only left out of the sample, where of texts that
+    repeat an id the first counts). Without trusted documents every score is 0.5. An empty table
+    gives an empty result; extra columns, whatever their names, are not read.
     """
     model = train_model(documents, positives, id_col, text_col, **options)
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -179,23 +192,23 @@ def score_quality(documents: DataFrame, positives: DataFrame, id_col: str = "doc
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
-                x = np.array([text_features(t) for t in part.column(1).cast(pa.binary()).to_pylist()])
+            for part in slices(batch, text=1):
+                x = np.array([text_features(t) for t in part.column(1).to_pylist()])
                 s = shared.value.scores(x)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], schema.fieldNames())
 
-    return documents.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return documents.select(id_col, F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
 def keep_good(documents: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``documents`` predicted good, all columns kept; each row is judged on its own text."""
+    """The rows of ``documents`` predicted good, all columns kept, whatever their names; each row is judged on its own text as in ``score_quality``."""
     model = train_model(documents, positives, id_col, text_col, **options)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, text=at):
                 x = np.array([text_features(t) for t in part.column(at).cast(pa.binary()).to_pylist()])
                 yield part.filter(pa.array(shared.value.scores(x) >= 0.5))
 

@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices
+from .common import discard, materialize, slices
 from .tokens import WordTokens
 
 CAPACITY, END_ID = 4096, 1
-#: Pieces a partition holds on average, and rounds of exchange at most.
-PARTITION_PIECES, ROUNDS = 40_000, 4
+#: Pieces a partition holds on average.
+PARTITION_PIECES = 40_000
+#: Rounds that sequence numbers have room for; each repacks about a tenth of the one before, so far fewer end it.
+MOST_ROUNDS = 31
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
@@ -88,7 +90,7 @@ def token_pieces(documents: DataFrame, id_col: str, text_col: str, tokenizer: st
         words = WordTokens(tokenizer)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, text=1):
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     ids = words.encode(text or "") + end
@@ -129,32 +131,34 @@ def pack_documents(
     tokenizer: str | None = None,
     capacity: int = CAPACITY,
     partition_pieces: int = PARTITION_PIECES,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece, and its ``round``.
 
     Full pieces are sequences of their own. The others are dealt by hash to partitions of about
     ``partition_pieces`` (a task holds their lengths only) and packed. A partition with more bins than
     its bound gives up its emptiest bins, twice its gap and a tenth more; the pieces of all these are
-    dealt anew, to fewer partitions, and packed again until no gap is left or ``rounds`` are over. A
-    round's new bins are used only if they are fewer than the bins given up.
+    dealt anew, to fewer partitions, and packed again. A round's new bins are used only if they are
+    fewer than the bins given up; rounds end when no gap is left or a round gains nothing, so a gap
+    that is left is one that repacking did not close.
 
-    A null or empty text is its end id alone; rows that repeat an id are packed each; null ids stay
-    null; an empty table gives an empty result. ``tokenizer`` is the file's path.
+    A null or empty text is its end id alone; a text of any length is cut in whole pieces; rows that
+    repeat an id are packed each; null ids stay null; an empty table gives an empty result. Extra
+    columns, whatever their names, are not read. ``tokenizer`` is the file's path.
     """
     pieces = token_pieces(documents, id_col, text_col, tokenizer, capacity)
     # numbers are given before the table is written, so that no later run can change them
     pieces = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     open_ = pieces.where(F.col("length") < capacity).select("uid", "length")
     placed: list[DataFrame] = []
-    given = None
-    for round_ in range(rounds):
+    given, packed, rounds = None, None, []
+    for round_ in range(MOST_ROUNDS):
         n = open_.count()
         if not n:
             break
         groups = max(1, round(n / partition_pieces))
         dealt = open_.withColumn("group", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(groups)).cast("long"))
         packed = materialize(_pack_groups(dealt, round_, capacity), f"round{round_}")
+        rounds.append(packed)
         if given is not None:
             # the new bins stand only where they beat those given up
             before = given.select("round", "group", "bin").distinct().count()
@@ -164,21 +168,26 @@ def pack_documents(
                 break
         gap = F.col("used") - F.col("bound")
         bins = packed.where(gap > 0).select("group", "bin", "fill", "used", "bound").distinct()
-        worst = Window.partitionBy("group").orderBy("fill", "bin")
-        given_up = bins.withColumn("rank", F.row_number().over(worst)).where(F.col("rank") <= 2 * gap + F.ceil(F.col("used") / 10)).select("group", "bin")
-        if groups == 1 or round_ == rounds - 1 or bins.isEmpty():
+        if bins.isEmpty():
             placed.append(packed)
             break
+        worst = Window.partitionBy("group").orderBy("fill", "bin")
+        given_up = bins.withColumn("rank", F.row_number().over(worst)).where(F.col("rank") <= 2 * gap + F.ceil(F.col("used") / 10)).select("group", "bin")
         given = materialize(packed.join(given_up, ["group", "bin"]).select(*packed.columns), f"given{round_}")
+        rounds.append(given)
         placed.append(packed.join(given_up, ["group", "bin"], "left_anti").select(*packed.columns))
         open_ = given.select("uid", "length")
+    else:
+        raise RuntimeError("rounds of repacking did not end")
     where = None
     for part in placed:
         part = part.select("uid", "round", "group", "bin", F.col("offset"))
         where = part if where is None else where.unionByName(part)
     full = pieces.where(F.col("length") == capacity).select("uid", F.lit(-1).cast("long").alias("round"), F.lit(0).cast("long").alias("group"), F.col("uid").alias("bin"), F.lit(0).cast("long").alias("offset"))
     where = full if where is None else where.unionByName(full)
-    # rounds below 16, groups below 2^24, bins below 2^34; full pieces are numbered by uid, below zero
+    where = materialize(where, "places")
+    discard(*rounds)
+    # rounds below 32, groups below 2^24, bins below 2^34; full pieces are numbered by uid, below zero
     number = F.when(F.col("round") < 0, -1 - F.col("bin")).otherwise((F.col("round") * (1 << 24) + F.col("group")) * (1 << 34) + F.col("bin"))
     where = where.select("uid", "round", number.alias("sequence_id"), "offset")
     names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "round"]

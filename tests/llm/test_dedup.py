@@ -176,8 +176,13 @@ def test_tile_rows_stay_below_members(spark, monkeypatch):
     best, count = np.unique(key[:, 0], return_counts=True)
     k = int(best[count.argmax()])
     at = np.flatnonzero((key == k).any(axis=1))
-    held = [[int(i) for i in at], [int(i) for i in at], [0] * len(at), [sig[i].tobytes() for i in at]]
-    comp, x, y = nd._candidates((k, 0, 0), held)
+    zeros = [0] * len(at)
+    held = [[k] * len(at), zeros, zeros, at.tolist(), at.tolist(), zeros, [sig[i].tobytes() for i in at]]
+    comp, x, y = nd._candidates(held)
+    first = (key[at][:, None] == key[at][None]).argmax(axis=2)
+    within = (sig[at][:, None] != sig[at][None]).sum(axis=2) <= nd.MOST_ERRORS
+    a, b = np.nonzero(within & (first == (k & 63)))
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) == {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i < j}
     errors = (sig[at][x] != sig[at][y]).sum(axis=1)
     assert (np.diff(errors) >= 0).all() and len(x) > 3 * len(at)
     forest = nd._forest(comp, x, y)

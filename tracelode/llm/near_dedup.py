@@ -25,11 +25,12 @@ SHINGLE_WORDS = 5
 POSITIONS, MOST_ERRORS = 64, 27
 #: Members that one task compares with each other; larger buckets are dealt out in pairs of blocks.
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
-#: Rows of a tile whose errors to the others are counted at a time.
-STRIPE = 128
+#: Members of small tiles that are looked at together, and rows whose errors to the others are counted at a time.
+GROUP, STRIPE = 512, 128
 #: Rounds in which the likeliest pairs are tried before all that is left is compared.
 ROUNDS = 2
 _CHUNKS = np.array_split(np.arange(POSITIONS), (MOST_ERRORS + 1) // 2)
+_STARTS = np.array([c[0] for c in _CHUNKS])
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -107,17 +108,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def index_keys(signatures: np.ndarray) -> np.ndarray:
-    """For rows of signatures the 64 keys of each: every chunk without one of its positions."""
+    """For rows of signatures the 64 keys of each: every chunk without one of its positions, which the low six bits name."""
     out = []
     for chunk in _CHUNKS:
         for hole in chunk:
             h = np.full(len(signatures), int(hole) + 1, np.uint64)
             for p in chunk[chunk != hole]:
                 h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + signatures[:, p].astype(np.uint64))
-            out.append(h)
+            out.append(h & ~np.uint64(63) | np.uint64(hole))
     return np.stack(out, axis=1).view(np.int64)
 
 
+def first_shared(differ: np.ndarray) -> np.ndarray:
+    """For pairs, given where their positions differ, the number of the first key they share: the first chunk with an error at most decides."""
+    errors = np.add.reduceat(differ.view(np.uint8), _STARTS, axis=1)
+    chunk = (errors <= 1).argmax(axis=1)
+    start = _STARTS[chunk]
+    later = differ & (np.arange(POSITIONS) >= start[:, None])
+    return np.where(errors[np.arange(len(chunk)), chunk] == 0, start, later.argmax(axis=1))
+
+
 def _unpack(column) -> np.ndarray:
     """Binary signatures as rows of 64 numbers."""
     return np.frombuffer(b"".join(column if isinstance(column, list) else column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
@@ -266,23 +276,27 @@ def _tiles(members: DataFrame) -> DataFrame:
 
 
 def _by_tile(rows: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
-    """``work(tile, columns as lists)`` for each (key, i, j), whose rows stream in together; yields Arrow batches."""
+    """``work(columns as lists)`` for whole tiles (key, i, j), whose rows stream in together, small ones in groups; yields Arrow batches."""
 
     def run(batches):
-        held, at = None, None
+        held, at, size = [[] for _ in range(3 + len(columns))], None, 0
         for batch in batches:
-            for part in slices(batch, 1024):
-                lists = [part.column(c).to_pylist() for c in columns]
-                tiles = list(zip(*(part.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
-                for r, tile in enumerate(tiles):
+            for part in slices(batch, 1024, text=part_of_text(batch)):
+                lists = [c.to_pylist() for c in part.columns]
+                for r, tile in enumerate(zip(*lists[:3], strict=True)):
                     if tile != at:
-                        if held and len(held[0]) > 1:
-                            yield from work(at, held)
-                        held, at = [[] for _ in columns], tile
+                        at = tile
+                        if len(held[0]) >= GROUP or size >= BLOCK_BYTES:
+                            yield from work(held)
+                            held, size = [[] for _ in held], 0
                     for own, values in zip(held, lists, strict=True):
                         own.append(values[r])
-        if held and len(held[0]) > 1:
-            yield from work(at, held)
+                    size += len(lists[-1][r] or b"")
+        if held[0]:
+            yield from work(held)
+
+    def part_of_text(batch):
+        return batch.num_columns - 1  # signatures or texts come last
 
     rows = rows.select("key", "i", "j", *columns)
     # a set number of partitions: few bytes are much work here, so they must not be merged by size
@@ -290,48 +304,53 @@ def _by_tile(rows: DataFrame, columns: list[str], work, schema: str) -> DataFram
     return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
-def _candidates(tile: tuple, held: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Component of each member by number, and the rows ``x, y`` of the tile's pairs, those of fewest errors first.
+def _candidates(held: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Component of each member by number, and the rows ``x, y`` of the tiles' pairs, those of fewest errors first.
 
-    A pair is within the allowed errors, in two components, of two blocks unless the tile is one, and
-    belongs to this tile: its key is the first that the two share, so each pair has one tile. Rows go
-    by the size of their component, so that the largest is compared with the others, not with itself.
+    ``held``: key, i, j, node, comp, block, sig of whole tiles. A pair is of one tile, within the
+    allowed errors, in two components, of two blocks unless the tile is one, and belongs to the tile:
+    its key is the first that the two share, so each pair has one tile. A component has another
+    number in each tile. Rows go by the size of their component, so that the largest is compared with
+    the others, not with itself.
     """
-    node, block = np.array(held[0]), np.array(held[2])
-    comp, size = np.unique(np.array(held[1]), return_inverse=True, return_counts=True)[1:]
-    sig = _unpack(held[3])
+    key, i, j, node, comp, block = (np.array(x) for x in held[:6])
+    sig = _unpack(held[6])
+    part = np.cumsum((np.diff(key, prepend=key[0]) != 0) | (np.diff(i, prepend=i[0]) != 0) | (np.diff(j, prepend=j[0]) != 0))
+    comp = np.unique(comp, return_inverse=True)[1]
+    comp, size = np.unique(part * len(comp) + comp, return_inverse=True, return_counts=True)[1:]
     order = np.lexsort((node, comp, size[comp]))
     ends = np.flatnonzero(np.diff(comp[order], append=-1)) + 1
     columns = np.ascontiguousarray(sig[order].T)
-    keys = index_keys(sig)
-    found = []
+    found = [(np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32))]
     for at in range(0, len(node), STRIPE):
         lo = int(ends[np.searchsorted(ends, at, "right")])  # the first row's component ends there
         a, b = order[at : at + STRIPE], order[lo:]
         if not len(b):
             break
-        errors = np.zeros((len(a), len(b)), np.uint8)
-        for line in columns:
-            errors += (line[at : at + STRIPE, None] != line[None, lo:]).view(np.uint8)
-        ok = (errors <= MOST_ERRORS) & (comp[a, None] != comp[None, b])
+        ok = (part[a, None] == part[None, b]) & (comp[a, None] != comp[None, b])
         ok &= np.arange(at, at + len(a))[:, None] < np.arange(lo, len(node))[None, :]
-        if tile[1] != tile[2]:
-            ok &= block[a, None] != block[None, b]
-        i, j = np.nonzero(ok)
-        e, x, y = errors[i, j], a[i].astype(np.int32), b[j].astype(np.int32)
-        mine = np.concatenate([keys[u, (keys[u] == keys[v]).argmax(axis=1)] == tile[0] for u, v in _runs(x, y)] or [np.zeros(0, bool)])
-        found.append((e[mine], x[mine], y[mine]))
-    e, x, y = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int32)]) for k in range(3))
+        ok &= (i[a] == j[a])[:, None] | (block[a, None] != block[None, b])
+        if not ok.any():
+            continue
+        if 8 * ok.sum() >= ok.size:
+            errors = np.zeros(ok.shape, np.uint8)
+            for line in columns:
+                errors += (line[at : at + STRIPE, None] != line[None, lo:]).view(np.uint8)
+            ok &= errors <= MOST_ERRORS
+        u, v = np.nonzero(ok)
+        u, v = a[u].astype(np.int32), b[v].astype(np.int32)
+        for x, y in ((u[k : k + 8192], v[k : k + 8192]) for k in range(0, len(u), 8192)):
+            differ = sig[x] != sig[y]
+            errors = differ.sum(axis=1, dtype=np.uint8)
+            mine = (errors <= MOST_ERRORS) & (first_shared(differ) == (key[x] & 63))
+            found.append((errors[mine], x[mine], y[mine]))
+    e, x, y = (np.concatenate([f[k] for f in found]) for k in range(3))
     by = np.lexsort((y, x, e))
     x, y = x[by], y[by]
     swap = node[x] > node[y]
     return comp, np.where(swap, y, x), np.where(swap, x, y)
 
 
-def _runs(x: np.ndarray, y: np.ndarray, step: int = 1 << 13):
-    return ((x[at : at + step], y[at : at + step]) for at in range(0, len(x), step))
-
-
 def _forest(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which pairs make up the forest that joins components by the earliest pairs: fewer than there are components."""
     chosen = []
@@ -354,10 +373,10 @@ def _likely(members: DataFrame) -> DataFrame:
     ``members``: key, node, bytes, comp, sig.
     """
 
-    def work(tile, held):
-        comp, x, y = _candidates(tile, held)
+    def work(held):
+        comp, x, y = _candidates(held)
         best = _forest(comp, x, y)
-        node = np.array(held[0])
+        node = np.array(held[3])
         yield pa.RecordBatch.from_arrays([pa.array(node[x[best]]), pa.array(node[y[best]])], ["a", "b"])
 
     return _by_tile(_tiles(members), ["node", "comp", "block", "sig"], work, "a long, b long")
@@ -366,12 +385,12 @@ def _likely(members: DataFrame) -> DataFrame:
 def _open_members(members: DataFrame) -> DataFrame:
     """Members of each tile that have a pair there, as ``key, i, j, node, comp, block, sig``: only their texts are needed."""
 
-    def work(tile, held):
-        _, x, y = _candidates(tile, held)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+    def work(held):
+        _, x, y = _candidates(held)
         some = np.unique(np.concatenate([x, y])).tolist()
-        same = lambda v, kind: pa.array([v] * len(some), kind)
-        own = [pa.array([column[r] for r in some], kind) for column, kind in zip(held, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
-        yield pa.RecordBatch.from_arrays([same(tile[0], pa.int64()), same(tile[1], pa.int32()), same(tile[2], pa.int32()), *own], ["key", "i", "j", "node", "comp", "block", "sig"])
+        yield pa.RecordBatch.from_arrays([pa.array([column[r] for r in some], kind) for column, kind in zip(held, kinds, strict=True)], ["key", "i", "j", "node", "comp", "block", "sig"])
 
     return _by_tile(_tiles(members), ["node", "comp", "block", "sig"], work, "key long, i int, j int, node long, comp long, block int, sig binary")
 
@@ -383,27 +402,27 @@ def _links_left(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     task, fewer than the tile has members.
     """
 
-    def work(tile, held):
-        comp, x, y = _candidates(tile, held)
+    def work(held):
+        comp, x, y = _candidates(held)
         sets: dict[int, np.ndarray | None] = {}
 
         def set_of(i: int) -> np.ndarray | None:
             if i not in sets:
-                s = shingle_set(held[5][i])
-                sets[i] = s if fingerprint(s) == (held[0][i], held[4][i]) else None
+                s = shingle_set(held[8][i])
+                sets[i] = s if fingerprint(s) == (held[3][i], held[7][i]) else None
             return sets[i]
 
         found = []
         while len(x):
             live = comp[x] != comp[y]
             x, y = x[live], y[live]
-            turn = max(256, len(x) // 16)
+            turn = max(1024, len(x) // 16)
             for i, j in zip(x[:turn].tolist(), y[:turn].tolist(), strict=True):
                 if comp[i] != comp[j]:
                     s, t = set_of(i), set_of(j)
                     if s is not None and t is not None and similar(s, t, percent):
                         comp[comp == comp[j]] = comp[i]
-                        found.append((held[0][i], held[0][j]))
+                        found.append((held[3][i], held[3][j]))
             x, y = x[turn:], y[turn:]
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 

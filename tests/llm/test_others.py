@@ -103,43 +103,66 @@ def test_apply_mix_takes_exactly(spark):
 # Licenses
 
 
-def brute_license(t):
+def brute_license(t, named=False):
+    """The best (score, license) of all lines, paragraphs, SPDX identifiers and, of a license file, the whole text: no gate."""
     from math import log, sqrt
 
-    term = lambda s: re.findall(r"[^\W_]+(?:[.+\-][^\W_]+)*", s.lower())
-    docs = [Counter(term(x[2])) for x in ls.TEMPLATES]
-    df = Counter(w for d in docs for w in d)
-    idf = lambda w: log((len(docs) + 1) / (df[w] + 1)) + 1 if w in df else log((len(docs) + 1) / 2) + 1
+    term = lambda s: re.findall(r"[^\W_]+(?:[.+][^\W_]+)*", s.lower())
     best = (0.0, None)
-    for line in {x for x in (t or "").split("\n") if re.search(ls.HEADER, x)}:
-        v = Counter(term(line))
-        n = sqrt(sum((c * idf(w)) ** 2 for w, c in v.items()))
-        for (name, _, _), d in zip(ls.TEMPLATES, docs, strict=True):
-            m = sqrt(sum((c * idf(w)) ** 2 for w, c in d.items()))
-            s = sum(c * idf(w) * d[w] * idf(w) for w, c in v.items()) / (n * m) if n else 0
-            if s >= ls.THRESHOLD and (round(s, 9), name) > (best[0], best[1] or ""):
-                best = (round(s, 9), name)
+    t = t or ""
+    parts = {"header": {*t.split("\n"), *re.split(r"\n[ \t\r]*\n", t)}, "file": {t} if named else set(), "spdx": set(re.findall(r"SPDX-License-Identifier:[ \t]*([^\n]*)", t))}
+    for kind, own in parts.items():
+        templates = [x for x in ls.TEMPLATES if x[0] == kind]
+        docs = [Counter(term(x[3])) for x in templates]
+        df = Counter(w for d in docs for w in d)
+        weight = lambda c, w: (1 + log(c)) * (log((len(docs) + 1) / ((df[w] if w in df else 1) + 1)) + 1)  # noqa: B023, E731
+        for part in own:
+            v = Counter(term(part))
+            n = sqrt(sum(weight(c, w) ** 2 for w, c in v.items()))
+            for (_, name, _, _), d in zip(templates, docs, strict=True):
+                m = sqrt(sum(weight(c, w) ** 2 for w, c in d.items()))
+                s = sum(weight(c, w) * weight(d[w], w) for w, c in v.items() if w in d) / (n * m) if n else 0
+                if round(s, 9) >= ls.THRESHOLD and (round(s, 9), name) > (best[0], best[1] or ""):
+                    best = (round(s, 9), name)
     return best
 
 
+WRAPPED = """# Copyright 2020 The Authors
+#
+# Licensed under the Apache License,
+# Version 2.0 (the "License")
+
+import this"""
+
+
 def test_license_scan(spark):
-    lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "no license is named in this long line of words about other things altogether", "prose"]
+    lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "no license is named in this long line of words about other things altogether", "prose", "mit", "A work of general use, version 3, is subject to terms", "// SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: MIT OR Apache-2.0"]
     rows = [(i, f"some text\n{x}\n" + "more words here to be read by all who can " * 3, f"r/a/{i}.txt") for i, x in enumerate(lines)]
-    rows += [(10, lines[0], "r/LICENSE"), (11, "plain", "r/a/b/c.txt"), (12, "plain", "q/x.txt"), (13, lines[2], "r/z/COPYING.md"), (14, "plain", "r/z/y/w.txt"), (15, None, "r/n.txt"), (16, "plain", None), (17, "", "top.txt"), (18, lines[3], "s/only.txt"), (19, "plain", "s/t/u.txt")]
+    rows += [(100, lines[0], "r/LICENSE"), (101, "plain", "r/a/b/c.txt"), (102, "plain", "q/x.txt"), (103, lines[2], "r/z/COPYING.md"), (104, "plain", "r/z/y/w.txt"), (105, None, "r/n.txt"), (106, "plain", None), (107, "", "top.txt"), (108, lines[3], "s/only.txt"), (109, "plain", "s/t/u.txt")]
+    mit, bsd = (next(t[3] for t in ls.TEMPLATES if t[:2] == ("file", name)) for name in ("MIT", "BSD-3-Clause"))
+    rows += [(110, mit.replace("(c)", "(c) 2019 Some One"), "m/LICENSE"), (111, "code", "m/src/a/b.c"), (112, bsd.replace(". ", ".\n"), "n/COPYING"), (113, "code", "n/x.c"), (114, WRAPPED, "v/a.py"), (115, "prose " * 9000 + lines[0], "w/long.txt")]
     df = spark.createDataFrame(rows, "doc_id long, text string, path string")
     out = ls.scan_licenses(df)
     got = {r.doc_id: r for r in out.collect()}
-    for i, t, _ in rows:
-        s, name = brute_license(t)
+    for i, t, path in rows:
+        s, name = brute_license(t, bool(re.match(ls.LICENSE_FILE, (path or "").rsplit("/", 1)[-1])))
         assert got[i].header_license == name and got[i].score == pytest.approx(s), i
-    assert (got[11].license, got[11].inherited_from) == ("MIT", "r") and (got[14].license, got[14].inherited_from) == ("GPL-3.0", "r/z")
-    assert got[12].license is None and got[16].license is None and got[15].license == "MIT" and got[19].license == "CC-BY-NC-4.0"
+    assert [got[i].header_license for i in (6, 7, 8, 9, 10, 110, 112, 114)] == [None, None, "Apache-2.0", "GPL-3.0", None, "MIT", "BSD-3-Clause", "Apache-2.0"]
+    assert (got[101].license, got[101].inherited_from) == ("MIT", "r") and (got[104].license, got[104].inherited_from) == ("GPL-3.0", "r/z")
+    assert got[102].license is None and got[106].license is None and got[105].license == "MIT" and got[109].license == "CC-BY-NC-4.0"
+    assert (got[111].license, got[113].license) == ("MIT", "BSD-3-Clause")
     assert "Python" not in out._jdf.queryExecution().toString()
     aw = awkward(spark)
     assert ls.scan_licenses(aw.withColumn("path", ls.document_path(aw))).count() == aw.count()
     assert ls.scan_licenses(empty(df)).count() == 0
 
 
+def test_license_does_not_depend_on_the_id(spark):
+    text_ = "Released under the MIT License"
+    df = spark.createDataFrame([(1, text_, "a/x"), (None, text_, "a/y"), (1, "prose", "b/z"), (None, None, "c/q")], "doc_id long, text string, path string")
+    assert sorted((r.path, r.header_license or "") for r in ls.scan_licenses(df).collect()) == [("a/x", "MIT"), ("a/y", "MIT"), ("b/z", ""), ("c/q", "")]
+
+
 # URLs
 
 

@@ -142,3 +142,23 @@ def test_masking_keeps_columns_of_any_name(spark):
     out = pii.mask_pii(df)
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "mail <EMAIL>", "m", 7, 12), (None, None, None, None, None), (1, "", "m", 7, 0)], key=repr)
+
+
+def test_skipped_words_are_outside_on_the_best_path():
+    """Tags of lines decoded in open runs equal those of a Viterbi over every word."""
+    crf = pii.train_field()
+    rng = random.Random(11)
+    kinds = [t for t, _ in pii.labelled_table(300, seed=8)]
+    for _ in range(120):
+        line = [w for _ in range(4) for w in [*text(rng, rng.randrange(6)).split(), *rng.choice(kinds)]]
+        words = ["", "", *line, "", ""]
+        e = crf.emissions(crf.numbers(words))[2:-2]
+        score, back = crf.trans[0] + e[0], []
+        for row in e[1:]:
+            paths = score[:, None] + crf.trans
+            back.append(paths.argmax(axis=0))
+            score = paths.max(axis=0) + row
+        want = [int((score + crf.trans[:, 0]).argmax())]
+        for b in back[::-1]:
+            want.append(int(b[want[-1]]))
+        assert crf.tags(words)[2:-2].tolist() == want[::-1]

@@ -232,6 +232,7 @@ class Field:
     emit: list = field(default_factory=lambda: [[] for _ in range(5)])
     words: dict = field(default_factory=dict)  # numbers by word
     table: np.ndarray | None = None
+    lead: np.ndarray | None = None
 
     def number(self, key: tuple) -> int:
         n = self.ids.get(key)
@@ -241,11 +242,11 @@ class Field:
             n = self.ids[key] = len(self.ids)
             for slot, offset in enumerate((-2, -1, 0, 1, 2)):
                 self.emit[slot].append(sum((self.weights.get(f, 0.0) for f in key_features(key, offset)), np.zeros(len(TAGS))))
-            self.table = None
+            self.table = self.lead = None
         return n
 
     def reset(self) -> None:
-        self.ids, self.words, self.emit, self.table = {}, {}, [[] for _ in range(5)], None
+        self.ids, self.words, self.emit, self.table, self.lead = {}, {}, [[] for _ in range(5)], None, None
         self.number(EDGE)
 
     def numbers(self, words: list[str]) -> np.ndarray:
@@ -257,8 +258,7 @@ class Field:
 
     def emissions(self, numbers: np.ndarray) -> np.ndarray:
         """Scores by tag of a sequence whose lines are set apart by two edges."""
-        if self.table is None:
-            self.table = np.array(self.emit, np.float32)
+        self._tables()
         e = self.table[2][numbers]
         for slot, shift in ((0, 2), (1, 1), (3, -1), (4, -2)):
             if len(numbers) > abs(shift):
@@ -268,6 +268,54 @@ class Field:
                     e[:shift] += self.table[slot][numbers[-shift:]]
         return e
 
+    def leads(self, numbers: np.ndarray) -> np.ndarray:
+        """For each word at most the least that O leads by over a tag, less what that tag may gain from its neighbours.
+
+        The sum of the leads in each slot alone is at most the lead in the sum of the slots, so one
+        number a slot tells where scores by tag aren't needed.
+        """
+        if self.lead is None:
+            gain, _ = self._gains()
+            self.lead = np.stack([x[:, 0] - (x[:, 1:] + gain * (slot == 2)).max(axis=1) for slot, x in enumerate(self._tables())])
+        lead = self.lead[2][numbers]
+        for slot, shift in ((0, 2), (1, 1), (3, -1), (4, -2)):
+            if len(numbers) > abs(shift):
+                if shift > 0:
+                    lead[shift:] += self.lead[slot][numbers[:-shift]]
+                else:
+                    lead[:shift] += self.lead[slot][numbers[-shift:]]
+        return lead
+
+    def _gains(self) -> tuple[np.ndarray, float]:
+        """What a tag's transitions may gain over O's, a transition between two tags shared by halves; what cutting a run at both ends may lose."""
+        g = self.trans - self.trans[0, 0]
+        into = np.maximum(g[1:, 1:].max(axis=0) / 2, g[0, 1:])
+        out = np.maximum(g[1:, 1:].max(axis=1) / 2, g[1:, 0])
+        after = (g[1:, 1:] / 2 - g[1:, :1]).max()
+        before = (g[1:, 1:] / 2 - g[:1, 1:]).max()
+        return into + out, max(after, 0.0) + max(before, 0.0)
+
+    def _open(self, lead: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """Words that the best path may tag.
+
+        A run of tagged words whose leads are all above zero would gain by being O, so each run has a
+        word that is not so, a core. What lies beyond a core in its run, or between two, would gain by
+        being O if its leads add up to more than cutting the run there may lose.
+        """
+        core = (lead <= 1e-3) & real
+        slack = np.where(core, 0.0, np.where(real, lead, 1e4)).astype(np.float64)
+        upto, n = np.cumsum(slack), len(lead)
+        left = np.maximum.accumulate(np.where(core, np.arange(n), -1))
+        right = np.minimum.accumulate(np.where(core, np.arange(n), n)[::-1])[::-1]
+        behind = np.where(left >= 0, upto - upto[left], np.inf)
+        ahead = np.where(right < n, upto[np.minimum(right, n - 1)] - upto + slack, np.inf)
+        return real & (np.minimum(behind, ahead) <= self._gains()[1] + 1e-3)
+
+    def _tables(self) -> np.ndarray:
+        if self.table is None:
+            self.table, self.lead = np.array(self.emit, np.float32), None
+        return self.table
+
     def emissions_by_parts(self, words: list[str]) -> np.ndarray:
         """What ``emissions`` gives, for words of any number of shapes: numbers are forgotten after each part, two words on either side ride along."""
         out = np.empty((len(words), len(TAGS)), np.float32)
@@ -283,18 +331,19 @@ class Field:
     def tags(self, words: list[str]) -> np.ndarray:
         """Best tags. ``words`` begins and ends with two empty words and has two between lines.
 
-        A token whose lead of O over every other tag exceeds the most that transitions to both
-        neighbours can repay is O on the best path, whatever the rest; so only the runs between such
-        tokens are decoded, each framed by O, all of them in one batch.
+        Only runs of words that the best path may tag (``_open``) are decoded, each framed by O, all
+        of them in one batch; every other word is O on it, by proof.
         """
+        real = np.fromiter(map(bool, words), bool, len(words))
         try:
-            e = self.emissions(self.numbers(words))
+            numbers = self.numbers(words)
+            open_ = self._open(self.leads(numbers), real)
+            some = np.flatnonzero(open_)
+            e = np.zeros((len(words), len(TAGS)), np.float32)
+            e[some] = sum(self.table[slot][numbers[some + slot - 2]] for slot in range(5))
         except OverflowError:
             e = self.emissions_by_parts(words)
-        t = self.trans
-        repay = (t[:, 1:, None] + t[None, 1:, :].transpose(0, 1, 2) - t[:, :1, None] - t[None, :1, :]).max()
-        open_ = e[:, 0] - e[:, 1:].max(axis=1) <= repay
-        open_ &= np.fromiter(map(bool, words), bool, len(words))
+            open_ = self._open(e[:, 0] - (e[:, 1:] + self._gains()[0]).max(axis=1), real)
         out = np.zeros(len(words), np.int8)
         edge = np.diff(np.concatenate([[0], open_.astype(np.int8), [0]]))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelode import schema as S
 from tracelode.functions import text as X
 from tracelode.operators import attrib, evaluate, graph, group, ledger, match, normalize, retrieve, search, traces, views
+from tracelode.plans.sqlgate import Refused, query_tables
 from tracelode.sources import otlp, readers
 
 
@@ -212,3 +213,81 @@ def test_waterfall_orphans_and_cycles(spark):
     got = views.waterfall(spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, start_ms double, duration_ms double")).orderBy("position").collect()
     assert [r.span_id for r in got][:5] == ["a", "c", "b", "d", "o"] and {r.span_id for r in got} == set("abcdoxy")
     assert [r.depth for r in got][:5] == [0, 1, 1, 2, 0]
+
+
+def test_deep_chain_of_spans(spark):
+    """A chain of 200 spans keeps its depths, however deep; a cycle and what hangs from it are roots."""
+    rows = [("t", f"s{i:03d}", f"s{i - 1:03d}" if i else None, float(i), 1.0) for i in range(200)]
+    rows += [("c", "a", "b", 0.0, 1.0), ("c", "b", "a", 1.0, 1.0), ("c", "d", "a", 2.0, 1.0), ("c", "r", None, 3.0, 1.0)]
+    got = views.waterfall(spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, start_ms double, duration_ms double")).collect()
+    assert {(r.span_id, r.depth, r.position) for r in got if r.trace_id == "t"} == {(f"s{i:03d}", i, i + 1) for i in range(200)}
+    assert {r.span_id: r.depth for r in got if r.trace_id == "c"} == {"a": 0, "b": 0, "d": 0, "r": 0}
+
+
+def test_long_paths_and_chains(spark):
+    n = 150
+    edges = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}", float(i)) for i in range(n)], "src string, dst string, ts double")
+    seeds = spark.createDataFrame([("n0000",)], "node string")
+    assert graph.reachable(edges, seeds, 0.0).agg(F.max("depth")).first()[0] == n
+    procs = spark.createDataFrame([(i, i - 1, "x") for i in range(1, n)] + [(900, 901, "x"), (901, 900, "x"), (902, 900, "x")], "pid long, parent long, image string")
+    got = {r.pid: r.root for r in traces.session_roots(procs, ["service"]).collect()}
+    assert all(got[i] == 1 for i in range(1, n)) and (got[900], got[901], got[902]) == (900, 901, 902)
+
+
+def test_forest_equals_a_fold(spark):
+    rng = random.Random(9)
+    rows = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", float(rng.randrange(30)), rng.choice("ab")) for _ in range(300)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    want = set()
+    for ts, src, dst, action in sorted((r[2], r[0], r[1], r[3]) for r in rows):
+        a, b = top(src), top(dst)
+        if a != b:
+            up[a] = b
+            want.add((src, dst, ts, action))
+    df = spark.createDataFrame(rows, "src string, dst string, ts double, action string")
+    assert sorted(map(tuple, graph.spanning_forest(df).collect())) == sorted(want)
+    assert graph.spanning_forest(df.limit(0)).count() == 0
+
+
+def test_fold_refuses_what_one_task_cannot_hold(spark, monkeypatch):
+    monkeypatch.setattr(group, "MOST_LINKS", 2)
+    links = spark.createDataFrame([("a", "b", 0.9, 2, i) for i in range(3)], "a string, b string, p double, n_classes int, seq long")
+    with pytest.raises(Exception, match="too many links"):
+        group.fold_groups(links).collect()
+
+
+def test_sketches_of_empty_sets(spark):
+    df = spark.createDataFrame([(["x"], []), ([], []), (["x"], ["x"])], "a array<string>, b array<string>")
+    got = [r[0] for r in df.select(X.sketch_jaccard(X.minhash(F.col("a")), X.minhash(F.col("b")))).collect()]
+    assert got == [0.0, 1.0, 1.0]
+    own = df.select(X.minhash(F.col("a"), 9).alias("s"), X.slot_hash(6, F.lit("x")).alias("h")).first()
+    assert len(own.s) == 9 and own.s[6] == own.h
+
+
+def test_sql_gate_reads_the_tree(spark):
+    t = {"events": spark.range(5).withColumnRenamed("id", "k")}
+    ok = ["SELECT count(*) FROM events", "WITH w AS (SELECT k FROM events) SELECT max(k) FROM w WHERE k IN (SELECT k FROM w)", "SELECT upper('java_method(') FROM events", "SELECT x FROM events LATERAL VIEW explode(array(1)) v AS x", "SELECT k FROM events UNION SELECT 7"]
+    for sql in ok:
+        assert query_tables(spark, sql, t).count() > 0, sql
+    bad = [
+        "SELECT `java_method`('java.lang.System', 'getProperty', 'user.dir')", "SELECT reflect/**/('java.lang.System', 'getProperty', 'user.dir')", "SELECT `Try_Reflect` ('a', 'b')", "SELECT builtin.reflect('a', 'b')",
+        "SELECT k FROM events WHERE k = (SELECT java_method('a', 'b'))", "WITH w AS (SELECT reflect('a', 'b') AS x) SELECT * FROM w", "SELECT input_file_name() FROM events", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM `parquet`.`/tmp/x`", "SELECT * FROM json . `/tmp/x`",
+        "SELECT * FROM read_files('/tmp')", "SELECT * FROM other", "SELECT * FROM default.events", "DROP TABLE events", "INSERT INTO events VALUES (1)", "SELECT no_such(k) FROM events", "SELECT 1; SELECT 2", "SELECT current_user()", "SELECT current_user", "SELECT transform(k) USING 'cat' AS (k) FROM events",
+    ]
+    for sql in bad:
+        with pytest.raises(Refused):
+            query_tables(spark, sql, t)
+
+
+def test_search_filters_are_checked(spark):
+    docs = spark.createDataFrame([("a", "x y", 1), ("b", "x", 5)], "event_hash string, raw string, n int")
+    assert [r.event_hash for r in search.search(docs, "x", "n > 2 AND length(raw) < 3").collect()] == ["b"]
+    for bad in ("java_method('java.lang.System', 'getProperty', 'user.dir') IS NOT NULL", "`reflect`('a', 'b') = 'c'", "n IN (SELECT 1)", "EXISTS (SELECT 1)", "n = 1; DROP TABLE x"):
+        with pytest.raises(Refused):
+            search.search(docs, "x", bad).collect()

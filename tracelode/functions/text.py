@@ -164,15 +164,17 @@ def event_shingles(tokens: Column, techniques: Column) -> Column:
     return F.array_distinct(F.concat(of(1, "u:"), of(2, "b:"), of(3, "t:"), tech))
 
 
-def slot_hash(seed: Column | int, value: Column) -> Column:
-    """First 16 hex digits of sha256("seed:value"): as text of fixed width, min is the unsigned min."""
-    seed = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
-    return F.substring(F.sha2(F.concat(seed, F.lit(":"), value).cast("binary"), 256), 1, 16)
+def slot_hash(slot: int, value: Column) -> Column:
+    """16 hex digits of sha256("block:value"), of which each holds four slots: as text of fixed width, min is the unsigned min."""
+    return F.substring(F.sha2(F.concat(F.lit(f"{slot // 4}:"), value).cast("binary"), 256), slot % 4 * 16 + 1, 16)
 
 
 def minhash(values: Column, slots: int = S.SKETCH_SLOTS) -> Column:
-    """Sketch of a set of texts: ``slots`` minima, null for an empty set."""
-    sketch = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.array_min(F.transform(values, lambda v: F.substring(F.sha2(F.concat(s.cast("string"), F.lit(":"), v).cast("binary"), 256), 1, 16))))
+    """Sketch of a set of texts: ``slots`` minima, null for an empty set. One digest is four slots."""
+    digests = lambda b: F.transform(values, lambda v: F.sha2(F.concat(b.cast("string"), F.lit(":"), v).cast("binary"), 256))
+    least = lambda ds, at: F.array_min(F.transform(ds, lambda d: F.substring(d, at, 16)))
+    four = lambda b: F.transform(F.array(digests(b)), lambda ds: F.array(*[least(ds, at) for at in (1, 17, 33, 49)]))[0]
+    sketch = F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit((slots - 1) // 4)), four)), 1, slots)
     return F.when(F.size(values) > 0, sketch)
 
 
@@ -184,9 +186,9 @@ def fast_minhash(values: Column, slots: int = S.SKETCH_SLOTS) -> Column:
 
 
 def sketch_jaccard(a: Column, b: Column) -> Column:
-    """Share of equal slots; 0 where a sketch is missing."""
+    """Share of equal slots; sketches of empty sets, which are null, are equal to each other and to no other."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return F.coalesce(same / F.size(a), F.lit(0.0))
+    return F.when(a.isNull() & b.isNull(), F.lit(1.0)).otherwise(F.coalesce(same / F.size(a), F.lit(0.0)))
 
 
 def merge_sketches(a: Column, b: Column) -> Column:

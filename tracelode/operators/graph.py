@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,31 +14,46 @@ from .. import schema as S
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage in an iteration: a table in the folder that the cluster shares."""
+    """Cut lineage in an iteration: a table in the folder that the cluster shares; a local one only under a local master."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="tracelode-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = os.path.join(top, "tracelode", uuid.uuid4().hex, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._tracelode_path = path  # noqa: SLF001
+    return back
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """``node, component``: the smallest node reachable; labels spread along edges and jump to their own label."""
+def spent(*frames: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_tracelode_path", None)
+        if path:
+            target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component``: the smallest node reachable; labels spread along edges and jump to their own label, until none changes."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut(both, "edges")
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label.toDF("b", "other"), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
         step = label.join(near, "node").select("node", F.least("component", "other").alias("component"), F.col("component").alias("was"))
         up = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         step = cut(step.join(up, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was"), "labels")
+        spent(label)
         label = step.select("node", "component")
+        label._tracelode_path = step._tracelode_path  # noqa: SLF001
         if step.where("component <> was").isEmpty():
-            break
-    return label
+            spent(both)
+            return label
 
 
 def node_anomaly(edges: DataFrame) -> DataFrame:
@@ -57,7 +72,7 @@ def edge_rarity(edges: DataFrame) -> DataFrame:
     return rows.withColumn("place", place.cast("long"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, anchor_ts: float, horizon: float = S.HORIZON_SECONDS, direction: str = "both", causal: bool = False, most_rounds: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, anchor_ts: float, horizon: float = S.HORIZON_SECONDS, direction: str = "both", causal: bool = False) -> DataFrame:
     """``node, depth`` within the horizon of the anchor time; ``causal`` asks for times that don't fall back."""
     near = edges.where(F.abs(F.col("ts") - F.lit(anchor_ts)) <= horizon)
     hops = []
@@ -68,42 +83,48 @@ def reachable(edges: DataFrame, seeds: DataFrame, anchor_ts: float, horizon: flo
     hop = hops[0] if len(hops) == 1 else hops[0].union(hops[1])
     hop = cut(hop.distinct(), "hops")
     seen = cut(seeds.select(F.col("node"), F.lit(0).alias("depth"), F.lit(float("-inf")).alias("at")).distinct(), "seen")
-    front = seen
-    for depth in range(1, most_rounds + 1):
+    front, depth = seen, 0
+    while True:  # each round adds a node, or ends it
+        depth += 1
         step = front.join(hop, F.col("node") == F.col("x"))
         if causal:
             step = step.where("ts >= at")
         step = step.groupBy(F.col("y").alias("node")).agg(F.min("ts").alias("at")).withColumn("depth", F.lit(depth)).select("node", "depth", F.col("at").cast("double"))
         front = cut(step.join(seen.select("node").distinct(), "node", "left_anti"), "front")
         if front.isEmpty():
+            spent(hop, front)
             break
-        seen = cut(seen.union(front), "seen")
+        old, seen = seen, cut(seen.union(front), "seen")
+        spent(old)
     return seen.select("node", F.col("depth").cast("long").alias("depth"))
 
 
-def _kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
-    up: dict = {}
-
-    def top(x):
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    keep = []
-    for row in pdf.sort_values(["ts", "src", "dst"], kind="stable").itertuples():
-        a, b = top(row.src), top(row.dst)
-        if a != b:
-            up[a] = b
-            keep.append(row.Index)
-    return pdf.loc[keep]
-
-
 def spanning_forest(edges: DataFrame) -> DataFrame:
-    """Edges in order of time that join two trees: neither cycles nor diamonds stay. A fold per component."""
-    comp = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b"))
-    rows = edges.join(comp.toDF("src", "component"), "src")
-    return rows.groupBy("component").applyInPandas(lambda pdf: _kruskal(pdf), rows.schema).drop("component")
+    """Edges in order of time that join two trees: neither cycles nor diamonds stay.
+
+    In rounds: the first edge (by time, then ends, then the other columns) that leaves a tree is in
+    the forest, and trees joined so are one. The order is strict, so this is the forest that a fold
+    over the edges in order would give, without one: a round is joins, and trees at least halve.
+    """
+    others = [c for c in edges.columns if c not in ("ts", "src", "dst")]
+    order = F.struct(*[F.col(c) for c in ("ts", "src", "dst", *others)])
+    left = cut(edges.where("src <> dst").distinct().select(order.alias("e"), F.col("src").alias("a"), F.col("dst").alias("b")), "forest_edges")
+    chosen: list[DataFrame] = []
+    while not left.isEmpty():
+        first = left.select("e", F.explode(F.array("a", "b")).alias("tree")).groupBy("tree").agg(F.min("e").alias("e"))
+        taken = cut(left.join(first.select("e").distinct(), "e", "left_semi"), "taken")
+        chosen.append(taken)
+        tree = components(taken.select("a", "b"))
+        moved = left.join(tree.toDF("a", "ta"), "a", "left").join(tree.toDF("b", "tb"), "b", "left")
+        moved = moved.select("e", F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).where("a <> b")
+        old, left = left, cut(moved, "forest_edges")
+        spent(old, tree)
+    if not chosen:
+        return edges.limit(0)
+    out = chosen[0]
+    for taken in chosen[1:]:
+        out = out.union(taken)
+    return out.select("e.*").select(*edges.columns)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

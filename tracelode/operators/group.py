@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from .graph import components
 
+#: Links of one component that a task folds.
+MOST_LINKS = 5_000_000
 ACTIVE = ("proposed", "supported", "confirmed")
 
 
@@ -100,10 +102,13 @@ def fold_groups(links: DataFrame) -> DataFrame:
     """``group_id, trace_id, strength, state`` from links ``a, b, p, n_classes, seq`` in their order.
 
     A link with p of at least 0.8 and two classes of evidence seeds a group unless its ends share
-    one or are in three; after each link both ends' memberships are refreshed.
+    one or are in three; after each link both ends' memberships are refreshed. A component is folded
+    in one task, as each step depends on those before: one of more than ``MOST_LINKS`` raises.
     """
     comp = components(links.select("a", "b"))
     rows = links.join(comp.select(F.col("node").alias("a"), "component"), "a")
+    size = F.count(F.lit(1)).over(Window.partitionBy("component"))
+    rows = rows.withColumn("component", F.when(size > MOST_LINKS, F.raise_error(F.concat(F.lit("too many links to fold in the component of "), F.col("component").cast("string")))).otherwise(F.col("component")))
     return rows.select("component", "a", "b", "p", "n_classes", "seq").groupBy("component").applyInPandas(lambda pdf: _fold(pdf), "group_id string, trace_id string, strength double, state string")
 
 

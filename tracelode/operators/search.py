@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import has_tags, tokenize, trigrams
+from ..plans.sqlgate import check_filter
 
 
 def all_events(sealed: DataFrame, live: DataFrame | None = None) -> DataFrame:
@@ -45,7 +46,7 @@ def search(events: DataFrame, query: str, where: str | Column | None = None, mas
         given = rows
         if "ts" in rows.columns and dict(rows.dtypes)["ts"] == "string":
             rows = rows.withColumn("__ts_text", F.col("ts")).withColumn("ts", F.to_timestamp("ts"))
-        rows = rows.where(F.expr(where) if isinstance(where, str) else where)
+        rows = rows.where(F.expr(check_filter(events.sparkSession, where)) if isinstance(where, str) else where)
         if "__ts_text" in rows.columns:
             rows = rows.withColumn("ts", F.col("__ts_text")).select(*given.columns)
     return rows.orderBy(order).limit(limit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
+from .graph import cut, spent
 from .normalize import edge_score
 
 
@@ -106,17 +107,26 @@ def process_traces(events: DataFrame) -> DataFrame:
     )
 
 
-def session_roots(processes: DataFrame, boundaries, most_rounds: int = 32) -> DataFrame:
-    """``pid, root``: the ancestor just under a service image, by doubling pointers; cycles stop at their start.
+def session_roots(processes: DataFrame, boundaries) -> DataFrame:
+    """``pid, root``: the ancestor just under a service image; a process on a cycle of parents, or below one, is its own root.
 
-    ``processes``: pid, parent, image. Each round doubles how far a pointer has climbed.
+    ``processes``: pid, parent, image. Each round doubles how far a pointer has climbed; rounds end
+    when none moves, or when they have climbed past the number of processes, as only cycles do.
     """
     stops = list(boundaries)
     parents = processes.select(F.col("pid").alias("p"), F.col("image").alias("p_image"))
     step = processes.join(parents, F.col("parent") == F.col("p"), "left")
     top = F.col("p").isNull() | F.col("p_image").isin(*stops) | (F.col("parent") == F.col("pid"))
-    now = step.select("pid", F.when(top, F.col("pid")).otherwise(F.col("parent")).alias("root"))
-    for _ in range(max(1, most_rounds.bit_length())):
-        up = now.select(F.col("pid").alias("root"), F.col("root").alias("further"))
-        now = now.join(up, "root", "left").select("pid", F.coalesce("further", "root").alias("root"))
-    return now
+    now = cut(step.select("pid", F.when(top, F.col("pid")).otherwise(F.col("parent")).alias("root")), "pointers")
+    climb = now
+    for _ in range(max(1, now.count()).bit_length()):
+        up = climb.select(F.col("pid").alias("root"), F.col("root").alias("further"))
+        step = climb.join(up, "root", "left").select("pid", F.coalesce("further", "root").alias("root"), (F.coalesce("further", "root") != F.col("root")).alias("moved"))
+        step = cut(step, "pointers")
+        if climb is not now:
+            spent(climb)
+        climb = step
+        if step.where("moved").isEmpty():
+            break
+    tops = now.where("pid = root").select("root", F.lit(True).alias("top"))
+    return climb.join(tops, "root", "left").select("pid", F.when(F.col("top"), F.col("root")).otherwise(F.col("pid")).alias("root"))

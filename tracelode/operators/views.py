@@ -44,30 +44,34 @@ def trace_summary(spans: DataFrame, service: str | None = None, status: str | No
     return out if limit is None else out.limit(limit)
 
 
-def waterfall(spans: DataFrame, most_depth: int = 64) -> DataFrame:
+def waterfall(spans: DataFrame) -> DataFrame:
     """Spans of each trace in depth-first order: ``trace_id, position, depth, span_id, offset_pct, width_pct``.
 
-    Children are ordered by start; a span whose parent is missing is a root, and so is the first
-    span of a cycle of parents. Levels are joined one by one, all traces at once; a trace's levels
-    are bounded by ``most_depth``, deeper spans hang at that depth.
+    Children are ordered by start; a span whose parent is missing is a root, and so are the spans of
+    a cycle of parents and below it. A span's place is its path of ranks from the root; paths double
+    in length each round, all traces at once, so a trace of any depth takes as many rounds as its
+    number of spans has bits.
     """
     rows = spans.dropDuplicates(["trace_id", "span_id"]).select("trace_id", "span_id", "parent_id", "start_ms", "duration_ms")
     known = rows.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(1).alias("known"))
     rows = rows.join(known, ["trace_id", "parent_id"], "left").withColumn("parent_id", F.when((F.col("known") == 1) & (F.col("parent_id") != F.col("span_id")), F.col("parent_id"))).drop("known")
     rank = F.row_number().over(Window.partitionBy("trace_id", "parent_id").orderBy("start_ms", "span_id"))
-    rows = rows.withColumn("key", F.lpad(rank.cast("string"), 9, "0"))
-    level = rows.where("parent_id is null").select("trace_id", "span_id", F.col("key").alias("path"), F.lit(0).alias("depth"))
-    done = level
-    children = rows.where("parent_id is not null").select("trace_id", "span_id", "parent_id", "key")
-    for depth in range(1, most_depth + 1):
-        level = children.join(level.select("trace_id", F.col("span_id").alias("parent_id"), "path"), ["trace_id", "parent_id"]).select("trace_id", "span_id", F.concat_ws("/", "path", "key").alias("path"), F.lit(depth).alias("depth"))
-        if depth % 4 == 0:
-            level = cut(level, "level")
-            if level.isEmpty():
-                break
-        done = done.union(level)
-    rest = rows.join(done.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_anti").select("trace_id", "span_id", F.concat(F.lit("~"), "key", F.col("span_id").cast("string")).alias("path"), F.lit(0).alias("depth"))
-    placed = done.union(rest).join(rows.select("trace_id", "span_id", "start_ms", "duration_ms"), ["trace_id", "span_id"])
+    rows = cut(rows.withColumn("key", F.lpad(rank.cast("string"), 9, "0")), "spans")
+    most = rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    at = rows.select("trace_id", "span_id", F.col("parent_id").alias("above"), F.col("key").alias("path"), F.lit(0).alias("depth"))
+    for round_ in range(int(most).bit_length()):
+        up = at.select("trace_id", F.col("span_id").alias("above"), F.col("above").alias("further"), F.col("path").alias("head"), F.col("depth").alias("more"))
+        climbed = F.col("above").isNotNull()
+        at = at.join(up, ["trace_id", "above"], "left").select(
+            "trace_id", "span_id", F.col("further").alias("above"), F.when(climbed, F.concat_ws("/", "head", "path")).otherwise(F.col("path")).alias("path"),
+            F.when(climbed, F.col("depth") + F.col("more") + 1).otherwise(F.col("depth")).alias("depth"),
+        )
+        if round_ % 3 == 2:
+            at = cut(at, "paths")
+    # what still has a span above is on a cycle or below one
+    rooted = F.col("above").isNull()
+    placed = at.join(rows.select("trace_id", "span_id", "key", "start_ms", "duration_ms"), ["trace_id", "span_id"])
+    placed = placed.withColumn("depth", F.when(rooted, F.col("depth")).otherwise(0)).withColumn("path", F.when(rooted, F.col("path")).otherwise(F.concat(F.lit("~"), "key", F.col("span_id").cast("string"))))
     w = Window.partitionBy("trace_id")
     t0, t1 = F.min("start_ms").over(w), F.max(F.col("start_ms") + F.col("duration_ms")).over(w)
     total = F.greatest(t1 - t0, F.lit(1e-9))

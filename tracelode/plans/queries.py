@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..operators import evaluate, graph, group, ledger, match, normalize, retrieve, search, traces, views
+from ..operators import attrib, evaluate, graph, group, ledger, match, normalize, retrieve, search, traces, views
+from ..operators.graph import cut
 from ..sources import otlp, readers
 from . import adapters as A
 from .sqlgate import query_unlimited
@@ -66,7 +67,7 @@ def _sclc_sql(column: str) -> str:
     return out
 
 
-@_register(f"SELECT page_id, md5({_sclc_sql('html')}) AS digest, {_sclc_sql('url')} AS url FROM pages WHERE regexp_full_match(html, '[\\x00-\\x7f]*')")
+@_register(f"SELECT page_id, md5({_sclc_sql('html')}) AS digest, {_sclc_sql('url')} AS url FROM pages")
 def sclc_normalize(spark, sf_dir):
     p = A.table(spark, sf_dir, "pages")
     return p.select("page_id", F.md5(X.normalize_sclc(F.col("html")).cast("binary")).alias("digest"), X.normalize_sclc(F.col("url")).alias("url"))
@@ -232,42 +233,62 @@ def dedupe_identity(spark, sf_dir):
     return A.events(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k = 1").select("id", "session_id", "action")
 
 
-# Sketches and candidates; the sketched sets are the distinct words of the benchmark passages
+# Sketches and candidates; the sketched sets are the distinct words of the documents
 
 
 _ITEMS = "it AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+(?:/[a-z0-9_.:-]+)?')) AS ws FROM benchmark)"
-_SK = f"""{_ITEMS}, h AS (SELECT id, s, min(left(sha256(s || ':' || w), 16)) AS m FROM (SELECT id, unnest(ws) AS w FROM it), (SELECT unnest(range(16)) AS s) GROUP BY 1, 2)"""
+_SLOTS = S.SKETCH_SLOTS
+_BANDS, _ROWS = retrieve.bands_for_threshold()
+_HASHES = f"""h AS (SELECT id, b * 4 + j AS s, min(substr(d, j * 16 + 1, 16)) AS m FROM (SELECT id, b, sha256(b || ':' || w) AS d FROM (SELECT id, unnest(ws) AS w FROM it), (SELECT unnest(range({_SLOTS // 4})) AS b)), (SELECT unnest(range(4)) AS j) GROUP BY id, b, j)"""
+_SK = f"""it AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+(?:/[a-z0-9_.:-]+)?')) AS ws FROM documents), {_HASHES}"""
+_BAND = f"k AS (SELECT id, s // {_ROWS} AS band, string_agg(m, ':' ORDER BY s) AS key FROM h GROUP BY 1, 2)"
 
 
-def _items(spark, sf_dir) -> DataFrame:
-    return A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(X.tokenize(F.col("text"))).alias("ws"))
+def _words(spark, sf_dir, table: str, id_col: str) -> DataFrame:
+    return A.table(spark, sf_dir, table).select(F.col(id_col).alias("id"), F.array_distinct(X.tokenize(F.col("text"))).alias("ws"))
 
 
-def _sketches(spark, sf_dir) -> DataFrame:
-    return _items(spark, sf_dir).where(F.size("ws") > 0).select("id", "ws", X.minhash(F.col("ws"), 16).alias("sketch"))
+def _sketches(spark, sf_dir, table: str = "documents", id_col: str = "doc_id") -> DataFrame:
+    # few bytes are much work: rows are dealt to a set number of tasks, however few files hold them
+    words = _words(spark, sf_dir, table, id_col).where(F.size("ws") > 0).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return words.select("id", "ws", X.minhash(F.col("ws"), _SLOTS).alias("sketch"))
 
 
-@_register(f"WITH {_SK} SELECT id, array_to_string(list(m ORDER BY s), ',') AS sketch FROM h GROUP BY id")
+@_register(f"WITH {_SK} SELECT id, md5(array_to_string(list(m ORDER BY s), ',')) AS sketch FROM h GROUP BY id")
 def minhash_signature(spark, sf_dir):
-    return _sketches(spark, sf_dir).select("id", F.array_join("sketch", ",").alias("sketch"))
+    """A digest of each document's 128 slots."""
+    return _sketches(spark, sf_dir).select("id", F.md5(F.array_join("sketch", ",").cast("binary")).alias("sketch"))
 
 
-@_register(f"""WITH {_SK} SELECT x.id AS a, y.id AS b, (count(*) FILTER (WHERE x.m = y.m)) / 16.0::DOUBLE AS minhash FROM h x JOIN h y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2 HAVING count(*) FILTER (WHERE x.m = y.m) >= 3""")
+@_register(f"""WITH {_SK}, {_BAND}, c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id < y.id)
+SELECT a, b, (count(*) FILTER (WHERE x.m = y.m)) / {_SLOTS}.0::DOUBLE AS minhash FROM c JOIN h x ON x.id = a JOIN h y ON y.id = b AND y.s = x.s GROUP BY 1, 2 HAVING count(*) FILTER (WHERE x.m = y.m) >= {_SLOTS // 2}""")
 def minhash_jaccard_pairs(spark, sf_dir):
-    s = _sketches(spark, sf_dir)
-    a, b = s.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), s.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", X.sketch_jaccard(F.col("sa"), F.col("sb")).alias("minhash")).where("minhash >= 3 / 16D")
+    """Pairs that share a band and at least half of their slots."""
+    s = cut(_sketches(spark, sf_dir).select("id", "sketch"), "sketches")
+    pairs = retrieve.banded_pairs(s, "id", _BANDS, _ROWS).select("a", "b").join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
+    return pairs.select("a", "b", X.sketch_jaccard(F.col("sa"), F.col("sb")).alias("minhash")).where("minhash >= 0.5")
 
 
-@_register(f"""WITH {_SK}, k AS (SELECT id, s // 2 AS band, string_agg(m, ':' ORDER BY s) AS key FROM h GROUP BY 1, 2)
-SELECT x.id AS a, y.id AS b, count(*)::BIGINT AS matched FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id < y.id GROUP BY 1, 2""")
+@_register(f"""WITH {_SK}, {_BAND} SELECT x.id AS a, y.id AS b, count(*)::BIGINT AS matched FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id < y.id GROUP BY 1, 2""")
 def lsh_candidates(spark, sf_dir):
-    return retrieve.banded_pairs(_sketches(spark, sf_dir), "id", 8, 2)
+    return retrieve.banded_pairs(_sketches(spark, sf_dir).select("id", "sketch"), "id", _BANDS, _ROWS)
 
 
-@_register(f"""WITH {_SK} SELECT DISTINCT a, b FROM (SELECT x.id AS a, y.id AS b, x.s // 4 AS band, count(*) FILTER (WHERE x.m = y.m) AS same FROM h x JOIN h y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2, 3) WHERE same >= 3""")
+_PROBES = f"""n AS (SELECT h.id, k.band, e.hole, string_agg(h.m, ':' ORDER BY h.s) FILTER (WHERE h.s % {_ROWS} <> e.hole) AS key FROM k JOIN h ON h.id = k.id AND h.s // {_ROWS} = k.band, (SELECT unnest(range({_ROWS})) AS hole) e GROUP BY 1, 2, 3)"""
+
+
+@_register(f"WITH {_SK}, {_BAND}, {_PROBES} SELECT DISTINCT x.id AS a, y.id AS b FROM n x JOIN n y ON x.band = y.band AND x.hole = y.hole AND x.key = y.key AND x.id < y.id")
 def lsh_multiprobe(spark, sf_dir):
-    return retrieve.probe_pairs(_sketches(spark, sf_dir), "id", 4, 4)
+    return retrieve.probe_pairs(_sketches(spark, sf_dir).select("id", "sketch"), "id", _BANDS, _ROWS)
+
+
+@_register(f"""WITH {_SK}, {_BAND}, {_PROBES}, ex AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id <> y.id),
+few AS (SELECT it.id FROM it LEFT JOIN ex ON ex.a = it.id WHERE len(ws) > 0 GROUP BY 1 HAVING count(ex.b) + 1 < {S.PROBE_BELOW}),
+pr AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT * FROM n SEMI JOIN few USING (id)) x JOIN n y ON x.band = y.band AND x.hole = y.hole AND x.key = y.key AND x.id <> y.id)
+SELECT a, b FROM ex UNION SELECT a, b FROM pr""")
+def lsh_retrieve(spark, sf_dir):
+    """Exact hits, and probes for documents with fewer than five."""
+    return retrieve.lsh_candidates(cut(_sketches(spark, sf_dir).select("id", "sketch"), "sketches"), "id", _BANDS, _ROWS)
 
 
 _INDICATOR_PAIRS = f"""{_USES}, u AS (SELECT DISTINCT trace_id, indicator FROM us), n AS (SELECT count(DISTINCT trace_id) AS n FROM u), f AS (SELECT indicator FROM u GROUP BY 1 HAVING count(*) <= greatest(30, 0.001 * (SELECT n FROM n))),
@@ -327,7 +348,7 @@ def candidate_union_cap(spark, sf_dir):
 
 _PAIRS_SQL = f"""{_ITEMS}, w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9_]+(?:/[a-z0-9_.:-]+)?') AS ts FROM (SELECT item_id AS id, text FROM benchmark)), tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ts) AS term FROM w) GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), wt AS (SELECT id, term, tf * (ln(((SELECT count(*) FROM benchmark) + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (term)), nm AS (SELECT id, sqrt(sum(w * w)) AS n FROM wt GROUP BY 1),
-pr AS (SELECT x.id AS a, y.id AS b FROM it x JOIN it y ON x.id < y.id AND x.id % 4 = y.id % 4),
+pr AS (SELECT x.id AS a, y.id AS b FROM it x JOIN it y ON x.id < y.id),
 tc AS (SELECT pr.a, pr.b, round(coalesce(sum(x.w * y.w) / any_value(na.n * nb.n), 0), 6)::DOUBLE AS tfidf FROM pr JOIN nm na ON na.id = pr.a JOIN nm nb ON nb.id = pr.b LEFT JOIN wt x ON x.id = pr.a LEFT JOIN wt y ON y.id = pr.b AND y.term = x.term GROUP BY 1, 2)"""
 
 
@@ -343,14 +364,14 @@ def tfidf_cosine(spark, sf_dir):
     return match.tfidf_cosine(pairs, docs, "id", "ts")
 
 
-_FEATS = f"""{_PAIRS_SQL}, h AS{_SK.split(', h AS', 1)[1]}, mh AS (SELECT x.id AS a, y.id AS b, (count(*) FILTER (WHERE x.m = y.m)) / 16.0::DOUBLE AS mh FROM h x JOIN h y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+_FEATS = f"""{_PAIRS_SQL}, {_HASHES}, mh AS (SELECT x.id AS a, y.id AS b, (count(*) FILTER (WHERE x.m = y.m)) / {_SLOTS}.0::DOUBLE AS mh FROM h x JOIN h y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
 ft AS (SELECT tc.a, tc.b, mh, tfidf, len(list_intersect(x.ws, y.ws))::BIGINT AS shared, round(len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))), 6)::DOUBLE AS technique
   FROM tc JOIN mh USING (a, b) JOIN it x ON x.id = tc.a JOIN it y ON y.id = tc.b)"""
 
 
 def _features(spark, sf_dir) -> DataFrame:
     docs, pairs = _pairs(spark, sf_dir)
-    s = _sketches(spark, sf_dir)
+    s = _sketches(spark, sf_dir, "benchmark", "item_id")
     rows = match.tfidf_cosine(pairs, docs, "id", "ts").join(s.toDF("a", "wa", "sa"), "a").join(s.toDF("b", "wb", "sb"), "b")
     return rows.select("a", "b", X.sketch_jaccard(F.col("sa"), F.col("sb")).alias("mh"), "tfidf", F.size(F.array_intersect("wa", "wb")).cast("long").alias("shared"), F.round(X.jaccard(F.col("wa"), F.col("wb")), 6).alias("technique"))
 
@@ -456,17 +477,25 @@ def reachability(spark, sf_dir):
     return graph.reachable(A.edges(spark, sf_dir), seeds, 3000.0, 6000.0)
 
 
-@_register()
+@_register(f"""WITH RECURSIVE {_EDGES}, bi AS (SELECT src AS x, dst AS y FROM ed UNION SELECT dst, src FROM ed), r(node, seen) AS (SELECT x, x FROM bi UNION SELECT bi.y, r.seen FROM r JOIN bi ON bi.x = r.node)
+SELECT node, min(seen) AS component FROM r GROUP BY 1""")
 def graph_components(spark, sf_dir):
     return graph.components(A.edges(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@_register(f"""WITH {_EDGES}, nd AS (SELECT src AS node FROM ed UNION SELECT dst FROM ed) SELECT (SELECT count(*) FROM nd)::BIGINT AS nodes, ((SELECT count(*) FROM nd) - 5)::BIGINT AS edges""")
+_LOOPS = """lp AS (SELECT 'n' || (o_custkey % 12) AS src, 'n' || (o_orderkey % 12) AS dst, o_orderkey AS ts FROM orders WHERE o_custkey % 12 <> o_orderkey % 12
+  QUALIFY row_number() OVER (PARTITION BY least(o_custkey % 12, o_orderkey % 12), greatest(o_custkey % 12, o_orderkey % 12) ORDER BY o_orderkey) = 1)"""
+
+
+@_register(f"""WITH RECURSIVE {_LOOPS}, r(ts, x, y) AS (SELECT ts, src, dst FROM lp UNION SELECT ts, dst, src FROM lp),
+p(s, node, far) AS (SELECT DISTINCT x, x, -1::BIGINT FROM r UNION SELECT p.s, r.y, greatest(p.far, r.ts) FROM p JOIN r ON r.x = p.node WHERE greatest(p.far, r.ts) < (SELECT max(ts) FROM lp)),
+least_far AS (SELECT s, node, min(far) AS far FROM p GROUP BY 1, 2)
+SELECT src, dst, ts FROM lp WHERE NOT EXISTS (SELECT 1 FROM least_far f WHERE f.s = lp.src AND f.node = lp.dst AND f.far < lp.ts)""")
 def kruskal_forest(spark, sf_dir):
-    """Five regions are five trees: the forest has as many edges as nodes less five."""
-    e = A.edges(spark, sf_dir)
-    nodes = e.select("src").union(e.select("dst")).distinct().agg(F.count(F.lit(1)).alias("nodes"))
-    return nodes.crossJoin(graph.spanning_forest(e).agg(F.count(F.lit(1)).alias("edges")))
+    """The first order between each two of 12 nodes: an edge is in the forest unless earlier ones already join its ends."""
+    o = A.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 12).alias("x"), (F.col("o_orderkey") % 12).alias("y"), F.col("o_orderkey").alias("ts")).where("x <> y")
+    first = o.groupBy(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.min_by(F.struct("x", "y", "ts"), "ts").alias("e")).select("e.*")
+    return graph.spanning_forest(first.select(F.concat(F.lit("n"), "x").alias("src"), F.concat(F.lit("n"), "y").alias("dst"), "ts"))
 
 
 @_register("""WITH RECURSIVE p AS (SELECT c_custkey AS pid, c_custkey // 3 AS parent FROM customer), r AS (SELECT pid, pid AS root, parent FROM p UNION ALL SELECT r.pid, p.pid, p.parent FROM r JOIN p ON p.pid = r.parent WHERE r.parent <> 0 AND r.parent % 11 <> 0),
@@ -517,7 +546,7 @@ def precision_recall(spark, sf_dir):
     return evaluate.precision_recall(_scored(spark, sf_dir), F.col("p") >= 0.5, F.col("y") == 1)
 
 
-@_register("""WITH ev AS (SELECT DISTINCT o_custkey AS t, o_orderkey % 500 AS n FROM orders), inc AS (SELECT DISTINCT (l_suppkey % 5)::BIGINT AS incident, l_orderkey % 500 AS n FROM lineitem WHERE l_partkey % 40 = 0),
+@_register("""WITH ev AS (SELECT DISTINCT o_custkey AS t, o_orderkey % 500 AS n FROM orders), inc AS (SELECT DISTINCT (l_suppkey % 5)::BIGINT AS incident, l_orderkey % 500 AS n FROM lineitem WHERE l_partkey % 12 = 0),
 sz AS (SELECT t, count(*) AS s FROM ev GROUP BY 1), h AS (SELECT incident, t, count(*) AS h FROM ev JOIN inc USING (n) GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY h DESC, t) AS k FROM h),
 x AS (SELECT b.incident, b.t, b.h, sz.s FROM b JOIN sz USING (t) WHERE k <= 3), cv AS (SELECT x.incident, count(DISTINCT ev.n) AS c FROM x JOIN ev USING (t) JOIN inc ON inc.incident = x.incident AND inc.n = ev.n GROUP BY 1),
 pu AS (SELECT incident, sum(h) AS h, sum(s) AS s FROM x GROUP BY 1), tt AS (SELECT incident, count(*) AS t FROM inc GROUP BY 1)
@@ -606,15 +635,14 @@ def membership_strength(spark, sf_dir):
     return group.membership_strength(links, members).select("group_id", "trace_id", "strength", "n_links")
 
 
-@_register(f"""WITH {_SK}, q AS (SELECT x.id AS a, y.id AS b, round((count(*) FILTER (WHERE x.m = y.m)) / 16.0, 6)::DOUBLE AS similarity FROM h x JOIN h y ON x.s = y.s AND x.id <> y.id GROUP BY 1, 2),
-k AS (SELECT id, s // 2 AS band, string_agg(m, ':' ORDER BY s) AS key FROM h GROUP BY 1, 2), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id <> y.id),
-u AS (SELECT id, unnest(ws) AS w FROM it), f AS (SELECT w FROM u GROUP BY 1 HAVING count(*) BETWEEN 2 AND 3), i AS (SELECT DISTINCT x.id AS a, y.id AS b FROM u x JOIN u y ON x.w = y.w AND x.id <> y.id SEMI JOIN f ON f.w = x.w),
-r AS (SELECT q.*, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM q JOIN (SELECT * FROM c UNION SELECT * FROM i) z USING (a, b)) SELECT a, b, similarity, rank::BIGINT AS rank FROM r WHERE rank <= 50""")
+@_register(f"""WITH {_SK}, {_BAND}, c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id < y.id),
+u AS (SELECT id, unnest(ws) AS w FROM it), f AS (SELECT w FROM u GROUP BY 1 HAVING count(*) BETWEEN 2 AND greatest({S.COMMON_FLOOR}, {S.COMMON_SHARE} * (SELECT count(DISTINCT id) FROM u))), rr AS (SELECT * FROM u SEMI JOIN f USING (w)),
+z AS (SELECT a, b FROM c UNION SELECT x.id, y.id FROM rr x JOIN rr y ON x.w = y.w AND x.id < y.id), q AS (SELECT a, b, round((count(*) FILTER (WHERE x.m = y.m)) / {_SLOTS}.0, 6)::DOUBLE AS similarity FROM z JOIN h x ON x.id = a JOIN h y ON y.id = b AND y.s = x.s GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM (SELECT * FROM q UNION ALL SELECT b, a, similarity FROM q)) SELECT a, b, similarity, rank::BIGINT AS rank FROM r WHERE rank <= {S.CANDIDATE_CAP}""")
 def retrieval_index(spark, sf_dir):
-    s = _sketches(spark, sf_dir)
-    uses = s.select("id", F.explode("ws").alias("w"))
-    rare = uses.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 3").select("w")
-    return retrieve.retrieval_index(s.select("id", "sketch"), uses.join(rare, "w"), "id", "w", 8, 2)
+    """Neighbours of documents by bands and by shared words that are not common."""
+    s = cut(_sketches(spark, sf_dir), "sketches")
+    return retrieve.retrieval_index(s.select("id", "sketch"), s.select("id", F.explode("ws").alias("w")), "id", "w", _BANDS, _ROWS)
 
 
 @_register("""SELECT n_regionkey::BIGINT AS seq, n_nationkey::BIGINT AS id, string_agg(n_name, ' ') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING) AS path FROM nation""")

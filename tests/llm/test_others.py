@@ -117,6 +117,8 @@ def brute_license(t, named=False):
         df = Counter(w for d in docs for w in d)
         weight = lambda c, w: (1 + log(c)) * (log((len(docs) + 1) / ((df[w] if w in df else 1) + 1)) + 1)  # noqa: B023, E731
         for part in own:
+            if kind == "header" and len(part) > ls.HEADER_CHARS:
+                continue
             v = Counter(term(part))
             n = sqrt(sum(weight(c, w) ** 2 for w, c in v.items()))
             for (_, name, _, _), d in zip(templates, docs, strict=True):

@@ -67,7 +67,7 @@ def answer(engine: Engine, path: str, args: dict):
         return json_rows(engine.groups().where(f"group_id = '{rest[0].replace(chr(39), '')}'"))
     frames = {
         "services": lambda: engine.services(), "traces": lambda: engine.trace_summaries(args.get("service"), args.get("status"), limit), "groups": lambda: engine.groups(),
-        "logs": lambda: engine.logs(limit=limit, **{k: args[k] for k in ("service", "trace_id", "span_id", "severity") if k in args}), "sources": lambda: engine.tables()["source_checkpoints"],
+        "logs": lambda: engine.logs(limit=limit, **{k: args[k] for k in ("service", "trace_id", "span_id", "severity") if k in args}), "sources": lambda: engine.tables()["source_checkpoints"](),
         "ai": lambda: engine.ai_calls(args.get("service"), args.get("model"), limit), "search": lambda: engine.search(args["q"], args.get("filter"), limit=limit, bm25=args.get("mode") == "bm25"),
         "query": lambda: engine.query(args["sql"], limit),
     }

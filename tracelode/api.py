@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import schema as S
 from .functions import text as X
-from .operators import group, ledger, match, normalize, retrieve, search, traces, views
+from .operators import attrib, graph, group, ledger, match, normalize, retrieve, search, traces, views
 from .operators.graph import cut
 from .operators.store import Store
 from .plans import sqlgate
@@ -18,13 +18,34 @@ from .streaming.ingest import Ingest
 
 
 class Engine:
-    """A data folder and a session. Reads are DataFrames; writes go through ``Ingest``."""
+    """A data folder and a session. Reads are DataFrames; writes go through ``Ingest``.
+
+    Opening recovers whole batches that a crash kept out of the manifest, and loads the ledger, the
+    analysts' decisions and the trained model that were stored. Links and groups are stored as
+    projections of the log's version and the model; they are worked out when one of them changes.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.store = spark, Store(spark, path)
         self.ingester = Ingest(spark, self.store)
-        self.ledger = ledger.Ledger()
-        self.decisions = None
+        self.store.recover()
+        stored = self.store.load("ledger")
+        self.ledger = ledger.Ledger([] if stored is None else [r.asDict() for r in stored.orderBy("seq").collect()])
+        self.decisions = self.store.load("decisions")
+
+    def _record(self, *args, **options) -> None:
+        self.ledger.append(*args, **options)
+        self.store.save("ledger", self.ledger.frame(self.spark))
+
+    def _labels(self) -> DataFrame | None:
+        return self.store.load("labels")
+
+    def _projection(self, name: str, build) -> DataFrame:
+        """A stored table of this version of the log and the model, built if it isn't there."""
+        trained = sum(r["kind"] == "train" for r in self.ledger.records)
+        version = f"{self.store.version():010d}-{trained:06d}"
+        found = self.store.load(name, version)
+        return self.store.save(name, build(), version) if found is None else found
 
     # Writing
 
@@ -63,14 +84,25 @@ class Engine:
         return search.all_events(self.store.sealed(), self.store.live())
 
     def search(self, query: str, where: str | None = None, mask: int | None = None, limit: int = 1000, bm25: bool = False) -> DataFrame:
-        if not bm25:
-            return search.search(self.events(), query, where, mask, limit)
+        """Literal search through trigram postings, or ranked search; what isn't indexed yet is scanned."""
         indexed = self.store.manifest("index").select(F.col("name").alias("segment"))
-        scores = search.bm25(self.store.postings("terms"), self.store.postings("lengths"), query)
-        rest = self.events().join(indexed, "segment", "left_anti")
+        if indexed.isEmpty():
+            if not bm25:
+                return search.search(self.events(), query, where, mask, limit)
+            scores = self.spark.createDataFrame([], "id string, score double")
+        elif not bm25:
+            events = self.events()
+            known = events.join(F.broadcast(indexed), "segment", "left_semi")
+            found = search.trigram_search(known, self.store.postings("trigrams"), query, "event_hash", "raw")
+            rest = events.join(F.broadcast(indexed), "segment", "left_anti")
+            return search.search(found.select(*events.columns).unionByName(rest), query, where, mask, limit)
+        else:
+            scores = search.bm25(self.store.postings("terms"), self.store.postings("lengths"), query)
+        rest = self.events().join(F.broadcast(indexed), "segment", "left_anti")
         best = search.hybrid(scores, rest, query, limit)
         rows = self.events().join(best.select(F.col("id").alias("event_hash"), F.col("score").alias("_score")), "event_hash")
-        rows = rows if where is None else rows.withColumn("ts", F.to_timestamp("ts")).where(F.expr(where))
+        if where is not None:
+            rows = rows.withColumn("ts", F.to_timestamp("ts")).where(F.expr(sqlgate.check_filter(self.spark, where)))
         return rows.orderBy(F.col("_score").desc(), "event_hash")
 
     # Traces and groups
@@ -84,63 +116,148 @@ class Engine:
     def traces(self) -> DataFrame:
         return traces.trace_features(self.traced())
 
+    def candidates(self, events: DataFrame, t: DataFrame) -> dict[str, DataFrame]:
+        """Directed candidates ``a, b, estimate`` by source: sketches with probes, indicators, entities in time, dense vectors."""
+        uses, touches = self._uses(events), events.select("trace_id", F.explode("entities").alias("entity"), "ts_epoch")
+        ends = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = lambda d: d.select(ends.alias("e"), "shared").select("e.*", "shared")
+        sizes = t.select(F.col("trace_id").alias("a"), F.coalesce(F.size("entities"), F.lit(0)).alias("entities")).join(uses.groupBy(F.col("trace_id").alias("a")).agg(F.count(F.lit(1)).alias("uses")), "a", "left")
+        near = lambda d, size, *line: both(d).join(sizes, "a").select("a", "b", retrieve.estimate(F.col("shared"), F.coalesce(size, F.lit(0)), *line).alias("estimate"))
+        sketches = t.where("sketch is not null").select("trace_id", "sketch")
+        bands, rows = retrieve.bands_for_threshold()
+        lsh = retrieve.lsh_candidates(sketches, "trace_id", bands, rows).join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
+        vector = retrieve.dense_vector(F.col("end_ts") - F.col("start_ts"), F.coalesce(F.size("token_counts"), F.lit(0)), F.coalesce("uses", F.lit(0)), F.coalesce(F.size("entities"), F.lit(0)))
+        dense = t.join(sizes.select(F.col("a").alias("trace_id"), "uses"), "trace_id").select("trace_id", vector.alias("v"))
+        ann = retrieve.ann_topk(dense, dense, "trace_id", "v")
+        return {
+            "lsh": lsh.select("a", "b", X.sketch_jaccard(F.col("sa"), F.col("sb")).alias("estimate")),
+            "indicator": near(retrieve.indicator_pairs(uses, "trace_id", "indicator"), F.col("uses")),
+            "provenance": near(retrieve.interval_pairs(touches, "trace_id", "entity", "ts_epoch"), F.col("entities"), 0.5, 0.5),
+            "ann": ann.select(F.col("query").alias("a"), F.col("id").alias("b"), F.col("cos").alias("estimate")),
+        }
+
+    @staticmethod
+    def _uses(events: DataFrame) -> DataFrame:
+        return events.select("trace_id", F.explode(F.flatten(F.map_values("indicators"))).alias("indicator")).distinct()
+
     def links(self) -> DataFrame:
-        """Scored pairs of traces from banded sketches, indicators and shared entities."""
+        """Scored pairs of traces, as stored for this version of the log and the model."""
+        return self._projection("links", self._links)
+
+    def _links(self) -> DataFrame:
+        """Candidates of four sources, 50 a trace, in a queue by estimate, scored in rounds of one budget each."""
         events = cut(self.traced().select("trace_id", "ts_epoch", "action", "object", "tokens", "techniques", "indicators", "entities"), "traced")
         t = cut(traces.trace_features(events), "traces")
-        uses = events.select("trace_id", F.explode(F.flatten(F.map_values("indicators"))).alias("indicator")).distinct()
-        touches = events.select("trace_id", F.explode("entities").alias("entity"), "ts_epoch")
-        sketches = t.where("sketch is not null").select("trace_id", "sketch")
-        bands, rows = retrieve.bands_for_threshold()
+        capped = cut(retrieve.candidate_union(self.candidates(events, t)), "candidates")
+        pairs = capped.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("estimate").alias("estimate"), F.array_distinct(F.flatten(F.collect_list(F.split("sources", ",")))).alias("sources"))
+        size = t.select("trace_id", F.coalesce(F.size("token_counts"), F.lit(0)).alias("n"))
+        pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").withColumn("cost", match.pair_cost(F.col("na"), F.col("nb"))).drop("na", "nb")
+        uses, touches = self._uses(events), events.select("trace_id", F.explode("entities").alias("entity"), "ts_epoch")
         shared = retrieve.indicator_pairs(uses, "trace_id", "indicator")
         near = retrieve.interval_pairs(touches, "trace_id", "entity", "ts_epoch").withColumnRenamed("shared", "provenance_shared")
-        lsh = retrieve.banded_pairs(sketches, "trace_id", bands, rows).select("a", "b")
-        pairs = lsh.union(shared.select("a", "b")).union(near.select("a", "b")).distinct()
         pairs = pairs.join(shared, ["a", "b"], "left").join(near, ["a", "b"], "left").na.fill(0, ["shared", "provenance_shared"])
         docs = events.select("trace_id", F.explode("tokens").alias("x")).groupBy("trace_id").agg(F.collect_list("x").alias("terms"))
-        tfidf = match.tfidf_cosine(pairs.select("a", "b"), docs, "trace_id", "terms")
-        pairs = pairs.join(tfidf, ["a", "b"]).withColumn("idf_shared", F.lit(0.0))
+        pairs = pairs.join(match.tfidf_cosine(pairs.select("a", "b"), docs, "trace_id", "terms"), ["a", "b"])
+        idf = retrieve.rare_values(uses, "trace_id", "indicator").join(retrieve.indicator_idf(uses, "trace_id", "indicator"), "indicator").select(F.col("indicator").alias("term"), "idf")
+        pairs = pairs.join(match.idf_shared(pairs.select("a", "b"), uses, idf, "trace_id", "indicator"), ["a", "b"])
         f = match.pair_features(pairs, t.withColumn("techniques", F.coalesce("techniques", F.array().cast("array<string>"))))
+        f = f.join(pairs.select("a", "b", "estimate", "sources", "cost"), ["a", "b"])
         c = F.col
         classes = match.evidence_classes(c("minhash"), c("tfidf"), c("shared"), c("technique"), c("provenance"))
-        return f.select("*", F.round(match.baseline_score(c("minhash"), c("tfidf"), c("shared"), c("technique")), 6).alias("p"), classes.alias("classes"))
+        out = f.select("*", F.round(match.baseline_score(c("minhash"), c("tfidf"), c("shared"), c("technique")), 6).alias("p"), classes.alias("classes"))
+        labels = self._labels()
+        if labels is not None:
+            out = cut(out, "scored")
+            _, _, score = match.fit_pair_model(out.join(labels, ["a", "b"]))
+            out = score(out.drop("p")).select(*out.columns)
+        return out
+
+    def queue(self, budget: int = S.ROUND_BUDGET) -> DataFrame:
+        """Links in the order they are worked off: best estimate first, numbered by rounds of one budget."""
+        jobs = self.links().select("a", "b", "estimate", "cost", F.concat_ws("|", "a", "b").alias("seq"))
+        return match.rounds(jobs, budget)
 
     def groups(self) -> DataFrame:
+        """Memberships, with the analysts' decisions laid over them."""
+        folded = self._projection("groups", self._groups)
+        return folded if self.decisions is None else group.decide(folded, self.decisions).drop("refused")
+
+    def _groups(self) -> DataFrame:
         links = self.links().where(F.col("p") >= S.TAU_MEMBER).withColumn("n_classes", F.size("classes"))
         return group.fold_groups(links.select("a", "b", "p", "n_classes", F.lit(0).cast("long").alias("seq")))
 
-    def train(self, labelled: DataFrame):
-        """Fit the pair model on ``a, b, label`` and score all links with it; recorded in the ledger."""
-        links = self.links()
-        lr, _, score = match.fit_pair_model(links.join(labelled, ["a", "b"]))
-        self.ledger.append("train", {"rows": labelled.count()}, {"coef": list(lr.coefficients)}, model=match.decision_context(lr.coefficients, lr.intercept))
-        return score(links.drop("p"))
+    def train(self, labelled: DataFrame) -> DataFrame:
+        """Fit the pair model on ``a, b, label``, score all links with it and group every trace anew; recorded in the ledger."""
+        rows = self.links().join(labelled, ["a", "b"])
+        lr, _, _ = match.fit_pair_model(rows)
+        self.store.save("labels", labelled.select("a", "b", F.col("label").cast("int").alias("label")))
+        self._record("train", {"rows": labelled.count()}, {"coef": list(lr.coefficients)}, model=match.decision_context(lr.coefficients, lr.intercept))
+        self.groups()
+        return self.links()
 
     def review(self, trace_id: str, group_id: str, state: str) -> DataFrame:
-        """An analyst's decision over the folded memberships; recorded in the ledger."""
+        """An analyst's decision over the folded memberships; stored, and recorded in the ledger."""
         if state not in ("confirmed", "rejected"):
             raise ValueError("confirmed or rejected is expected")
         row = self.spark.createDataFrame([(trace_id, group_id, state)], "trace_id string, group_id string, state string")
-        self.decisions = row if self.decisions is None else self.decisions.where((F.col("trace_id") != trace_id) | (F.col("group_id") != group_id)).union(row)
-        self.ledger.append("review", {"trace_id": trace_id, "group_id": group_id}, {"state": state})
-        return group.decide(self.groups(), self.decisions)
+        if self.decisions is not None:
+            row = self.decisions.where((F.col("trace_id") != trace_id) | (F.col("group_id") != group_id)).union(row)
+        laid = group.decide(self._projection("groups", self._groups), row)
+        if laid.where((F.col("trace_id") == trace_id) & (F.col("group_id") == group_id) & F.col("refused")).count():
+            raise ValueError(f"{trace_id} is in {S.MAX_MEMBERSHIPS} groups already")
+        self.decisions = self.store.save("decisions", row)
+        self._record("review", {"trace_id": trace_id, "group_id": group_id}, {"state": state})
+        return self.groups()
+
+    def group_view(self, group_id: str) -> dict[str, DataFrame]:
+        """A group's members, their spans of time in order, and the groups it shares members with."""
+        members = self.groups()
+        own = members.where(F.col("group_id") == group_id)
+        spans = self.traces().select("trace_id", "start_ts", "end_ts")
+        return {"members": own, "timeline": group.group_timeline(own, spans), "shared": group.shared_groups(members, group_id)}
+
+    def attribute(self, train: DataFrame) -> DataFrame:
+        """Outcome of each active group against actors (``actor, tokens, techniques`` rows): text model and techniques fused."""
+        t = self.traces()
+        members = group.active(self.groups()).select("group_id", "trace_id").join(t, "trace_id")
+        words = members.select("group_id", F.explode(F.map_keys("token_counts")).alias("w")).groupBy("group_id").agg(F.array_sort(F.collect_list("w")).alias("tokens"))
+        technique = members.select("group_id", F.explode("techniques").alias("x")).groupBy("group_id").agg(F.collect_set("x").alias("techniques"))
+        _, probabilities = attrib.fit_text_model(train)
+        p = probabilities(words)
+        tech = attrib.technique_scores(technique, train)
+        scores = p.join(tech, ["group_id", "actor"], "left").select("group_id", "actor", attrib.fuse(F.col("p"), F.coalesce("tech", F.lit(0.0))).alias("s"))
+        return attrib.outcome(attrib.posterior(scores, train.select("actor").distinct().count()))
+
+    def reconstruct(self, seed: str, horizon: float = S.HORIZON_SECONDS) -> tuple[DataFrame, DataFrame]:
+        """The provenance around an entity: forest edges below the best entry, and nodes with their role."""
+        rows = normalize.adapt(self.events())
+        edges = rows.where("subject <> '' and object <> ''").select(F.col("subject").alias("src"), F.col("object").alias("dst"), "action", F.col("ts_epoch").alias("ts"), normalize.edge_score(F.col("action"), F.col("object")).alias("anomaly"))
+        edges = cut(edges, "edges")
+        seeds = self.spark.createDataFrame([(seed,)], "node string")
+        anchor = edges.where((F.col("src") == seed) | (F.col("dst") == seed)).agg(F.max("ts")).first()[0]
+        if anchor is None:
+            raise KeyError(seed)
+        return graph.reconstruct(edges, seeds, anchor, horizon)
 
     # SQL and views
 
-    def tables(self) -> dict[str, DataFrame]:
-        """The named tables that SQL sees."""
-        traced = self.traced()
-        members = self.groups()
-        sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("member_count")).select("group_id", F.lit(1).alias("version"), "member_count")
-        spans = traced.groupBy("trace_id", "anchor").agg(F.min("ts_epoch").alias("start_ts"), F.max("ts_epoch").alias("end_ts"), F.count(F.lit(1)).alias("event_count"))
+    def tables(self) -> dict:
+        """The named tables that SQL sees, each made when it is asked for."""
+
+        def sizes() -> DataFrame:
+            return self.groups().groupBy("group_id").agg(F.count(F.lit(1)).alias("member_count")).select("group_id", F.lit(1).alias("version"), "member_count")
+
+        def spans() -> DataFrame:
+            return self.traced().groupBy("trace_id", "anchor").agg(F.min("ts_epoch").alias("start_ts"), F.max("ts_epoch").alias("end_ts"), F.count(F.lit(1)).alias("event_count"))
+
         return {
-            "events": self.events().select(*S.EVENT_COLUMNS).withColumn("ts", F.to_timestamp("ts")), "traces": spans, "trace_events": traced.select("trace_id", "event_hash"),
-            "groups": sizes, "memberships": members, "decisions": self.ledger.frame(self.spark), "source_checkpoints": views.checkpoints(self.events()),
+            "events": lambda: self.events().select(*S.EVENT_COLUMNS).withColumn("ts", F.to_timestamp("ts")), "traces": spans, "trace_events": lambda: self.traced().select("trace_id", "event_hash"),
+            "groups": sizes, "memberships": self.groups, "decisions": lambda: self.ledger.frame(self.spark), "source_checkpoints": lambda: views.checkpoints(self.events()),
         }
 
     def query(self, sql: str, limit: int = 1000) -> DataFrame:
         known = self.tables()
-        return sqlgate.query_tables(self.spark, sql, {k: v for k, v in known.items() if k in sql.lower()}, limit)
+        return sqlgate.query_tables(self.spark, sql, {k: known[k]() for k in sqlgate.tables_of(self.spark, sql, known)}, limit)
 
     def _attributes(self) -> DataFrame:
         return self.events().withColumn("attrs", F.from_json("attributes", "map<string,string>"))
@@ -182,7 +299,14 @@ class Engine:
         return self.store.status() | {"ledger": len(self.ledger.records), "head": self.ledger.head}
 
     def verify(self) -> dict:
+        """Chains, roots and links of the log, hashes of sealed files, and the ledger with its stored copy."""
         rows = self.store.verify().collect()
         bad = ledger.verify_ledger(self.ledger.frame(self.spark)).where("not (hash_ok and link_ok and seq_ok)").count() if self.ledger.records else 0
+        stored = self.store.load("ledger")
+        head = S.GENESIS if stored is None else stored.agg(F.max_by("record_hash", "seq")).first()[0]
         links = ledger.verify_segments(self.store.manifest()).where("not link_ok").count()
-        return {"segments": len(rows), "ok": all(r.ok for r in rows) and not bad and not links, "bad_records": bad, "bad_links": links}
+        return {"segments": len(rows), "ok": all(r.ok for r in rows) and not bad and not links and head == self.ledger.head, "bad_segments": [r.segment for r in rows if not r.ok], "bad_records": bad, "bad_links": links}
+
+    def export_ledger(self, path: str) -> str:
+        """The ledger as JSON lines; returns its head."""
+        return self.ledger.export(self.spark, path)

@@ -148,6 +148,18 @@ def active(memberships: DataFrame) -> DataFrame:
     return memberships.where(F.col("state").isin(*ACTIVE))
 
 
+def groups_of(memberships: DataFrame, trace_id) -> DataFrame:
+    """Active groups of a trace, the strongest first."""
+    return active(memberships).where(F.col("trace_id") == trace_id).select("group_id", "strength", "state").orderBy(F.col("strength").desc(), "group_id")
+
+
+def shared_groups(memberships: DataFrame, group_id) -> DataFrame:
+    """``group_id, shared``: other groups that active members of a group are active in too."""
+    m = active(memberships).select("trace_id", "group_id")
+    own = m.where(F.col("group_id") == group_id).select("trace_id")
+    return m.where(F.col("group_id") != group_id).join(own, "trace_id", "left_semi").groupBy("group_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def merge_proposals(memberships: DataFrame, strong: float = S.STRONG_MEMBER) -> DataFrame:
     """``group_a, group_b, shared, members``: groups with a strong member in common; nothing is merged."""
     m = active(memberships).where(F.col("strength") >= strong).select("trace_id", "group_id")

@@ -45,8 +45,10 @@ class Ledger:
         return row
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        names = [*FIELDS, "record_hash"]
-        return spark.createDataFrame([tuple(r[n] for n in names) for r in self.records], LEDGER)
+        return spark.createDataFrame(self.rows(), LEDGER)
+
+    def rows(self) -> list[tuple]:
+        return [tuple(r[n] for n in (*FIELDS, "record_hash")) for r in self.records]
 
     def export(self, spark: SparkSession, path: str) -> str:
         self.frame(spark).coalesce(1).write.mode("overwrite").json(path)
@@ -57,15 +59,26 @@ class Ledger:
         return cls([r.asDict() for r in spark.read.schema(LEDGER).json(path).orderBy("seq").collect()])
 
 
+def _before(records: DataFrame, column: str, first) -> DataFrame:
+    """Adds ``before``: the column's value in the record before, found by its number, so that no task sees all records."""
+    prior = records.select((F.col("seq") + 1).alias("seq"), F.col(column).alias("__before"))
+    return records.join(prior, "seq", "left").withColumn("before", F.when(F.col("seq") == 0, F.lit(first)).otherwise(F.col("__before"))).drop("__before")
+
+
 def verify_ledger(records: DataFrame) -> DataFrame:
     """``seq, hash_ok, link_ok, seq_ok`` per record; every record is checked on its own and against the one before."""
-    w = Window.orderBy("seq")
-    return records.select(
-        "seq", (F.col("record_hash") == record_hash()).alias("hash_ok"), (F.col("prev_hash") == F.coalesce(F.lag("record_hash").over(w), F.lit(S.GENESIS))).alias("link_ok"),
-        (F.col("seq") == F.row_number().over(w) - 1).alias("seq_ok"),
+    rows = _before(records, "record_hash", S.GENESIS)
+    return rows.select(
+        "seq", (F.col("record_hash") == record_hash()).alias("hash_ok"), F.coalesce(F.col("prev_hash") == F.col("before"), F.lit(False)).alias("link_ok"),
+        ((F.col("seq") == 0) | F.col("before").isNotNull()).alias("seq_ok"),
     )
 
 
+def link_root(prev: str, root: str) -> str:
+    """The hash that links a segment's root to what came before: that of ``chain_hash``."""
+    return _digest(f"{prev}|{root}")
+
+
 def chain_hash(prev: Column, body: Column) -> Column:
     """sha256("prev|body") as text."""
     return F.sha2(F.concat(prev, F.lit("|"), body).cast("binary"), 256)
@@ -74,7 +87,7 @@ def chain_hash(prev: Column, body: Column) -> Column:
 def chain_rows(rows: DataFrame, group: str, order: str, body: str, genesis: str = S.GENESIS) -> DataFrame:
     """Adds ``prev, record_hash``: one chain per group (a segment), each folded in order, groups in parallel.
 
-    Segments are bounded by size when they are cut, which bounds a group here.
+    A group is folded in one task; a store deals its batches to segments of a bounded size.
     """
     schema = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], "prev string", "record_hash string"]
 
@@ -99,8 +112,8 @@ def verify_chain(rows: DataFrame, group: str, order: str, body: str, genesis: st
 
 def verify_segments(segments: DataFrame) -> DataFrame:
     """Segments (seq, prev_root, root) link to each other: ``seq, link_ok``."""
-    w = Window.orderBy("seq")
-    return segments.select("seq", (F.col("prev_root") == F.coalesce(F.lag("root").over(w), F.lit(S.GENESIS))).alias("link_ok"))
+    rows = _before(segments, "root", S.GENESIS)
+    return rows.select("seq", F.coalesce(F.col("prev_root") == F.col("before"), F.lit(False)).alias("link_ok"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

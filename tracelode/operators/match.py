@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.text import duration_sim, jaccard, sketch_jaccard
 
+#: Ranges that priorities from 0 to 1 are cut in.
+RANGES = 4096
 FEATURES = ("minhash", "tfidf", "idf_shared", "technique", "provenance", "gap", "shared", "duration")
 
 
@@ -99,6 +101,31 @@ def budget_round(jobs: DataFrame, budget: int = S.ROUND_BUDGET, priority: str =
     return rows.where((F.col("running") <= budget) | (F.col("position") == 1))
 
 
+def rounds(jobs: DataFrame, budget: int = S.ROUND_BUDGET, priority: str = "estimate", cost: str = "cost", order: str = "seq") -> DataFrame:
+    """Adds ``position`` and ``round``: jobs best first, a round for each budget's worth of running cost.
+
+    The order is by ranges of priority, each sorted in a task of its own, with range totals carried
+    over, so that no task sees the whole queue.
+    """
+    cuts = jobs.select(F.floor(F.col(priority) * RANGES).alias("range"), F.col(cost).alias("c")).groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"))
+    later = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.select("range", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("n0"), F.coalesce(F.sum("c").over(later), F.lit(0)).alias("c0"))
+    w = Window.partitionBy("range").orderBy(F.col(priority).desc(), order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = jobs.withColumn("range", F.floor(F.col(priority) * RANGES)).join(F.broadcast(cuts), "range")
+    running = F.col("c0") + F.sum(cost).over(upto)
+    rows = rows.withColumn("position", (F.col("n0") + F.row_number().over(w)).cast("long")).withColumn("round", F.floor((running - 1) / budget).cast("long"))
+    return rows.select(*jobs.columns, "position", "round")
+
+
+def order_candidates(pairs: DataFrame, mode: str = "best_first", by: str = "similarity", inserted: str = "seq", trace: str = "a") -> DataFrame:
+    """Adds ``position`` per trace: by similarity, or first in first out."""
+    if mode not in ("best_first", "fifo"):
+        raise ValueError("best_first or fifo is expected")
+    w = Window.partitionBy(trace).orderBy(*([F.col(by).desc()] if mode == "best_first" else []), inserted)
+    return pairs.withColumn("position", F.row_number().over(w).cast("long"))
+
+
 def degree_priority(jobs: DataFrame) -> DataFrame:
     """estimate / sqrt(degree a * degree b), degrees counted over the jobs."""
     ends = jobs.select(F.col("a").alias("n")).union(jobs.select(F.col("b").alias("n"))).groupBy("n").agg(F.count(F.lit(1)).alias("d"))

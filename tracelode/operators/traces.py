@@ -51,6 +51,11 @@ def sessionize(events: DataFrame, key: str, micros: str, order: str, idle_s: int
     return rows.drop("__run", "__long", "__pos", "cuts", "__part", "__new")
 
 
+def seal_idle(sessions: DataFrame, now: Column, last: str = "end_us", idle_s: int = S.IDLE_SECONDS) -> DataFrame:
+    """Adds ``sealed``: whether a session has been idle for longer than ``idle_s`` at a time in microseconds."""
+    return sessions.withColumn("sealed", now - F.col(last) > F.lit(idle_s * 1_000_000))
+
+
 def trace_features(events: DataFrame, trace: str = "trace_id") -> DataFrame:
     """One row a trace: counts, spans of time, sets and the sketch. Every part merges.
 

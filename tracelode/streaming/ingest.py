@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..operators.graph import cut, spent
 from ..operators.normalize import content_fingerprint, normalize
 from ..operators.store import Store
 
@@ -53,18 +57,28 @@ def resolve(batch: DataFrame, receipts: DataFrame, checkpoints: DataFrame) -> tu
 
 
 class Ingest:
-    """Batches of raw records into a store, each exactly once. A batch is checked whole before it is written."""
+    """Batches of raw records into a store, each exactly once. A batch is checked whole before it is written.
+
+    Receipts are written before the events, and count from the moment the batch is in the manifest, so
+    a crash at any place leaves a batch that is either whole or not there. After a failed write the
+    next one recovers the store first.
+    """
 
     def __init__(self, spark: SparkSession, store: Store) -> None:
-        self.spark, self.store = spark, store
+        self.spark, self.store, self.failed = spark, store, False
 
     def receipts(self) -> DataFrame:
+        """Receipts of batches in the manifest."""
         if not self.store._exists("receipts"):  # noqa: SLF001
             return self.spark.createDataFrame([], RECEIPTS)
-        return self.spark.read.schema(RECEIPTS).option("recursiveFileLookup", True).parquet(f"{self.store.path}/receipts")
+        rows = self.spark.read.schema(RECEIPTS + ", batch string").parquet(f"{self.store.path}/receipts")
+        return rows.join(F.broadcast(self.store.manifest().select("batch").distinct()), "batch", "left_semi").drop("batch")
 
     def write(self, records: DataFrame, batch_id: str, ingest_ts: str = "1970-01-01T00:00:00Z") -> int:
         """``records``: record, source_id, position. Returns the number of new events; a retried batch adds none."""
+        if self.failed:
+            self.store.recover()
+            self.failed = False
         events, rejected = normalize(records.withColumn("source_seq", F.lit(None).cast("long")), ingest_ts)
         bad = rejected.limit(1).collect()
         if bad:
@@ -72,17 +86,24 @@ class Ingest:
         keyed = events.withColumn("fingerprint", content_fingerprint()).withColumn("attrs", F.from_json("attributes", "map<string,string>"))
         order = Window.partitionBy("source_id").orderBy("ts", "event_hash")
         keyed = keyed.withColumn("position", F.row_number().over(order).cast("long")).withColumn("event_id", F.try_element_at("attrs", F.lit("event_id")))
+        keyed = cut(keyed.drop("attrs"), "keyed")
         batch = keyed.select("position", F.lit(batch_id).alias("request_id"), "event_id", "source_id", F.col("source_seq").alias("explicit_seq"), "fingerprint")
-        seen = self.receipts()
-        fresh, conflicts = resolve(batch, seen, seen.groupBy("source_id").agg(F.max("source_seq").alias("max_seq")))
-        clash = conflicts.limit(1).collect()
-        if clash:
-            raise Conflict(f"{clash[0].conflict}: {clash[0].identity}")
-        n = fresh.count()
-        if not n:
-            return 0
-        name = self.store.append(keyed.drop("source_seq", "fingerprint", "attrs", "event_id").join(fresh.select("source_id", "position", "source_seq"), ["source_id", "position"]), f"batch-{batch_id}")
-        fresh.select("identity", "source_id", "source_seq", "event_id", "fingerprint").write.mode("overwrite").parquet(f"{self.store.path}/receipts/segment={name}")
+        with self.store.lock():
+            seen = self.receipts()
+            fresh, conflicts = resolve(batch, seen, seen.groupBy("source_id").agg(F.max("source_seq").alias("max_seq")))
+            clash = conflicts.limit(1).collect()
+            if clash:
+                raise Conflict(f"{clash[0].conflict}: {clash[0].identity}")
+            fresh = cut(fresh, "fresh")
+            n = fresh.count()
+            if n:
+                name = "batch-" + (batch_id if re.fullmatch(r"[\w.-]+", batch_id) else hashlib.sha256(batch_id.encode()).hexdigest())
+                self.failed = True
+                fresh.select("identity", "source_id", "source_seq", "event_id", "fingerprint").write.mode("overwrite").parquet(f"{self.store.path}/receipts/batch={name}")
+                rows = keyed.drop("source_seq", "fingerprint", "event_id").join(fresh.select("source_id", "position", "source_seq"), ["source_id", "position"])
+                self.store.append(rows, name, n)
+                self.failed = False
+            spent(keyed, fresh)
         return n
 
     def stream(self, lines: DataFrame, checkpoint: str, source_id: str = "stream"):
@@ -101,31 +122,39 @@ STATE = T.StructType([T.StructField("start", T.LongType()), T.StructField("last"
 OUT = "key string, session long, start_us long, end_us long, events long, sealed boolean"
 
 
-def session_stream(events: DataFrame, key: str, micros: str, idle_s: int = S.IDLE_SECONDS, max_s: int = S.MAX_TRACE_SECONDS) -> DataFrame:
+def session_stream(events: DataFrame, key: str, micros: str, idle_s: int = S.IDLE_SECONDS, max_s: int = S.MAX_TRACE_SECONDS, late: str = "0 seconds") -> DataFrame:
     """Sessions as state per key: one row for each session a micro-batch closes or extends.
 
     Events of a micro-batch are taken in order of time. One that is older than the open session joins
-    it and widens its start; a sealed session never opens again.
+    it and widens its start; a sealed session never opens again. A session that stays idle is sealed
+    by a timer of event time: when the watermark, ``late`` behind the newest event, passes its end by
+    the idle gap.
     """
     idle, most = idle_s * 1_000_000, max_s * 1_000_000
 
     def fold(k, frames, state):
         start, last, idx, n = state.get if state.exists else (None, None, 0, 0)
         out = []
-        times = sorted(t for pdf in frames for t in pdf["us"].tolist())
-        for t in times:
-            if start is not None and (t - last > idle or t - min(start, t) > most):
-                out.append((k[0], idx, start, last, n, True))
-                start, idx, n = None, idx + 1, 0
-            if start is None:
-                start = last = t
-            start, last, n = min(start, t), max(last, t), n + 1
-        state.update((start, last, idx, n))
-        out.append((k[0], idx, start, last, n, False))
+        if state.hasTimedOut:
+            out.append((k[0], idx, start, last, n, True))
+            state.update((None, last, idx + 1, 0))
+        else:
+            times = sorted(t for pdf in frames for t in pdf["us"].tolist())
+            for t in times:
+                if start is not None and (t - last > idle or t - min(start, t) > most):
+                    out.append((k[0], idx, start, last, n, True))
+                    start, idx, n = None, idx + 1, 0
+                if start is None:
+                    start = last = t
+                start, last, n = min(start, t), max(last, t), n + 1
+            state.update((start, last, idx, n))
+            state.setTimeoutTimestamp(max((last + idle) // 1000 + 1, state.getCurrentWatermarkMs()) + 1)
+            out.append((k[0], idx, start, last, n, False))
         yield pd.DataFrame(out, columns=["key", "session", "start_us", "end_us", "events", "sealed"])
 
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col(micros).alias("us"))
-    return rows.groupBy("key").applyInPandasWithState(fold, OUT, STATE, "update", "NoTimeout")
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(micros).alias("us"), F.timestamp_micros(F.col(micros) + 1000).alias("at"))
+    rows = rows.withWatermark("at", late)  # a millisecond on, as the first watermark is the epoch and what isn't after it counts as late
+    return rows.groupBy("key").applyInPandasWithState(fold, OUT, STATE, "update", "EventTimeTimeout")
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "15 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

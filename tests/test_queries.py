@@ -3,7 +3,7 @@
 import pytest
 from compare import duck, rows
 
-from tracelode.plans.queries import QUERIES, SQL
+from tracelode.plans.catalog import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ from compare import duck, rows
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as X
-from tracelode.plans.queries import QUERIES, SQL
+from tracelode.plans.catalog import QUERIES, SQL
 
 
 def test_sclc_normalizes_every_page(spark, sf):

@@ -64,6 +64,17 @@ def precision_recall(rows: DataFrame, predicted: Column, label: Column) -> DataF
     return got.select("*", ratio(F.col("tp"), F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("fn")).alias("recall"))
 
 
+def abstention(outcomes: DataFrame) -> DataFrame:
+    """``n, unresolved, abstained, precision`` of one row: shares without candidates and without an attribution, and right ones of the attributed.
+
+    ``outcomes``: status, actor, truth.
+    """
+    share = lambda test: F.round(F.avg(F.when(test, 1.0).otherwise(0.0)), 6)
+    made = F.col("status") == "attributed"
+    right = F.sum(F.when(made & (F.col("actor") == F.col("truth")), 1).otherwise(0)) / F.nullif(F.sum(F.when(made, 1).otherwise(0)), F.lit(0))
+    return outcomes.agg(F.count(F.lit(1)).alias("n"), share(F.col("status") == "unresolved").alias("unresolved"), share(~made).alias("abstained"), F.coalesce(F.round(right, 6), F.lit(0.0)).alias("precision"))
+
+
 def neighbour_recall(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted, found, recall``: the share of wanted pairs among the found ones."""
     hit = wanted.select("a", "b").distinct().join(found.select("a", "b").distinct().withColumn("hit", F.lit(1)), ["a", "b"], "left")

@@ -57,6 +57,16 @@ def event_hash() -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
+def short_hash(*fields, separator: str) -> Column:
+    """32 hex digits of sha256 over fields joined by a separator, nulls empty: the hash of an event that comes without one."""
+    return F.substring(F.sha2(F.concat_ws(separator, *[F.coalesce(F.col(f) if isinstance(f, str) else f, F.lit("")) for f in fields]).cast("binary"), 256), 1, 32)
+
+
+def tokens_or(tokens: Column, template: Column, action: Column, klass: Column) -> Column:
+    """Given tokens; else the template's hash; else action and object class."""
+    return F.coalesce(tokens, F.when(template.isNotNull(), F.array(template)), F.array(F.concat_ws(":", F.lower(action), klass)))
+
+
 def content_fingerprint() -> Column:
     """An event without its hash, sequence and ingest time, and without reserved attributes."""
     attributes = F.map_filter(F.from_json("attributes", "map<string,string>"), lambda k, v: k != RESERVED)

@@ -131,6 +131,14 @@ def load_corpus(records: DataFrame, max_words: int = 256, merged: str = "sf", me
     return rows.withColumn("seq", (F.row_number().over(Window.partitionBy("actor", "session_id").orderBy("ts", "command")) - 1).cast("long"))
 
 
+def corpus_manifest(records: DataFrame, dropped: Column | None = None) -> DataFrame:
+    """Per actor: sessions, commands, first and last time, and how many rows are dropped."""
+    actor = F.lower(F.trim("actor"))
+    drop = F.lit(False) if dropped is None else dropped
+    by = records.withColumn("__drop", drop).groupBy(actor.alias("actor"))
+    return by.agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("commands"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum(F.when(F.col("__drop"), 1).otherwise(0)).alias("dropped"))
+
+
 def load_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Provenance edges with the names and types of their nodes, where these are known."""
     if nodes is None:
@@ -172,3 +180,19 @@ def actor_fixture(spark: SparkSession, seed: int = 7, actors: int = 8, sessions:
             rng.shuffle(tokens)
             rows.append((f"actor{a}", f"a{a}s{s}", float(1_700_000_000 + s * 3600 + a), tokens, rng.sample([f"T{1000 + a * 4 + i}" for i in range(4)], 2), [f"ioc{a}_{rng.randrange(6)}" for _ in range(rng.choice((2, 3)))], s < sessions * 0.7))
     return spark.createDataFrame(rows, "actor string, session_id string, ts double, tokens array<string>, techniques array<string>, indicators array<string>, train boolean")
+
+
+def provenance_fixture(spark: SparkSession, seed: int = 11, hosts: int = 4, processes: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Seeded provenance: edges of process trees that read, write and connect, and the nodes of one incident on each host."""
+    rng = random.Random(seed)
+    edges, truth = [], []
+    for h in range(hosts):
+        for p in range(1, processes):
+            at = 1_700_000_000 + h * 10_000 + p * 60
+            edges.append((f"h{h}p{rng.randrange(p)}", f"h{h}p{p}", "fork", float(at)))
+            kind = rng.choice((("read", f"h{h}f{rng.randrange(12)}"), ("write", f"h{h}f{rng.randrange(12)}"), ("connect", f"10.0.{h}.{rng.randrange(5)}:443")))
+            edges.append((f"h{h}p{p}", kind[1], kind[0], float(at + 5)))
+        bad = rng.randrange(1, processes)
+        edges.append((f"h{h}p{bad}", f"h{h}evil", "inject", float(1_700_000_000 + h * 10_000 + processes * 60)))
+        truth += [(f"incident{h}", n) for n in (f"h{h}p{bad}", f"h{h}evil")]
+    return spark.createDataFrame(edges, "src_id string, dst_id string, action string, ts double"), spark.createDataFrame(truth, "incident string, node_id string")

@@ -1,9 +1,17 @@
 import random
+import re
+from collections import Counter
+from itertools import combinations
 
+import numpy as np
 import pytest
 from helpers import awkward, text
+from test_dedup import brute_set, roots
 
 import corpus_pipeline
+from tracelode.llm import mixing, pii
+from tracelode.llm import quality_classifier as qc
+from tracelode.llm.tokens import WordTokens
 
 
 @pytest.fixture(scope="module")
@@ -52,12 +60,72 @@ def test_run(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
-def test_awkward_rows(spark, tmp_path):
-    df = awkward(spark)
-    df.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
-    (tmp_path / "e").mkdir()
-    df.limit(0).write.parquet(f"{tmp_path}/e/documents.parquet")
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/e/labels.parquet")
-    assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
+def text_rows(df):
+    return Counter((r.doc_id, r.text) for r in df.collect())
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+@pytest.mark.parametrize("kind", ["plain", "awkward"])
+def test_stages_equal_brute_force(spark, folder, tmp_path, kind):
+    """Each stage on what its predecessor kept, against a plain version: which rows stay, their texts, words taken and tokens packed."""
+    if kind == "awkward":
+        folder = str(tmp_path)
+        awkward(spark).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    again = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    # quality: each row by the model's verdict on its own text
+    model = qc.train_model(docs, qc.trusted_ids(spark.read.parquet(f"{folder}/labels.parquet")))
+    good = lambda t: model.scores(np.array([qc.text_features((t or "").encode())]))[0] >= 0.5 if t is not None else model.scores(np.array([qc.text_features(None)]))[0] >= 0.5
+    first = again(corpus_pipeline.quality(spark, docs, folder))
+    assert text_rows(first) == Counter({k: n for k, n in text_rows(docs).items() if good(k[1])}) and first.columns == docs.columns
+    # near duplicates: all pairs of rows
+    rows = [(i, r.doc_id, r.text) for i, r in enumerate(first.collect())]
+    sets = {i: brute_set(t) for i, _, t in rows}
+    up = roots(sets, [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    least = {}
+    for i, d, _ in rows:
+        if d is not None:
+            least[up[i]] = min(d, least.get(up[i], d))
+    stay = {d for i, d, _ in rows if d is not None and (not sets[i] or least[up[i]] == d)}
+    want = Counter({(d, t): 1 for _, d, t in rows if d in stay}) + Counter((d, t) for _, d, t in rows if d is None)
+    second = again(corpus_pipeline.near_duplicates(spark, first, folder))
+    assert text_rows(second) == want and second.columns == docs.columns
+    # personal data: every text masked by hand
+    crf = pii.train_field()
+    hide = lambda t: None if t is None else pii.mask(t, pii.all_spans(pii.base_spans(t), pii.field_spans([t], crf)[0], t))
+    third = again(corpus_pipeline.personal_data(spark, second, folder))
+    assert text_rows(third) == Counter(x for (d, t), n in text_rows(second).items() for x in [(d, hide(t))] * n)
+    # mix: the words that each source's budget takes, copies of whole texts and one cut text a source
+    budget = {r.source_size: [r.target, 0] for r in mixing.mix(third).collect()}
+    fourth = again(corpus_pipeline.mix_sources(spark, third, folder))
+    sizes = Counter()
+    for r in third.collect():
+        sizes[r.source] += len(words(r.text))
+    taken, cut = Counter(), Counter()
+    whole = {(r.doc_id, r.source, r.text) for r in third.collect()}
+    for r in fourth.collect():
+        taken[r.source] += len(words(r.text))
+        cut[r.source] += (r.doc_id, r.source, r.text) not in whole
+    for s, n in sizes.items():
+        assert taken[s] == int(budget[n][0]) and cut[s] <= 1, s
+    # pack: each row's tokens, once, in sequences without gaps
+    out = corpus_pipeline.pack(spark, fourth, folder).toPandas()
+    tokens = WordTokens()
+    want_tokens = Counter()
+    for r in fourth.collect():
+        want_tokens[r.doc_id] += len(tokens.encode(r.text or "")) // 4 + 1
+    got_tokens = out.groupby("doc_id", dropna=False).length.sum()
+    assert {None if d != d else int(d): int(n) for d, n in got_tokens.items()} == dict(want_tokens)
+    for _, seq in out.sort_values("offset").groupby("sequence_id"):
+        assert list(seq.offset) == [0, *seq.length.cumsum()[:-1]] and seq.length.sum() <= 4096
+    assert out.sequence_id.nunique() <= -(-out.length.sum() // 4096) + 1
+
+
+def test_empty_tables(spark, tmp_path):
+    awkward(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def time_forward_split(rows: DataFrame, group: str, ts: str) -> DataFrame:
     """``group, first_ts, position, split``: the latest groups test, those before validate, the others train."""
     first = rows.groupBy(group).agg(F.min(ts).alias("first_ts"))
-    w = Window.orderBy("first_ts", F.col(group).cast("string"))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    rows = first.withColumn("position", F.row_number().over(w).cast("long")).withColumn("n", n)
+    n = first.agg(F.count(F.lit(1)).alias("n"))
+    rows = running(first, F.col("first_ts"), [F.col(group).cast("string")], {}).withColumnRenamed("__position", "position").crossJoin(F.broadcast(n))
     n_test = F.when(F.col("n") >= 3, F.greatest(F.lit(1), F.bround(0.15 * F.col("n")))).when(F.col("n") == 2, 1).otherwise(0)
     n_val = F.when(F.col("n") - n_test >= 3, F.greatest(F.lit(1), F.bround(0.15 * F.col("n")))).otherwise(0)
     split = F.when(F.col("position") > F.col("n") - n_test, "test").when(F.col("position") > F.col("n") - n_test - n_val, "val").otherwise("train")
@@ -23,8 +24,9 @@ def open_set_split(rows: DataFrame, actor: str, seed: int = 42) -> DataFrame:
     salt = F.sha2(F.lit(f"open-set:{seed}").cast("binary"), 256)
     actors = rows.select(F.col(actor).cast("string").alias("actor")).distinct()
     key = F.sha2(F.concat(salt, F.col("actor")).cast("binary"), 256)
-    w = Window.orderBy(key, "actor")
-    rows = actors.withColumn("place", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    n = actors.agg(F.count(F.lit(1)).alias("n"))
+    rows = actors.withColumn("hash", key)
+    rows = running(rows, F.conv(F.substring("hash", 1, 8), 16, 10), ["hash", "actor"], {}).withColumnRenamed("__position", "place").crossJoin(F.broadcast(n))
     hold = F.when(F.col("n") >= 2, F.greatest(F.lit(1), F.bround(0.2 * F.col("n")))).otherwise(0)
     split = F.when(F.col("place") <= F.floor(hold / 2), "val").when(F.col("place") <= hold, "test").otherwise("train")
     return rows.select("actor", split.alias("split"))
@@ -33,11 +35,11 @@ def open_set_split(rows: DataFrame, actor: str, seed: int = 42) -> DataFrame:
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """``auc`` of one row: area under the ROC curve, ties averaged; null with one class.
 
-    Counts by distinct score come first, so the ordered window is over scores, not rows.
+    Counts by distinct score come first; ranks are running sums over ranges of scores.
     """
     by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    by = by.withColumn("rank", before + (F.col("n") + 1) / 2)
+    by = running(by, F.col("s"), [], {"upto": F.col("n")})
+    by = by.withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum("n")
     area = (F.sum(F.col("pos") * F.col("rank")) - p * (p + 1) / 2) / F.nullif(p * (n - p), F.lit(0.0))
     return by.agg(F.round(area, 6).alias("auc"))

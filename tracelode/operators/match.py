@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import duration_sim, jaccard, sketch_jaccard
+from .ranges import running
 
-#: Ranges that priorities from 0 to 1 are cut in.
-RANGES = 4096
 FEATURES = ("minhash", "tfidf", "idf_shared", "technique", "provenance", "gap", "shared", "duration")
 
 
@@ -92,29 +91,23 @@ def contributions(values: Column, weights: list[float]) -> Column:
 def budget_round(jobs: DataFrame, budget: int = S.ROUND_BUDGET, priority: str = "estimate", cost: str = "cost", order: str = "seq", group: str | None = None) -> DataFrame:
     """Best jobs first while their running cost fits; the head always goes, the first misfit ends the round.
 
-    ``group`` runs a round per group, in parallel; without it the queue is one ordered list, as a
-    round's budget is one number.
+    ``group`` runs a round per group, in parallel; without it the queue is one ordered list, of which
+    no task sees more than a range of priorities.
     """
-    w = Window.partitionBy(*([group] if group else [])).orderBy(F.col(priority).desc(), order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = jobs.withColumn("position", F.row_number().over(w).cast("long")).withColumn("running", F.sum(cost).over(upto).cast("long"))
+    if group is None:
+        rows = running(jobs, F.col(priority), [order], {"running": F.col(cost)}, descending=True)
+        rows = rows.withColumnRenamed("__position", "position").withColumn("running", F.col("running").cast("long"))
+    else:
+        w = Window.partitionBy(group).orderBy(F.col(priority).desc(), order)
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        rows = jobs.withColumn("position", F.row_number().over(w).cast("long")).withColumn("running", F.sum(cost).over(upto).cast("long"))
     return rows.where((F.col("running") <= budget) | (F.col("position") == 1))
 
 
 def rounds(jobs: DataFrame, budget: int = S.ROUND_BUDGET, priority: str = "estimate", cost: str = "cost", order: str = "seq") -> DataFrame:
-    """Adds ``position`` and ``round``: jobs best first, a round for each budget's worth of running cost.
-
-    The order is by ranges of priority, each sorted in a task of its own, with range totals carried
-    over, so that no task sees the whole queue.
-    """
-    cuts = jobs.select(F.floor(F.col(priority) * RANGES).alias("range"), F.col(cost).alias("c")).groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"))
-    later = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = cuts.select("range", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("n0"), F.coalesce(F.sum("c").over(later), F.lit(0)).alias("c0"))
-    w = Window.partitionBy("range").orderBy(F.col(priority).desc(), order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = jobs.withColumn("range", F.floor(F.col(priority) * RANGES)).join(F.broadcast(cuts), "range")
-    running = F.col("c0") + F.sum(cost).over(upto)
-    rows = rows.withColumn("position", (F.col("n0") + F.row_number().over(w)).cast("long")).withColumn("round", F.floor((running - 1) / budget).cast("long"))
+    """Adds ``position`` and ``round``: jobs best first, a round for each budget's worth of running cost."""
+    rows = running(jobs, F.col(priority), [order], {"__running": F.col(cost)}, descending=True)
+    rows = rows.withColumnRenamed("__position", "position").withColumn("round", F.floor((F.col("__running") - 1) / budget).cast("long"))
     return rows.select(*jobs.columns, "position", "round")
 
 
@@ -181,9 +174,8 @@ def decision_context(coefficients, intercept: float) -> str:
 def best_threshold(scored: DataFrame, score: str = "cos", label: str = "label") -> DataFrame:
     """``threshold, accuracy`` of the cut with the most right answers, the least on ties."""
     by = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    w = Window.orderBy("threshold")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
-    right = F.coalesce(F.sum("neg").over(before), F.lit(0)) + F.sum("pos").over(after)
-    total = F.sum(F.col("pos") + F.col("neg")).over(Window.partitionBy())
-    return by.select("threshold", (right / total).alias("accuracy")).orderBy(F.col("accuracy").desc(), "threshold").limit(1)
+    total = by.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    by = running(by, F.col("threshold"), [], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}).crossJoin(F.broadcast(total))
+    # below the threshold negatives are right, from it on positives
+    right = F.col("neg_upto") - F.col("neg") + F.col("all_pos") - F.col("pos_upto") + F.col("pos")
+    return by.select("threshold", (right / (F.col("all_pos") + F.col("all_neg"))).alias("accuracy")).orderBy(F.col("accuracy").desc(), "threshold").limit(1)

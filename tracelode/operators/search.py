@@ -57,6 +57,11 @@ def trigram_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(trigrams(F.col(text))).alias("tri"))
 
 
+def grams_of(query: str) -> list[str]:
+    """Distinct trigrams of a lower-cased query."""
+    return sorted({query[i : i + 3] for i in range(len(query) - 2)})
+
+
 def trigram_search(docs: DataFrame, postings: DataFrame, query: str, id_col: str, text: str) -> DataFrame:
     """Case-insensitive literal search: ids in all postings of the query's trigrams, then verified.
 
@@ -67,7 +72,7 @@ def trigram_search(docs: DataFrame, postings: DataFrame, query: str, id_col: str
     hit = F.contains(F.lower(F.col(text)), F.lit(q))
     if len(q) < 3:
         return docs.where(hit)
-    grams = sorted({q[i : i + 3] for i in range(len(q) - 2)})
+    grams = grams_of(q)
     ids = postings.where(F.col("tri").isin(*grams)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select(F.col("id").alias(id_col))
     return docs.join(ids, id_col, "left_semi").where(hit)
 

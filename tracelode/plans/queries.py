@@ -131,7 +131,8 @@ def search_substring_mask(spark, sf_dir):
 @_register("SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE contains(lower(text), 'thereis') OR contains(lower(text), 'license')")
 def search_trigram(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents")
-    postings = search.trigram_index(d, "doc_id", "text")
+    grams = search.trigram_index(d, "doc_id", "text")
+    postings = cut(grams.where(F.col("tri").isin(*search.grams_of("thereis"), *search.grams_of("license"))), "postings")  # one pass for both searches
     one = search.trigram_search(d, postings, "Thereis", "doc_id", "text")
     two = search.trigram_search(d, postings, "LICENSE", "doc_id", "text")
     return one.unionByName(two).dropDuplicates(["doc_id"]).select("doc_id", F.length("text").cast("long").alias("n"))
@@ -322,7 +323,9 @@ def _union_sources(spark, sf_dir):
     u = A.uses(spark, sf_dir)
     ind = retrieve.indicator_pairs(u, "trace_id", "indicator", common_floor=30)
     prov = retrieve.interval_pairs(u, "trace_id", "entity", "day", 2)
-    both = lambda d: d.select("a", "b", "shared").union(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    # each pair is made once and turned: a union with the mirror image would make all pairs twice
+    ends = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = lambda d: d.select(ends.alias("e"), "shared").select("e.*", "shared")
     n = u.groupBy(F.col("trace_id").alias("a")).agg(F.countDistinct("indicator").alias("ni"), F.countDistinct("entity").alias("ne"))
     return {
         "indicator": both(ind).join(n, "a").select("a", "b", retrieve.estimate(F.col("shared"), F.col("ni")).alias("estimate")),

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tracelode.__main__ import answer, change, demo_records, render, render_waterfall
+from tracelode.__main__ import answer, change, demo, demo_records, read_body, render, render_waterfall
 from tracelode.api import Engine
 from tracelode.operators.store import Locked
 from tracelode.plans.sqlgate import Refused, json_rows
@@ -196,3 +196,31 @@ def test_idle_sessions_are_sealed_by_the_watermark(spark, tmp_path):
         q.awaitTermination()
     got = {(r.key, r.session, r.events) for r in spark.read.parquet(str(tmp_path / "out")).where("sealed").collect()}
     assert ("a", 0, 2) in got and ("b", 0, 1) in got
+
+
+def test_bodies_name_their_line():
+    assert read_body('[{"a": 1}, {"a": 2}]') == [{"a": 1}, {"a": 2}] and read_body('{"a": 1}') == [{"a": 1}]
+    assert read_body('{"a": 1}\n\n{"a": 2}\n') == [{"a": 1}, {"a": 2}]
+    with pytest.raises(ValueError, match="line 3"):
+        read_body('{"a": 1}\n\n{"a": \n{"a": 4}')
+    with pytest.raises(ValueError, match="line 2"):
+        read_body('{"a": 1}\n7')
+
+
+def test_routes_are_exact(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    assert change(e, "/api/demo", "") == {"accepted": 4} and change(e, "/api/demo/otlp", "") == {"accepted": 3}
+    assert [r["model"] for r in answer(e, "/api/ai/calls", {"service": "shop"})] == ["demo-1"]
+    assert answer(e, "/v1/logs", {"severity": "error"})[0]["raw"] == "[ERROR] the model did not answer"
+    tree = answer(e, "/api/v1/traces/5b8aa5a2d2c872e8321cf37308d69df2", {})
+    assert [(r["action"], r["depth"], r["status"]) for r in tree] == [("GET /order", 0, "ok"), ("chat", 1, "error")]
+    for bad in ("/api/status/x", "/v1/status", "/api/api/status", "/x/status", "/api/spans", "/api/groups/a/b"):
+        with pytest.raises(KeyError):
+            answer(e, bad, {})
+    with pytest.raises(KeyError):
+        change(e, "/api/seal/x", "")
+
+
+def test_demo_tells_what_came_of_it(spark, tmp_path):
+    out = demo(Engine(spark, str(tmp_path / "s")))
+    assert '"verified": true' in out and '"groups": 1' in out and "session:alpha:s1:0" in out

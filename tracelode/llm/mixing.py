@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, discard, materialize
 
 #: Documents that one bucket of a source's key range holds on average, and the most buckets a source gets.
 BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
@@ -67,7 +67,10 @@ def _placed(documents: DataFrame, id_col: str, text_col: str, source_col: str, w
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("words"), budget - epochs * F.col("source_size") - before))
-    return rows.select("source", "id", "size", "copies", "source_size", "target", epochs.alias("epochs"), part.cast("long").alias("part"))
+    rows = rows.select("source", "id", "size", "copies", "source_size", "target", epochs.alias("epochs"), part.cast("long").alias("part"))
+    placed = materialize(rows, "placed_groups")
+    discard(groups, sources)
+    return placed
 
 
 def words_in(text: Column) -> Column:
@@ -99,7 +102,7 @@ def mix(
     alike in source, id and size are interchangeable, one group however many; an empty table gives an
     empty result. Other columns, whatever their names, are not read.
     """
-    groups = materialize(_placed(documents, id_col, text_col, source_col, weights, share, max_epochs, seed), "placed_groups")
+    groups = _placed(documents, id_col, text_col, source_col, weights, share, max_epochs, seed)
     few = groups.where(F.col("copies") <= RUN_ROWS).withColumn("first", F.lit(0).cast("long"))
     # a group of very many rows is written by many tasks
     runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN_ROWS)))
@@ -128,7 +131,7 @@ def apply_mix(
     the cut falls among rows alike in source, id and size, they are numbered by a hash of their text;
     only the rows of that one group a source are sorted for it.
     """
-    groups = materialize(_placed(documents, id_col, text_col, source_col, weights, share, max_epochs, seed), "placed_groups")
+    groups = _placed(documents, id_col, text_col, source_col, weights, share, max_epochs, seed)
     shares = groups.where((F.col("size") > 0) & ((F.col("epochs") > 0) | (F.col("part") > 0)))
     split = (F.col("copies") > 1) & (F.col("part") > 0) & (F.col("part") < F.col("size") * F.col("copies"))
     shares = shares.select(*[F.col(c).alias(f"__mix_{c}") for c in ("source", "id", "size", "copies", "epochs", "part")], split.alias("__mix_split"))

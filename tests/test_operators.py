@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode import schema as S
 from tracelode.functions import text as X
-from tracelode.operators import attrib, evaluate, graph, group, ledger, match, normalize, retrieve, search, traces, views
+from tracelode.operators import attrib, evaluate, graph, group, ledger, match, normalize, ranges, retrieve, search, traces, views
 from tracelode.plans.sqlgate import Refused, query_tables
 from tracelode.sources import otlp, readers
 
@@ -291,3 +291,25 @@ def test_search_filters_are_checked(spark):
     for bad in ("java_method('java.lang.System', 'getProperty', 'user.dir') IS NOT NULL", "`reflect`('a', 'b') = 'c'", "n IN (SELECT 1)", "EXISTS (SELECT 1)", "n = 1; DROP TABLE x"):
         with pytest.raises(Refused):
             search.search(docs, "x", bad).collect()
+
+
+def test_running_sums_over_ranges(spark, monkeypatch):
+    """Positions and sums equal those of one ordered window: ties, nulls, few and many distinct keys."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice((None, float(rng.randrange(5)), rng.random() * 100)), rng.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, k double, v int")
+    for descending in (False, True):
+        want = sorted(rows, key=lambda r: (r[1] is None, (-r[1] if descending else r[1]) if r[1] is not None else 0, r[0]))
+        got = {r["id"]: (r["__position"], r["s"]) for r in ranges.running(df, F.col("k"), ["id"], {"s": F.col("v")}, descending).collect()}
+        total = 0
+        for place, (i, _, v) in enumerate(want, 1):
+            total += v
+            assert got[i] == (place, total)
+    assert ranges.running(df.limit(0), F.col("k"), ["id"], {}).count() == 0
+
+
+def test_provenance_fixture(spark):
+    edges, truth = readers.provenance_fixture(spark)
+    again, _ = readers.provenance_fixture(spark)
+    assert edges.collect() == again.collect() and truth.select("incident").distinct().count() == 4
+    assert readers.incident_events(edges, truth).where("action = 'inject'").count() == 4

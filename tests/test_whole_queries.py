@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 from compare import duck, rows
 
@@ -12,6 +13,14 @@ from tracelode.functions import text as X
 from tracelode.plans.catalog import QUERIES, SQL
 
 
+def duck_folder(path, *tables):
+    """DuckDB over tables that Spark has written."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    return con
+
+
 def test_sclc_normalizes_every_page(spark, sf):
     got = rows(QUERIES["sclc_normalize"](spark, sf).toPandas())
     want = rows(duck(sf).execute(SQL["sclc_normalize"]).df())
@@ -45,3 +54,12 @@ def test_every_document_is_sketched(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = QUERIES["minhash_signature"](spark, sf)
     assert got.count() == docs.where(F.lower("text").rlike("[a-z0-9_]")).count() > 0
+
+
+def test_estimates_round_halves_as_sql(spark, tmp_path):
+    """Pairs 141 ids apart have a gap whose half lies between two decimals: 2.72265, as a double a little less."""
+    items = [(i, f"word{i} word{i % 7} more") for i in (2, 12, 17, 143, 153, 158)]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got, want = rows(QUERIES["pair_estimates"](spark, str(tmp_path)).toPandas()), rows(duck_folder(tmp_path, "benchmark").execute(SQL["pair_estimates"]).df())
+    assert any("-2.7226" in str(r) for r in got[1])
+    assert got == want

@@ -381,7 +381,7 @@ def pair_estimates(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     parts = match.contributions(F.array("minhash", "gap"), [2.0, -0.5])
     vector, count = match.demo_evidence(c("minhash"), c("shared"), c("technique"), c("gap"), c("idf_shared"))
-    return v.select("a", "b", F.round(match.estimate_similarity(c("minhash"), c("tfidf"), c("technique"), c("idf_shared")) + 1e-9, 6).alias("estimate"), F.array_join(F.transform(parts, lambda x: F.round(x, 4).cast("decimal(9,4)").cast("string")), ",").alias("parts"),
+    return v.select("a", "b", F.round(match.estimate_similarity(c("minhash"), c("tfidf"), c("technique"), c("idf_shared")) + 1e-9, 6).alias("estimate"), F.array_join(F.transform(parts, lambda x: X.round_binary(x, 4).cast("decimal(9,4)").cast("string")), ",").alias("parts"),
                     count.cast("long").alias("n_classes"), F.round(vector[4], 6).alias("recency"), match.degraded(match.pair_cost(c("a") * 9, c("b") * 9), 30_000).alias("degraded"))
 
 

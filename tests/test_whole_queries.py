@@ -9,6 +9,7 @@ from compare import duck, rows
 
 from pyspark.sql import functions as F
 
+from tracelode import schema as S
 from tracelode.functions import text as X
 from tracelode.plans.catalog import QUERIES, SQL
 
@@ -63,3 +64,12 @@ def test_estimates_round_halves_as_sql(spark, tmp_path):
     got, want = rows(QUERIES["pair_estimates"](spark, str(tmp_path)).toPandas()), rows(duck_folder(tmp_path, "benchmark").execute(SQL["pair_estimates"]).df())
     assert any("-2.7226" in str(r) for r in got[1])
     assert got == want
+
+
+def test_search_gives_every_hit(spark, tmp_path):
+    n = S.RESULT_CAP + 50
+    hit = F.struct(F.col("id").alias("event_id"), (F.col("id") % 9).alias("user_id"), F.lit("login").alias("event_type"), F.timestamp_micros(F.col("id")).alias("ts"), F.lit(21.5).alias("value"), F.lit('{"k": 7}').alias("props"))
+    spark.range(n).select(hit.alias("x")).select("x.*").write.parquet(str(tmp_path / "events.parquet"))
+    got, want = rows(QUERIES["search_substring_mask"](spark, str(tmp_path)).toPandas()), rows(duck_folder(tmp_path, "events").execute(SQL["search_substring_mask"]).df())
+    assert len(got[1]) == n
+    assert got == want

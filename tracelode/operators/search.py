@@ -26,15 +26,15 @@ def split_query(query: str) -> list[str]:
     return sorted({p for p in re.split(r"[^\w]+", query) if p}, key=lambda p: (-len(p), p))
 
 
-def _checked(query: str, limit: int) -> None:
+def _checked(query: str, limit: int | None) -> None:
     if not query or not split_query(query) and not query.strip():
         raise ValueError("empty query")
-    if not 1 <= limit <= S.RESULT_CAP:
+    if limit is not None and not 1 <= limit <= S.RESULT_CAP:
         raise ValueError(f"limit must be 1 to {S.RESULT_CAP}")
 
 
-def search(events: DataFrame, query: str, where: str | Column | None = None, mask: int | None = None, limit: int = 1000, text: str = "raw", order: str = "event_hash") -> DataFrame:
-    """Events whose text holds the literal query, a filter and a tag mask; the first by ``order``.
+def search(events: DataFrame, query: str, where: str | Column | None = None, mask: int | None = None, limit: int | None = 1000, text: str = "raw", order: str = "event_hash") -> DataFrame:
+    """Events whose text holds the literal query, a filter and a tag mask; the first by ``order``, or all without a limit.
 
     The filter and the mask reach the scan; a ``ts`` column of text is compared as a time.
     """
@@ -49,7 +49,7 @@ def search(events: DataFrame, query: str, where: str | Column | None = None, mas
         rows = rows.where(F.expr(check_filter(events.sparkSession, where)) if isinstance(where, str) else where)
         if "__ts_text" in rows.columns:
             rows = rows.withColumn("ts", F.col("__ts_text")).select(*given.columns)
-    return rows.orderBy(order).limit(limit)
+    return rows if limit is None else rows.orderBy(order).limit(limit)
 
 
 def trigram_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:

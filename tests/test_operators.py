@@ -262,6 +262,40 @@ def test_fold_refuses_what_one_task_cannot_hold(spark, monkeypatch):
         group.fold_groups(links).collect()
 
 
+def test_known_minhash_is_minhash(spark, monkeypatch):
+    monkeypatch.setattr(X, "KEPT_WORDS", 3)
+    monkeypatch.setattr(X, "GATHERED_WORDS", 4)
+    sets = [["a", "b"], [], None, ["é", "b", "c", "d", "e", "f"], ["f"], ["a", "b"], []]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id long, ws array<string>").coalesce(1)
+    for slots in (128, 9):
+        got = df.select("id", X.minhash(F.col("ws"), slots).alias("x"), X.known_minhash(F.col("ws"), slots).alias("y")).collect()
+        assert [r.x for r in got] == [r.y for r in got]
+        assert [r.x is None for r in got] == [not s for s in sets]
+
+
+def test_similar_pairs_are_all_banded_pairs(spark):
+    rng = random.Random(5)
+    base = [rng.choices(range(3), k=16) for _ in range(3)]
+    sets = [[rng.randrange(3) if rng.random() < 0.3 else v for v in rng.choice(base)] for _ in range(150)] + base * 9 + [[v + 256 for v in base[0]]]
+    df = spark.createDataFrame([(i * 7 % 1000, [f"{v:016x}" for v in s]) for i, s in enumerate(sets)], "id long, sketch array<string>")
+    of = {r.id: r.sketch for r in df.collect()}
+    pairs = [(r.a, r.b) for r in retrieve.banded_pairs(df, "id", 4, 4).select("a", "b").collect()]
+    want = {(a, b, m) for a, b in pairs if (m := sum(x == y for x, y in zip(of[a], of[b])) / 16) >= 0.5}
+    got = [tuple(r) for r in retrieve.similar_pairs(df, "id", 4, 4, 0.5).select("a", "b", "minhash").collect()]
+    assert len(got) == len(want) > 500
+    assert set(got) == want
+
+
+def test_similar_pairs_join_no_sketches_to_candidates(spark):
+    """Candidates that differ in most slots stop in their bucket: what leaves it is close to the result."""
+    sets = [[f"{7:016x}"] * 2 + [f"{(i * 131 + j * 17) % 9973:016x}" for j in range(14)] for i in range(200)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id long, sketch array<string>")
+    assert retrieve.banded_pairs(df, "id", 8, 2).count() == 200 * 199 // 2
+    keys = [(b"k", i, bytes(int(x[14:], 16) for x in s)) for i, s in enumerate(sets)]
+    likely = spark.createDataFrame(keys, "key binary, id long, mark binary").coalesce(1).mapInArrow(retrieve._likely(8), "x long, y long")
+    assert likely.count() < 200
+
+
 def test_sketches_of_empty_sets(spark):
     df = spark.createDataFrame([(["x"], []), ([], []), (["x"], ["x"])], "a array<string>, b array<string>")
     got = [r[0] for r in df.select(X.sketch_jaccard(X.minhash(F.col("a")), X.minhash(F.col("b")))).collect()]

@@ -246,13 +246,14 @@ _BAND = f"k AS (SELECT id, s // {_ROWS} AS band, string_agg(m, ':' ORDER BY s) A
 
 
 def _words(spark, sf_dir, table: str, id_col: str) -> DataFrame:
-    return A.table(spark, sf_dir, table).select(F.col(id_col).alias("id"), F.array_distinct(X.tokenize(F.col("text"))).alias("ws"))
+    # few bytes are much work: texts are dealt to a set number of tasks, however few files hold them
+    texts = A.table(spark, sf_dir, table).select(F.col(id_col).alias("id"), "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return texts.select("id", F.array_distinct(X.tokenize(F.col("text"))).alias("ws"))
 
 
 def _sketches(spark, sf_dir, table: str = "documents", id_col: str = "doc_id") -> DataFrame:
-    # few bytes are much work: rows are dealt to a set number of tasks, however few files hold them
-    words = _words(spark, sf_dir, table, id_col).where(F.size("ws") > 0).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-    return words.select("id", "ws", X.minhash(F.col("ws"), _SLOTS).alias("sketch"))
+    words = _words(spark, sf_dir, table, id_col).where(F.size("ws") > 0)
+    return words.select("id", "ws", X.known_minhash(F.col("ws"), _SLOTS).alias("sketch"))
 
 
 @_register(f"WITH {_SK} SELECT id, md5(array_to_string(list(m ORDER BY s), ',')) AS sketch FROM h GROUP BY id")
@@ -265,9 +266,7 @@ def minhash_signature(spark, sf_dir):
 SELECT a, b, (count(*) FILTER (WHERE x.m = y.m)) / {_SLOTS}.0::DOUBLE AS minhash FROM c JOIN h x ON x.id = a JOIN h y ON y.id = b AND y.s = x.s GROUP BY 1, 2 HAVING count(*) FILTER (WHERE x.m = y.m) >= {_SLOTS // 2}""")
 def minhash_jaccard_pairs(spark, sf_dir):
     """Pairs that share a band and at least half of their slots."""
-    s = cut(_sketches(spark, sf_dir).select("id", "sketch"), "sketches")
-    pairs = retrieve.banded_pairs(s, "id", _BANDS, _ROWS).select("a", "b").join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
-    return pairs.select("a", "b", X.sketch_jaccard(F.col("sa"), F.col("sb")).alias("minhash")).where("minhash >= 0.5")
+    return retrieve.similar_pairs(_sketches(spark, sf_dir).select("id", "sketch"), "id", _BANDS, _ROWS, 0.5)
 
 
 @_register(f"""WITH {_SK}, {_BAND} SELECT x.id AS a, y.id AS b, count(*)::BIGINT AS matched FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id < y.id GROUP BY 1, 2""")

@@ -159,6 +159,21 @@ def test_license_scan(spark):
     assert ls.scan_licenses(empty(df)).count() == 0
 
 
+def test_long_notices_are_held_against_templates(spark, monkeypatch):
+    """Notices of any length count, by line and by paragraph; what other words outweigh does not."""
+    monkeypatch.setattr(ls, "HEADER_CHARS", 10**9)  # what the brute force leaves out: nothing
+    notice = "Released under the MIT License"
+    words = " ".join(f"word{i}" for i in range(900))
+    texts = [" ".join([notice] * 100), "\n".join(["Licensed under CC BY 4.0"] * 120), f"{notice} {words}", notice + " " * 3000 + "today", (f"{notice}. " * 90) + words[:60], ("the work is licensed under the terms of the public license " * 50) + words]
+    want = [brute_license(t) for t in texts]
+    monkeypatch.setattr(ls, "HEADER_CHARS", 200)
+    df = spark.createDataFrame([(i, t, f"a/{i}") for i, t in enumerate(texts)], "doc_id long, text string, path string")
+    got = {r.doc_id: r for r in ls.scan_licenses(df).collect()}
+    assert [got[i].header_license for i in range(len(texts))] == [name for _, name in want]
+    assert [got[i].score for i in range(len(texts))] == pytest.approx([score for score, _ in want])
+    assert [got[i].header_license for i in (0, 1, 2, 3)] == ["MIT", "CC-BY-4.0", None, "MIT"]
+
+
 def test_license_does_not_depend_on_the_id(spark):
     text_ = "Released under the MIT License"
     df = spark.createDataFrame([(1, text_, "a/x"), (None, text_, "a/y"), (1, "prose", "b/z"), (None, None, "c/q")], "doc_id long, text string, path string")

@@ -56,7 +56,7 @@ SPDX = tuple(dict.fromkeys((name, family, name) for name, family, _ in (*HEADERS
 TEMPLATES = (*(("header", *t) for t in HEADERS), *(("file", *t) for t in FILES), *(("spdx", *t) for t in SPDX))
 #: Least cosine of a part of a text to a template.
 THRESHOLD = 0.7
-#: Characters that a notice has at most.
+#: Characters of a short notice: whether a longer part may state a license is asked of all its terms, too.
 HEADER_CHARS = 2000
 #: Words that prose of all kinds is full of: the gate goes without them where it can.
 COMMON = frozenset("a all and any are by for form free from in is it of on or that the this to under with work".split())
@@ -135,25 +135,39 @@ def may_reach(shared: Column, templates: Sequence[tuple[str, str, str, str]], th
     return out
 
 
+def may_outweigh(terms: Column, shared: Column, idf: Column, templates: Sequence[tuple[str, str, str, str]], threshold: float) -> Column:
+    """Whether a part's terms of header templates, with their counts, are long enough beside its other terms: these lengthen its vector only.
+
+    The cosine to any template is at most the length of the part on templates' terms (``shared``, by
+    ``idf``) over its whole length; each other distinct term adds the square of the rarest idf or more.
+    """
+    count = lambda w: F.size(F.filter(terms, lambda x: x == w)).cast("double")
+    known = F.aggregate(F.transform(shared, lambda w: F.pow((1 + F.log(count(w))) * F.element_at(idf, w), F.lit(2.0))), F.lit(0.0), lambda a, x: a + x)
+    others = (F.size(F.array_distinct(terms)) - F.size(shared)) * F.lit(rarest_idf("header", templates) ** 2)
+    return known * F.lit(1 - threshold * threshold) + F.lit(1e-6) >= others * F.lit(threshold * threshold)
+
+
 def license_parts(text: Column, named: Column, templates: Sequence[tuple[str, str, str, str]], threshold: float) -> Column:
     """Parts of a text that may state a license, as an array of (kind, level, part), null where there are none.
 
-    Header parts are the text's lines (level 0) and paragraphs (1) of at most ``HEADER_CHARS``
-    characters: a header is a short notice, and in longer prose the rest outweighs it. Of a license
-    file the whole text is a part (2) to be held against whole files; what follows an SPDX tag in its
+    Header parts are the text's lines (level 0) and paragraphs (1) of any length; in longer prose the
+    rest outweighs a notice, which is told from all their terms. Of a license file the whole text is a part (2) to be held against whole files; what follows an SPDX tag in its
     line is one (3).
     """
     gate = header_gate(templates, threshold)
     vocabulary = F.array(*[F.lit(w) for w in sorted({w for kind, _, _, v, _ in weigh(templates) if kind == "header" for w in v})])
+    idf = F.create_map(*[F.lit(x) for pair in next((idf for kind, _, _, _, idf in weigh(templates) if kind == "header"), {"": 0.0}).items() for x in pair])
     of = lambda kind, level, parts: F.transform(parts, lambda p: F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"), p.alias("part")))
     nothing = of("header", 0, F.array().cast("array<string>"))
 
     def headers(level: int, pattern: str) -> Column:
-        short = F.filter(F.array_distinct(F.split(F.lower(text), pattern)), lambda p: F.length(p) <= HEADER_CHARS)
-        marked = F.transform(short, lambda p: F.struct(p.alias("part"), F.regexp_extract_all(p, F.lit(gate), F.lit(0)).alias("found")))
+        marked = F.transform(F.array_distinct(F.split(F.lower(text), pattern)), lambda p: F.struct(p.alias("part"), F.regexp_extract_all(p, F.lit(gate), F.lit(0)).alias("found")))
         some = F.transform(F.filter(marked, lambda x: may_be_header(x["found"], templates, threshold)), lambda x: x["part"])
-        shared = F.transform(some, lambda p: F.struct(p.alias("part"), F.array_intersect(terms_of(p), vocabulary).alias("terms")))
-        return of("header", level, F.transform(F.filter(shared, lambda x: may_reach(x["terms"], templates, threshold)), lambda x: x["part"]))
+        held = F.transform(some, lambda p: F.struct(p.alias("part"), terms_of(p).alias("all")))
+        shared = F.transform(held, lambda x: F.struct(x["part"], x["all"], F.array_intersect(x["all"], vocabulary).alias("terms")))
+        near = F.filter(shared, lambda x: may_reach(x["terms"], templates, threshold))
+        near = F.filter(near, lambda x: (F.length(x["part"]) <= HEADER_CHARS) | may_outweigh(x["all"], x["terms"], idf, templates, threshold))
+        return of("header", level, F.transform(near, lambda x: x["part"]))
 
     notices = F.when(text.rlike(gate), F.concat(headers(0, "\n"), headers(1, r"\n[ \t\r]*\n")))
     whole = F.when(named & text.isNotNull(), of("file", 2, F.array(text)))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from helpers import text
 
 from tracelode.llm import lm_scoring as lm
@@ -162,3 +163,36 @@ def test_skipped_words_are_outside_on_the_best_path():
         for b in back[::-1]:
             want.append(int(b[want[-1]]))
         assert crf.tags(words)[2:-2].tolist() == want[::-1]
+
+
+def test_a_step_takes_the_gradient_of_all_its_runs(monkeypatch):
+    """Gradients of a few runs at a time add up to those of all at once."""
+    rng = np.random.default_rng(4)
+    before, first, target, live = rng.integers(0, lm.SIZE, (70, lm.STRIDE)).astype(np.int16), rng.random(70) < 0.2, rng.integers(0, lm.CLASSES, (70, lm.STRIDE)), rng.random((70, lm.STRIDE)) < 0.7
+    got = []
+    for together in (1, 1000):
+        monkeypatch.setattr(lm, "TOGETHER", together)
+        monkeypatch.setattr(lm, "RUN", 8)
+        net, steps = lm.Network(np.full((lm.SIZE, lm.CLASSES), 1 / lm.CLASSES)), []
+        monkeypatch.setattr(net, "_adam", lambda m, grads, step, rate, steps=steps: steps.append(grads))
+        net.read(before, first, target, live, net.moments(*lm.COUNTED), 0)
+        got.append(steps)
+    for x, y in zip(*got, strict=True):
+        assert x.keys() == y.keys() and all(np.allclose(x[k], y[k], atol=1e-5) for k in x)
+
+
+def test_the_model_is_trained_on_every_text_only(spark, monkeypatch):
+    """Each pass reads all texts, of however many; none is picked to start with, and small corpora are read again."""
+    read = []
+    monkeypatch.setattr(lm, "read_all", lambda rows, *rest: read.append(rows.count()))
+    monkeypatch.setattr(lm.Network, "train", lambda *a, **k: pytest.fail("trained on some texts"))
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, text(rng, 30)) for i in range(1300)], "id long, text string")
+    counts = lm.word_counts(df, "text")
+    lm.train_model(df, counts, "id", "text", None)
+    assert read == [1300] * lm.PASSES
+    read.clear()
+    monkeypatch.setattr(lm, "STEPS", 1)
+    monkeypatch.setattr(lm, "RUN", 1)
+    lm.train_model(df, counts, "id", "text", None)
+    assert read == [1300]

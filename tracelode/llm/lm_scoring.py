@@ -3,8 +3,8 @@
 The next subword is predicted in steps: its class, by attention over the context and a table by the
 subword before; then the subword within the class, by corpus-wide pair counts. Classes are frequent
 subwords of their own and groups of rarer ones. All counts, and with them the table, come from the
-whole training text; the attention weights start from a sample (``SAMPLE_DOCS``) and are then tuned
-by gradient on every training text, task by task, and averaged.
+whole training text; the attention weights come from it too, by gradient on every training text,
+task by task, and averaged.
 """
 
 from __future__ import annotations
@@ -29,9 +29,12 @@ CLASSES = LEAVES + GROUPS
 WIDTH, STRIDE = 16, 16
 #: Subword ids of the tokenizer, and the id that ends a text.
 IDS, END_ID = 49408, 49407
-SAMPLE_DOCS, SAMPLE_TOKENS, STEPS = 1200, 800_000, 700
-#: The pass over all texts: runs of blocks a step, blocks a run, step size, subwords gathered for some steps, and parts that the weights are summed in.
-RUNS, RUN, RATE, GATHER, PARTS = 64, 8, 0.003, 1 << 15, 16
+#: Small corpora are read whole again until there were so many steps in all, in no more than so many passes.
+STEPS, PASSES = 700, 8
+#: A pass over all texts: runs of blocks a step, blocks a run, step size, subwords gathered for some steps, and parts that the weights are summed in.
+RUNS, RUN, RATE, GATHER, PARTS = 16, 32, 0.003, 1 << 15, 16
+#: Runs whose gradients are taken at once; the step size falls from the early one to ``RATE`` in so many steps.
+TOGETHER, EARLY_RATE, EARLY = 2, 0.01, 150
 #: Weights that the pass leaves as they are: the table holds counts of all texts.
 COUNTED = ("table",)
 #: Words whose counts every worker holds (16 bytes each), and words a worker numbers before it starts over.
@@ -183,7 +186,7 @@ class Network:
             grads = self._gradients(before[rows], begin, target[rows].ravel(), use.ravel())
             self._adam(m, grads, step, 0.01 * min(1.0, 2 * (1 - step / (steps + 1))))
 
-    def read(self, before: np.ndarray, first: np.ndarray, target: np.ndarray, live: np.ndarray, m: dict, step: int, seed: int = 9) -> int:
+    def read(self, before: np.ndarray, first: np.ndarray, target: np.ndarray, live: np.ndarray, m: dict, step: int, seed: int = 9, early: bool = False) -> int:
         """Adam on the weights named in ``m`` over every block once, in runs of ``RUN`` blocks that the block before rides along with; the number of steps so far."""
         n = len(before)
         for starts in np.array_split(order := np.random.default_rng((seed, step)).permutation(np.arange(0, n, RUN)), -(-len(order) // RUNS)):
@@ -192,9 +195,13 @@ class Network:
             begin, use = first[rows], live[rows] & (at < n)[:, :, None]
             begin[:, 0] = True
             use[:, 0] = False
-            rows = rows.ravel()
-            step += 1
-            self._adam(m, self._gradients(before[rows], begin.ravel(), target[rows].ravel(), use.ravel(), "table" in m), step, RATE)
+            step, grads, total = step + 1, {}, max(1, use.sum())
+            for lo in range(0, len(rows), TOGETHER):  # gradients of a few runs at a time stay in the cache
+                few = rows[lo : lo + TOGETHER].ravel()
+                live_few = use[lo : lo + TOGETHER].ravel()
+                part, share = self._gradients(before[few], begin[lo : lo + TOGETHER].ravel(), target[few].ravel(), live_few, "table" in m), np.float32(live_few.sum() / total)
+                grads = {k: share * g + (grads[k] if grads else 0) for k, g in part.items()}
+            self._adam(m, grads, step, max(RATE, EARLY_RATE * (1 - step / EARLY)) if early else RATE)
         return step
 
     def moments(self, *without: str) -> dict:
@@ -387,10 +394,10 @@ def _subword_counts(counts: DataFrame, tokenizer: str | None) -> DataFrame:
 
 
 def train_model(documents: DataFrame, counts: DataFrame, id_col: str, text_col: str, tokenizer: str | None) -> Scorer:
-    """Vocabulary and tables from counts of all training words; the network from a sample, then from all texts.
+    """Vocabulary and tables from counts of all training words; the network from all training texts.
 
     To the driver come one row per subword id, one per pair of numbered subwords (about a million at
-    most), the sample, and the network's weights.
+    most), and the network's weights.
     """
     spark = documents.sparkSession
     pairs = materialize(_subword_counts(counts, tokenizer), "subwords")
@@ -409,21 +416,10 @@ def train_model(documents: DataFrame, counts: DataFrame, id_col: str, text_col:
     table += 0.5 * np.maximum(0, np.bincount(number, unigrams, SIZE) - table.sum(axis=1))[:, None] * begins
     vocabulary, shares = build_vocabulary(unigrams, table)
     scorer = Scorer(vocabulary, Network(shares))
-    first = documents.orderBy(F.xxhash64(id_col), id_col).select(id_col).where(F.col(id_col).isNotNull()).limit(SAMPLE_DOCS).distinct()
-    sample = documents.select(id_col, text_col).join(F.broadcast(first), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))
-    texts = sample.select(text_col).toPandas()[text_col] if len(documents.take(1)) else []
-    tokens = WordTokens(tokenizer)
-    end = END_ID.to_bytes(4, "little")
-    ids, total = [], 0
-    for text in sorted(t or "" for t in texts):
-        ids.append(np.frombuffer(b"".join(tokens[w.decode("utf-8", "replace")] for w in text.encode().lower().split()) + end, "<u4"))
-        total += len(ids[-1])
-    ids = [ids[i] for i in np.random.default_rng(8).permutation(len(ids))]
-    ids = [x[:most] for most in [even_share([len(x) for x in ids], SAMPLE_TOKENS)] for x in ids]
-    if ids:
-        scorer.network.train(*scorer.lessons(ids))
     discard(pairs)
-    read_all(documents, text_col, scorer, tokenizer)
+    passes = int(np.clip(np.ceil(STEPS * RUNS * RUN * STRIDE / max(1.0, unigrams.sum())), 1, PASSES))
+    for at in range(passes):
+        read_all(documents, text_col, scorer, tokenizer, at == 0)
     return scorer
 
 
@@ -437,7 +433,7 @@ def even_share(lengths: list[int], total: int) -> int:
     return max(left, default=1)
 
 
-def read_all(training: DataFrame, text_col: str, scorer: Scorer, tokenizer: str | None) -> None:
+def read_all(training: DataFrame, text_col: str, scorer: Scorer, tokenizer: str | None, early: bool = False) -> None:
     """One pass of every training text, whole, through the network, which tunes all weights but ``COUNTED``.
 
     Tasks start from the same weights; where they end is averaged, weighted by the subwords read,
@@ -466,10 +462,10 @@ def read_all(training: DataFrame, text_col: str, scorer: Scorer, tokenizer: str
                     ids.append(np.frombuffer(b"".join(map(known.__getitem__, words)) + end, "<u4"))
                     held += len(ids[-1])
                     if held >= GATHER:
-                        step, seen = network.read(*model.lessons(ids), m, step), seen + held
+                        step, seen = network.read(*model.lessons(ids), m, step, early=early), seen + held
                         ids, held = [], 0
         if held:
-            step, seen = network.read(*model.lessons(ids), m, step), seen + held
+            step, seen = network.read(*model.lessons(ids), m, step, early=early), seen + held
         if seen:
             sums = np.concatenate([network.p[k].ravel() for k in names]).astype(np.float64) * seen
             parts = [x.tobytes() for x in np.array_split(sums, PARTS)]

@@ -324,6 +324,27 @@ def test_nearest_of_all_blocks(spark, monkeypatch, text):
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
 
 
+def test_a_fold_does_not_look_through_whole_groups():
+    """A chain is one group with every trace in it; a link looks at its ends' links only."""
+    looks = 0
+
+    class Members(dict):
+        def __iter__(self):
+            nonlocal looks
+            looks += len(self)
+            return super().__iter__()
+
+    n = 400
+    members, of, probs = {"g": Members()}, {}, {}
+    for i in range(n):
+        probs[i] = {j: 0.9 - 0.001 * (i % 7) for j in (i - 1, i + 1) if 0 <= j < n}
+        of[i], members["g"][i] = {"g"}, (0.9, "supported")
+    for i in range(n):
+        group._assign(i, members, of, probs)
+    assert looks <= 2 * n
+    assert all(members["g"][i] == (sum(sorted(probs[i].values(), reverse=True)) / len(probs[i]), "supported") for i in range(n))
+
+
 def test_sketches_of_empty_sets(spark):
     df = spark.createDataFrame([(["x"], []), ([], []), (["x"], ["x"])], "a array<string>, b array<string>")
     got = [r[0] for r in df.select(X.sketch_jaccard(X.minhash(F.col("a")), X.minhash(F.col("b")))).collect()]

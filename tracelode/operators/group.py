@@ -84,7 +84,9 @@ def _fold(links: pd.DataFrame) -> pd.DataFrame:
 def _assign(x, members, of, probs) -> None:
     scored = []
     for g in {g for y in probs[x] for g in of[y]} | of[x]:
-        ps = sorted((probs[x][y] for y in members[g] if y != x and y in probs[x]), reverse=True)[:3]
+        near, held = probs[x], members[g]  # the fewer are looked up in the others: a group may be as large as its component
+        both = (y for y in held if y in near) if len(held) < len(near) else (y for y in near if y in held)
+        ps = sorted((near[y] for y in both if y != x), reverse=True)[:3]
         scored.append((-(sum(ps) / len(ps) if ps else 0.0), g))
     for negative, g in sorted(scored):
         strength = -negative

@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from helpers import WORDS, awkward, empty, text
+from pyspark.sql import functions as F
 
 from tracelode.llm import embedding_dedup as ed
 from tracelode.llm import near_dedup as nd
@@ -189,3 +190,29 @@ def test_tile_rows_stay_below_members(spark, monkeypatch):
     assert len(forest) < len(at)
     # the forest joins what all pairs join
     assert (nd.smallest_roots(len(at), x, y) == nd.smallest_roots(len(at), x[forest], y[forest])).all()
+
+
+def test_a_large_bucket_is_not_copied(spark):
+    """5,000 members of one key, with long texts: signatures are dealt out by their own bytes, one row each."""
+    members = spark.range(5000).select(F.lit(1).alias("key"), F.col("id").alias("node"), F.lit(100_000).alias("bytes"), F.col("id").alias("comp"), F.lit(bytes(128)).alias("sig"))
+    assert nd._tiles(members, "128").count() == 5000
+
+
+def test_parts_of_a_tile_give_the_whole_forest(spark, monkeypatch):
+    """Held a few pairs at a time, a tile's forest and the links left are those of all pairs."""
+    rng = random.Random(5)
+    base = text(rng, 200).split()
+    sig = [nd.signature(nd.shingle_set(mutated(rng, base, 3).encode())) for _ in range(300)]
+    key = nd.index_keys(np.stack(sig))
+    best, count = np.unique(key[:, 0], return_counts=True)
+    k = int(best[count.argmax()])
+    at = np.flatnonzero((key == k).any(axis=1)).tolist()
+    zeros = [0] * len(at)
+    held = [[k] * len(at), zeros, zeros, at, at, zeros, [sig[i].tobytes() for i in at]]
+    comp, x, y = nd._candidates(held)
+    forest = np.sort(nd._forest(comp, x, y))
+    monkeypatch.setattr(nd, "HELD_PAIRS", 20)
+    assert len(list(nd._pairs_of(held)[1])) > 1
+    got = nd._tile_forest(held)
+    assert [g.tolist() for g in got] == [x[forest].tolist(), y[forest].tolist()]
+    check(spark, [(i, mutated(rng, base, 2 + i % 9)) for i in range(50)])

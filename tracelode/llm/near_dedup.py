@@ -23,10 +23,13 @@ from .graph import connected_components, smallest_roots
 
 SHINGLE_WORDS = 5
 POSITIONS, MOST_ERRORS = 64, 27
-#: Members that one task compares with each other; larger buckets are dealt out in pairs of blocks.
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Bytes of signatures, or of texts, of a block, and members: larger buckets are dealt out in pairs of blocks.
+BLOCK_BYTES = 8 << 20
+BLOCK = BLOCK_BYTES // (2 * POSITIONS)
 #: Members of small tiles that are looked at together, and rows whose errors to the others are counted at a time.
 GROUP, STRIPE = 512, 128
+#: Pairs of a tile that are held at a time.
+HELD_PAIRS = 1 << 20
 #: Rounds in which the likeliest pairs are tried before all that is left is compared.
 ROUNDS = 2
 _CHUNKS = np.array_split(np.arange(POSITIONS), (MOST_ERRORS + 1) // 2)
@@ -267,12 +270,15 @@ def _confirmed(pairs: DataFrame, texts, percent: int) -> DataFrame:
     return met.repartition("a", "deal").sortWithinPartitions("a", "deal", "side", "node").mapInArrow(run, "a long, b long")
 
 
-def _tiles(members: DataFrame) -> DataFrame:
-    """Members of a key in pairs of blocks ``i, j``: a block holds about ``BLOCK`` members and ``BLOCK_BYTES`` of text."""
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+def _tiles(members: DataFrame, held: str) -> DataFrame:
+    """Members of a key in pairs of blocks ``i, j``: a block has about ``BLOCK`` members and ``BLOCK_BYTES``, where ``held`` says how many bytes a member takes.
+
+    A task keeps no more than a part of a tile's pairs, so only bytes limit a tile, and a bucket that fits in one is not copied.
+    """
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.expr(held)) / BLOCK_BYTES)).cast("int")
     rows = members.join(members.groupBy("key").agg(blocks.alias("blocks")), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("bytes", "blocks", "other")
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
 
 
 def _by_tile(rows: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
@@ -305,7 +311,19 @@ def _by_tile(rows: DataFrame, columns: list[str], work, schema: str) -> DataFram
 
 
 def _candidates(held: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Component of each member by number, and the rows ``x, y`` of the tiles' pairs, those of fewest errors first.
+    """Component of each member by number, and the rows ``x, y`` of all of the tiles' pairs, those of fewest errors first."""
+    comp, parts = _pairs_of(held)
+    none = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return comp, *_by_errors(*(np.concatenate(p) for p in zip(none, *parts, strict=True)))[1:]
+
+
+def _by_errors(errors: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    by = np.lexsort((y, x, errors))
+    return errors[by], x[by], y[by]
+
+
+def _pairs_of(held: list[list]):
+    """Component of each member by number, and the tiles' pairs as ``errors, x, y``, by about ``HELD_PAIRS``; a pair's rows go by node.
 
     ``held``: key, i, j, node, comp, block, sig of whole tiles. A pair is of one tile, within the
     allowed errors, in two components, of two blocks unless the tile is one, and belongs to the tile:
@@ -321,34 +339,41 @@ def _candidates(held: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((node, comp, size[comp]))
     ends = np.flatnonzero(np.diff(comp[order], append=-1)) + 1
     columns = np.ascontiguousarray(sig[order].T)
-    found = [(np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32))]
-    for at in range(0, len(node), STRIPE):
-        lo = int(ends[np.searchsorted(ends, at, "right")])  # the first row's component ends there
-        a, b = order[at : at + STRIPE], order[lo:]
-        if not len(b):
-            break
-        ok = (part[a, None] == part[None, b]) & (comp[a, None] != comp[None, b])
-        ok &= np.arange(at, at + len(a))[:, None] < np.arange(lo, len(node))[None, :]
-        ok &= (i[a] == j[a])[:, None] | (block[a, None] != block[None, b])
-        if not ok.any():
-            continue
-        if 8 * ok.sum() >= ok.size:
-            errors = np.zeros(ok.shape, np.uint8)
-            for line in columns:
-                errors += (line[at : at + STRIPE, None] != line[None, lo:]).view(np.uint8)
-            ok &= errors <= MOST_ERRORS
-        u, v = np.nonzero(ok)
-        u, v = a[u].astype(np.int32), b[v].astype(np.int32)
-        for x, y in ((u[k : k + 8192], v[k : k + 8192]) for k in range(0, len(u), 8192)):
-            differ = sig[x] != sig[y]
-            errors = differ.sum(axis=1, dtype=np.uint8)
-            mine = (errors <= MOST_ERRORS) & (first_shared(differ) == (key[x] & 63))
-            found.append((errors[mine], x[mine], y[mine]))
-    e, x, y = (np.concatenate([f[k] for f in found]) for k in range(3))
-    by = np.lexsort((y, x, e))
-    x, y = x[by], y[by]
-    swap = node[x] > node[y]
-    return comp, np.where(swap, y, x), np.where(swap, x, y)
+
+    def parts():
+        found, held_pairs = [], 0
+        for at in range(0, len(node), STRIPE):
+            lo = int(ends[np.searchsorted(ends, at, "right")])  # the first row's component ends there
+            a, b = order[at : at + STRIPE], order[lo:]
+            if not len(b):
+                break
+            ok = (part[a, None] == part[None, b]) & (comp[a, None] != comp[None, b])
+            ok &= np.arange(at, at + len(a))[:, None] < np.arange(lo, len(node))[None, :]
+            ok &= (i[a] == j[a])[:, None] | (block[a, None] != block[None, b])
+            if not ok.any():
+                continue
+            if 8 * ok.sum() >= ok.size:
+                errors = np.zeros(ok.shape, np.uint8)
+                for line in columns:
+                    errors += (line[at : at + STRIPE, None] != line[None, lo:]).view(np.uint8)
+                ok &= errors <= MOST_ERRORS
+            u, v = np.nonzero(ok)
+            u, v = a[u].astype(np.int32), b[v].astype(np.int32)
+            for x, y in ((u[k : k + 8192], v[k : k + 8192]) for k in range(0, len(u), 8192)):
+                differ = sig[x] != sig[y]
+                errors = differ.sum(axis=1, dtype=np.uint8)
+                mine = (errors <= MOST_ERRORS) & (first_shared(differ) == (key[x] & 63))
+                x, y = x[mine], y[mine]
+                swap = node[x] > node[y]
+                found.append((errors[mine], np.where(swap, y, x), np.where(swap, x, y)))
+                held_pairs += len(x)
+                if held_pairs >= HELD_PAIRS:
+                    yield tuple(np.concatenate(f) for f in zip(*found, strict=True))
+                    found, held_pairs = [], 0
+        if held_pairs:
+            yield tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+    return comp, parts()
 
 
 def _forest(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -367,43 +392,54 @@ def _forest(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         comp = smallest_roots(len(first), comp[x[best]], comp[y[best]])[comp]
 
 
-def _likely(members: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` most likely to join components: a forest of each tile's pairs, so a tile gives fewer rows than it has members.
+def _tile_forest(held: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``x, y`` of the forest of all pairs of the tiles; no more than a part of the pairs is held, as a forest of forests is the whole one."""
+    comp, parts = _pairs_of(held)
+    kept = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    for part in parts:
+        errors, x, y = _by_errors(*(np.concatenate(p) for p in zip(kept, part, strict=True)))
+        best = np.sort(_forest(comp, x, y))
+        kept = errors[best], x[best], y[best]
+    return kept[1:]
 
-    ``members``: key, node, bytes, comp, sig.
-    """
+
+def _likely(tiles: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` most likely to join components: a forest of each tile's pairs, so a tile gives fewer rows than it has members."""
 
     def work(held):
-        comp, x, y = _candidates(held)
-        best = _forest(comp, x, y)
+        x, y = _tile_forest(held)
         node = np.array(held[3])
-        yield pa.RecordBatch.from_arrays([pa.array(node[x[best]]), pa.array(node[y[best]])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
-    return _by_tile(_tiles(members), ["node", "comp", "block", "sig"], work, "a long, b long")
+    return _by_tile(tiles, ["node", "comp", "block", "sig"], work, "a long, b long")
 
 
-def _open_members(members: DataFrame) -> DataFrame:
-    """Members of each tile that have a pair there, as ``key, i, j, node, comp, block, sig``: only their texts are needed."""
+def _open_members(tiles: DataFrame) -> DataFrame:
+    """Members of each tile that have a pair there: as components only grow, no other member will have one."""
 
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+    names = ["key", "i", "j", "node", "comp", "block", "sig", "bytes"]
 
     def work(held):
-        _, x, y = _candidates(held)
-        some = np.unique(np.concatenate([x, y])).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array([column[r] for r in some], kind) for column, kind in zip(held, kinds, strict=True)], ["key", "i", "j", "node", "comp", "block", "sig"])
+        open_ = np.zeros(len(held[0]), bool)
+        for _, x, y in _pairs_of([*held[:6], held[7]])[1]:
+            open_[x] = open_[y] = True
+        some = np.flatnonzero(open_).tolist()
+        held = [*held[:6], held[7], held[6]]
+        yield pa.RecordBatch.from_arrays([pa.array([column[r] for r in some], kind) for column, kind in zip(held, kinds, strict=True)], names)
 
-    return _by_tile(_tiles(members), ["node", "comp", "block", "sig"], work, "key long, i int, j int, node long, comp long, block int, sig binary")
+    return _by_tile(tiles, ["node", "comp", "block", "bytes", "sig"], work, "key long, i int, j int, node long, comp long, block int, sig binary, bytes long")
 
 
-def _links_left(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _links_left(tiles: DataFrame, texts, percent: int) -> DataFrame:
     """Links ``a, b`` between components, of all pairs within the allowed errors, confirmed where they are found.
 
-    A pair whose components a link of the same tile has joined needs no look. Only links leave the
-    task, fewer than the tile has members.
+    The members left are dealt out again, by the bytes of their texts. A pair whose components a link of the
+    same tile has joined needs no look. Only links leave the task, fewer than the tile has members.
     """
 
     def work(held):
-        comp, x, y = _candidates(held)
+        comp, parts = _pairs_of(held)
         sets: dict[int, np.ndarray | None] = {}
 
         def set_of(i: int) -> np.ndarray | None:
@@ -413,21 +449,23 @@ def _links_left(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
             return sets[i]
 
         found = []
-        while len(x):
-            live = comp[x] != comp[y]
-            x, y = x[live], y[live]
-            turn = max(1024, len(x) // 16)
-            for i, j in zip(x[:turn].tolist(), y[:turn].tolist(), strict=True):
-                if comp[i] != comp[j]:
-                    s, t = set_of(i), set_of(j)
-                    if s is not None and t is not None and similar(s, t, percent):
-                        comp[comp == comp[j]] = comp[i]
-                        found.append((held[3][i], held[3][j]))
-            x, y = x[turn:], y[turn:]
+        for part in parts:
+            x, y = _by_errors(*part)[1:]
+            while len(x):
+                live = comp[x] != comp[y]
+                x, y = x[live], y[live]
+                turn = max(1024, len(x) // 16)
+                for i, j in zip(x[:turn].tolist(), y[:turn].tolist(), strict=True):
+                    if comp[i] != comp[j]:
+                        s, t = set_of(i), set_of(j)
+                        if s is not None and t is not None and similar(s, t, percent):
+                            comp[comp == comp[j]] = comp[i]
+                            found.append((held[3][i], held[3][j]))
+                x, y = x[turn:], y[turn:]
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    open_ = materialize(_open_members(members), "open_members")
-    rows = open_.join(texts(open_.select("node").distinct()), "node")
+    members = tiles.select("key", "node", "comp", "sig", "bytes").dropDuplicates(["key", "node"])
+    rows = _tiles(members, "bytes").join(texts(tiles.select("node").distinct()), "node")
     return _by_tile(rows, ["node", "comp", "block", "sig", "check", "text"], work, "a long, b long")
 
 
@@ -471,23 +509,30 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     # What the stars leave open: buckets with members in different components. Likely pairs come
     # first, as each link may close many others; the last round leaves none out.
     tried = [stars]
+    tiles = None
     for round_ in range(ROUNDS + 1):
         comp = roots.select("node", F.col("root").alias("comp"))
-        members = buckets.select("key", "node").union(buckets.select("key", F.col("leader").alias("node")).distinct())
-        members = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        members = members.join(mixed.where("k > 2 and lo <> hi").select("key"), "key")
-        members = materialize(members.join(classes.select("node", "sig", "bytes"), "node").select("key", "node", "bytes", "comp", "sig"), "open")
-        spent.append(members)
+        if tiles is None:
+            members = buckets.select("key", "node").union(buckets.select("key", F.col("leader").alias("node")).distinct())
+            members = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            members = members.join(mixed.where("k > 2 and lo <> hi").select("key"), "key")
+            members = materialize(members.join(classes.select("node", "sig", "bytes"), "node").select("key", "node", "bytes", "comp", "sig"), "open")
+            met = _tiles(members, str(2 * POSITIONS))
+        else:
+            met = tiles.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        old, tiles = members if tiles is None else tiles, materialize(_open_members(met), "open_members")
+        discard(old)
         if round_ < ROUNDS:
-            likely = materialize(_likely(members).join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "likely")
+            likely = materialize(_likely(tiles).join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "likely")
             more = _confirmed(likely, texts, percent)
             tried.append(likely)
         else:
-            more = _links_left(members, texts, percent)
+            more = _links_left(tiles, texts, percent)
         old, links = (links, roots), found(links.union(more), "all_links")
         discard(*old)
         roots = connected_components(links)
+    discard(tiles)
 
     placed = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -288,7 +288,7 @@ pr AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT * FROM n SEMI JOIN few
 SELECT a, b FROM ex UNION SELECT a, b FROM pr""")
 def lsh_retrieve(spark, sf_dir):
     """Exact hits, and probes for documents with fewer than five."""
-    return retrieve.lsh_candidates(cut(_sketches(spark, sf_dir).select("id", "sketch"), "sketches"), "id", _BANDS, _ROWS)
+    return retrieve.lsh_candidates(_sketches(spark, sf_dir).select("id", "sketch"), "id", _BANDS, _ROWS)
 
 
 _INDICATOR_PAIRS = f"""{_USES}, u AS (SELECT DISTINCT trace_id, indicator FROM us), n AS (SELECT count(DISTINCT trace_id) AS n FROM u), f AS (SELECT indicator FROM u GROUP BY 1 HAVING count(*) <= greatest(30, 0.001 * (SELECT n FROM n))),
@@ -643,7 +643,8 @@ z AS (SELECT a, b FROM c UNION SELECT x.id, y.id FROM rr x JOIN rr y ON x.w = y.
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM (SELECT * FROM q UNION ALL SELECT b, a, similarity FROM q)) SELECT a, b, similarity, rank::BIGINT AS rank FROM r WHERE rank <= {S.CANDIDATE_CAP}""")
 def retrieval_index(spark, sf_dir):
     """Neighbours of documents by bands and by shared words that are not common."""
-    s = cut(_sketches(spark, sf_dir), "sketches")
+    s = _sketches(spark, sf_dir)
+    s = cut(s.withColumn("sketch", retrieve.packed(s)), "sketches")
     return retrieve.retrieval_index(s.select("id", "sketch"), s.select("id", F.explode("ws").alias("w")), "id", "w", _BANDS, _ROWS)
 
 

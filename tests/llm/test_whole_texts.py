@@ -196,3 +196,48 @@ def test_the_model_is_trained_on_every_text_only(spark, monkeypatch):
     monkeypatch.setattr(lm, "RUN", 1)
     lm.train_model(df, counts, "id", "text", None)
     assert read == [1300]
+
+
+def test_texts_are_encoded_once_for_all_passes(spark):
+    """Ids and counts of one pass are those of the tokenizer and of plain counting, and a pass that reads ids learns what one that reads texts does."""
+    rng = random.Random(5)
+    texts = [text(rng, 50), "Ab-c'd 12,5 Été!! Жa ﬁx", None, "", " \n\t ", text(rng, 400), "same same SAME"]
+    rows = [(i, t, i % 3 != 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string, learnt boolean").coalesce(1)
+    got = lm.encode_texts(df, "text", "learnt", None).collect()
+    tokens, want = WordTokens(), {}
+    for i, t, learnt in rows:
+        words = (t or "").encode().lower().split()
+        ids = next(np.frombuffer(r.ids, "<u2") for r in got if r.id == i)
+        whole = [] if not words else tokens.tokenizer.encode(" ".join(w.decode() for w in words), add_special_tokens=False).ids
+        assert ids.tolist() == [*whole, lm.END_ID]
+        for w in [*words, b""] if learnt else []:
+            want[w.decode()] = want.get(w.decode(), 0) + 1
+    assert {r.word: r.c for r in got if r.word is not None} == want and len(got) == len(rows) + len(want)
+    uni = np.zeros(lm.IDS)
+    uni[:2000] = np.random.default_rng(1).integers(1, 99, 2000)
+    vocabulary, shares = lm.build_vocabulary(uni, np.ones((lm.SIZE, lm.SIZE)))
+    weights = []
+    for rows, ids in ((df, None), (spark.createDataFrame([(r.id, r.ids) for r in got if r.ids], "id long, ids binary").coalesce(1).orderBy("id"), "ids")):
+        scorer = lm.Scorer(vocabulary, lm.Network(shares))
+        lm.read_all(rows, "text", scorer, None, ids_col=ids)
+        weights.append(scorer.network.p)
+    assert all(np.allclose(weights[0][k], weights[1][k], atol=1e-6) for k in weights[0])
+
+
+def test_gradient_of_the_table_and_of_sums_that_overflow():
+    rng = np.random.default_rng(6)
+    net = lm.Network(np.full((lm.SIZE, lm.CLASSES), 1 / lm.CLASSES))
+    net.p = {k: w.astype(np.float64) for k, w in net.p.items()}
+    net.p["scale"][0] = 0.25
+    before, target = rng.integers(0, 4, (2, lm.STRIDE)), rng.integers(0, lm.CLASSES, 2 * lm.STRIDE)
+    first, use = np.array([1, 0], bool), np.ones(2 * lm.STRIDE, bool)
+    g, b = net._gradients(before, first, target, use), int(before[1, 3])
+    c = int(np.abs(g["table"][b]).argmax())
+    z = net.forward(before, first)["z"]
+    share = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True) / len(z)
+    share[np.arange(len(z)), target] -= 1 / len(z)
+    assert g["table"][b, c] == pytest.approx(0.25 * share[before.ravel() == b, c].sum(), rel=1e-6)  # it was four times that
+    net.p["bias"] += 5000.0  # the same model; sums of its exponentials overflow
+    high = net._gradients(before, first, target, use)
+    assert all(np.allclose(high[k], g[k], atol=1e-7) for k in g)

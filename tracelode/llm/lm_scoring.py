@@ -34,7 +34,9 @@ STEPS, PASSES = 700, 8
 #: A pass over all texts: runs of blocks a step, blocks a run, step size, subwords gathered for some steps, and parts that the weights are summed in.
 RUNS, RUN, RATE, GATHER, PARTS = 16, 32, 0.003, 1 << 15, 16
 #: Runs whose gradients are taken at once; the step size falls from the early one to ``RATE`` in so many steps.
-TOGETHER, EARLY_RATE, EARLY = 2, 0.01, 150
+TOGETHER, EARLY_RATE, EARLY = 4, 0.01, 150
+#: Rows of a product over classes that the library takes at once.
+PIECE = 176
 #: Weights that the pass leaves as they are: the table holds counts of all texts.
 COUNTED = ("table",)
 #: Words whose counts every worker holds (16 bytes each), and words a worker numbers before it starts over.
@@ -95,6 +97,9 @@ class Network:
     the window where it is in the second half, with 16 to 31 subwords of context.
     """
 
+    #: ``biased()`` while the gradients of one step are taken.
+    step_biased: np.ndarray | None = None
+
     def __init__(self, class_shares: np.ndarray, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         f = lambda *shape, scale=1.0: (rng.standard_normal(shape) * scale).astype(np.float32)
@@ -131,40 +136,51 @@ class Network:
         z += p["bias"]
         return {"rows": rows, "x": x, "q": q, "k2": k2, "v2": v2, "s": s, "mixed": mixed, "h": h, "z": z}
 
-    def log10_classes(self, before: np.ndarray, first: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log10 p(class) of each place's target: ``forward`` with fewer passes over memory.
+    def _attend(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Queries, keys, values, weights that aren't normalised yet, what they mix, and one over their sum.
 
-        Weights aren't normalised before they are summed; a column of ones beside the values gives
-        their sum. Exponents are taken as they are; the few batches where that overflows go through
-        ``forward``.
+        Queries, keys, values and a one lie beside each other, a row a place. A block's keys are the
+        rows of the block before and its own, so windows overlap in memory and none is copied. The
+        one beside the values gives the sum of the weights, and takes its part in the gradients.
         """
-        p = self.p
-        n = len(before)
-        x = p["embed"][before.ravel()]
-        q, k, v = ((x @ w).reshape(n, STRIDE, -1) for w in (p["q"] * np.float32(WIDTH**-0.5), p["k"], p["v"]))
-        v = np.concatenate([v, np.ones((n, STRIDE, 1), np.float32)], axis=2)
-        keys = np.empty((n, WIDTH, 2 * STRIDE), np.float32)
-        keys[:, :, STRIDE:] = k.transpose(0, 2, 1)
-        keys[1:, :, :STRIDE] = keys[:-1, :, STRIDE:]
-        keys[0, :, :STRIDE] = 0
-        values = np.empty((n, 2 * STRIDE, WIDTH + 1), np.float32)
-        values[:, STRIDE:] = v
-        values[1:, :STRIDE] = v[:-1]
-        values[0, :STRIDE] = 0
-        s = q @ keys
+        p, n, kind = self.p, len(first), x.dtype
+        rows = np.empty((len(x) + STRIDE, 3 * WIDTH + 1), kind)
+        rows[:STRIDE], rows[STRIDE:, -1] = 0, 1
+        np.matmul(x, np.concatenate([p["q"] * kind.type(WIDTH**-0.5), p["k"], p["v"]], axis=1), out=rows[STRIDE:, :-1])
+        across, down = kind.itemsize, rows.strides[0]
+        view = lambda start, at, places, width: np.ndarray((n, places, width), kind, rows, start * down + at * across, (STRIDE * down, down, across))
+        q, k2, v2 = view(STRIDE, 0, STRIDE, WIDTH), view(0, WIDTH, 2 * STRIDE, WIDTH), view(0, 2 * WIDTH, 2 * STRIDE, WIDTH + 1)
+        s = q @ k2.transpose(0, 2, 1)
         s += p["place"] + self.mask
-        s[first, :, :STRIDE] = -1e9
+        np.minimum(s, 40, out=s)
+        np.exp(s, out=s)
+        s[first, :, :STRIDE] = 0
+        mixed = (s @ v2).reshape(-1, WIDTH + 1)
+        over = 1 / mixed[:, WIDTH:]
+        return q, k2, v2, s, mixed[:, :WIDTH] * over, over
+
+    def biased(self) -> np.ndarray:
+        """What the subword before adds to each class, as the weights are now."""
+        return self.p["table"] * self.p["scale"] + self.p["bias"]
+
+    def log10_classes(self, before: np.ndarray, first: np.ndarray, target: np.ndarray, biased: np.ndarray | None = None) -> np.ndarray:
+        """log10 p(class) of each place's target: ``forward`` with fewer passes over memory.
+
+        ``biased`` spares many batches working it out again. Exponents are taken as they are; the few
+        batches where that overflows go through ``forward``.
+        """
+        p, flat = self.p, before.ravel()
+        x = p["embed"].take(flat, 0)
+        *_, mixed, _ = self._attend(x, first)
+        h = mixed @ p["o"]
+        h += x
+        z = _product(h, p["out"])
+        z += (self.biased() if biased is None else biased).take(flat, 0)
+        own = z[np.arange(len(z)), target.ravel()]
         with np.errstate(over="ignore"):
-            np.exp(s, out=s)
-            mixed = (s @ values).reshape(-1, WIDTH + 1)
-            h = (mixed[:, :-1] / mixed[:, -1:]) @ p["o"]
-            h += x
-            z = (p["table"] * p["scale"] + p["bias"])[before.ravel()]
-            z += h @ p["out"]
-            own = z[np.arange(len(z)), target.ravel()]
             np.exp(z, out=z)
-            total = z @ np.ones(z.shape[1], np.float32)
-        if not np.isfinite(total).all():
+            total = z @ np.ones(z.shape[1], z.dtype)
+        if not _sound(total):
             z = self.forward(before, first)["z"].astype(np.float64)
             z -= z.max(axis=1, keepdims=True)
             own, total = z[np.arange(len(z)), target.ravel()], np.exp(z).sum(axis=1)
@@ -196,11 +212,13 @@ class Network:
             begin[:, 0] = True
             use[:, 0] = False
             step, grads, total = step + 1, {}, max(1, use.sum())
+            self.step_biased = self.biased()
             for lo in range(0, len(rows), TOGETHER):  # gradients of a few runs at a time stay in the cache
                 few = rows[lo : lo + TOGETHER].ravel()
                 live_few = use[lo : lo + TOGETHER].ravel()
                 part, share = self._gradients(before[few], begin[lo : lo + TOGETHER].ravel(), target[few].ravel(), live_few, "table" in m), np.float32(live_few.sum() / total)
                 grads = {k: share * g + (grads[k] if grads else 0) for k, g in part.items()}
+            self.step_biased = None
             self._adam(m, grads, step, max(RATE, EARLY_RATE * (1 - step / EARLY)) if early else RATE)
         return step
 
@@ -215,46 +233,91 @@ class Network:
             self.p[k] -= np.float32(rate) * (a / np.float32(1 - 0.9**step)) / (np.sqrt(b / np.float32(1 - 0.99**step)) + np.float32(1e-7))
 
     def _gradients(self, before: np.ndarray, first: np.ndarray, target: np.ndarray, use: np.ndarray, table: bool = True) -> dict:
-        p, f = self.p, self.forward(before, first)
-        n, flat = len(before), before.ravel()
-        z = np.minimum(f["z"], 60, out=f["z"])
-        np.exp(z, out=z)
-        weight = (use / max(1, use.sum())).astype(np.float32)
-        z *= (weight / np.maximum(z @ np.ones(CLASSES, np.float32), 1e-30))[:, None]
-        z[np.arange(len(z)), target] -= weight
-        g = {"out": f["h"].T @ z, "bias": z.sum(axis=0), "scale": (z.ravel() @ f["rows"].ravel())[None]}
+        p, n, flat = self.p, len(before), before.ravel()
+        kind = p["embed"].dtype
+        x = p["embed"].take(flat, 0)
+        q, k2, v2, s, mixed, over = self._attend(x, first)
+        h = mixed @ p["o"]
+        h += x
+        z = _product(h, p["out"])
+        rows = (self.biased() if self.step_biased is None else self.step_biased).take(flat, 0)
+        z += rows
+        with np.errstate(over="ignore"):
+            np.exp(z, out=z)
+            total = z @ np.ones(CLASSES, kind)
+        if not _sound(total):
+            z = h @ p["out"] + rows
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            total = z @ np.ones(CLASSES, kind)
+        # z less its total at the target, times the share, is the gradient of the loss; the share goes to what z meets
+        share = (use / max(1, use.sum())).astype(kind) / total
+        z[np.arange(len(z)), target] -= total
+        g = {"out": _product_over_rows(h * share[:, None], z), "bias": share @ z}
+        if abs(p["scale"][0]) > 0.01:  # the table's rows are the biased ones less the bias, over the scale
+            g["scale"] = (share @ np.einsum("ij,ij->i", z, rows) - g["bias"] @ p["bias"]) / p["scale"]
+        else:
+            g["scale"] = (share @ np.einsum("ij,ij->i", z, p["table"].take(flat, 0)))[None]
         if table:
-            g["table"] = _rows_added(flat, z)
-        dh = z @ p["out"].T
-        g["o"] = f["mixed"].T @ dh
-        dmixed = (dh @ p["o"].T).reshape(n, STRIDE, WIDTH)
-        ds = dmixed @ f["v2"].transpose(0, 2, 1)
-        dv2 = f["s"].transpose(0, 2, 1) @ dmixed
-        ds = f["s"] * (ds - (ds * f["s"]).sum(axis=2, keepdims=True))
-        g["place"] = ds.sum(axis=0)
-        ds *= np.float32(WIDTH**-0.5)
-        dq = ds @ f["k2"]
-        dk2 = ds.transpose(0, 2, 1) @ f["q"]
-        dk, dv = (np.ascontiguousarray(a[:, STRIDE:]) for a in (dk2, dv2))
-        for a, b in ((dk, dk2), (dv, dv2)):
-            a[:-1] += b[1:, :STRIDE]
-        dx = dh.copy()
-        for w, d in (("q", dq), ("k", dk), ("v", dv)):
-            d = d.reshape(-1, WIDTH)
-            g[w] = f["x"].T @ d
-            dx += d @ p[w].T
-        g["embed"] = _rows_added(flat, dx)
+            g["table"] = _rows_added(flat, z * share[:, None]) * p["scale"]
+        dh = _product(z, np.ascontiguousarray(p["out"].T))
+        dh *= share[:, None]
+        g["o"] = mixed.T @ dh
+        dmixed = dh @ p["o"].T
+        d = np.empty((len(x), WIDTH + 1), kind)
+        np.multiply(dmixed, over, out=d[:, :WIDTH])
+        d[:, WIDTH] = -np.einsum("ij,ij->i", d[:, :WIDTH], mixed)
+        d = d.reshape(n, STRIDE, WIDTH + 1)
+        ds = d @ v2.transpose(0, 2, 1)
+        ds *= s
+        g["place"] = (np.ones(n, kind) @ ds.reshape(n, -1)).reshape(STRIDE, 2 * STRIDE)
+        scale = kind.type(WIDTH**-0.5)
+        for w, got in (("q", ds @ k2), ("k", _given_back(ds, q)), ("v", _given_back(s, d[:, :, :WIDTH]))):
+            got, w_scale = got.reshape(-1, WIDTH), scale if w == "q" else kind.type(1)
+            g[w] = (x.T @ got) * w_scale
+            dh += got @ (p[w].T * w_scale)
+        g["embed"] = _rows_added(flat, dh)
         return g
 
 
+def _sound(total: np.ndarray) -> bool:
+    """Sums of exponentials that neither overflowed nor vanished."""
+    return 1e-30 < total.min() and total.max() < np.inf
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` in pieces of rows for which the library needs no copies."""
+    out, whole = np.empty((len(a), b.shape[1]), a.dtype), len(a) // PIECE * PIECE
+    if whole:
+        np.matmul(a[:whole].reshape(-1, PIECE, a.shape[1]), b, out=out[:whole].reshape(-1, PIECE, b.shape[1]))
+    if whole < len(a):
+        np.matmul(a[whole:], b, out=out[whole:])
+    return out
+
+
+def _product_over_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b`` in pieces of rows, added up."""
+    whole = len(a) // PIECE * PIECE
+    out = a[whole:].T @ b[whole:]
+    if whole:
+        out += (a[:whole].reshape(-1, PIECE, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, PIECE, b.shape[1])).sum(axis=0)
+    return out
+
+
+def _given_back(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """What each block's places get from the windows that they are in: their own and the next block's."""
+    out = weights[:, :, STRIDE:].transpose(0, 2, 1) @ rows
+    out[:-1] += weights[1:, :, :STRIDE].transpose(0, 2, 1) @ rows[1:]
+    return out
+
+
 def _rows_added(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of the rows of each number."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.diff(at, prepend=-1))
-    out = np.zeros((SIZE, rows.shape[1]), rows.dtype)
-    out[at[starts]] = np.add.reduceat(rows[order], starts, axis=0)
-    return out
+    width = rows.shape[1]
+    cells = (at.astype(np.intp) * width)[:, None] + np.arange(width)
+    out = np.zeros(SIZE * width, rows.dtype)
+    np.add.at(out, cells.ravel(), rows.ravel())
+    return out.reshape(SIZE, width)
 
 
 def blocks_of(numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,10 +360,10 @@ class Scorer:
         target = np.zeros(before.size, np.int8)
         target[place] = v.class_of[numbers]
         target = target.reshape(before.shape)
-        out = np.empty(before.size, np.float32)
+        out, biased = np.empty(before.size, np.float32), self.network.biased()
         for at in range(0, len(before), step):
             lo = max(0, at - 1)
-            got = self.network.log10_classes(before[lo : at + step], first[lo : at + step], target[lo : at + step])
+            got = self.network.log10_classes(before[lo : at + step], first[lo : at + step], target[lo : at + step], biased)
             out[at * STRIDE : (at + step) * STRIDE] = got[(at - lo) * STRIDE :]
         each = out[place].astype(np.float64) + v.within[previous, numbers] + v.rest[ids]
         return np.add.reduceat(each, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
@@ -312,21 +375,16 @@ def _hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-class _Words(dict):
-    """Numbers words as they come; a batch's new words are looked up together."""
+class _Numbers(dict):
+    """Numbers words as they come; a batch's new words are looked up together by ``settle``."""
 
-    def __init__(self, hot: np.ndarray, logs: np.ndarray, tokens: WordTokens) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.hot, self.logs_of_hot, self.tokens = hot, logs, tokens
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.new: list[bytes] = []
-        self.hashes = np.zeros(0, np.int64)
-        self.logs = np.zeros(0)  # log10(count + 1), or nan where the word is not hot
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -334,41 +392,116 @@ class _Words(dict):
         return n
 
     def settle(self) -> None:
-        if not self.new:
-            return
-        h = np.array([_hash(w) for w in self.new], np.int64)
+        if self.new:
+            self.look_up(self.new)
+            self.new = []
+
+    def look_up(self, words: list[bytes]) -> None:
+        raise NotImplementedError
+
+    def numbers(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of texts, lower-cased in A-Z, end to end; how many words each text has."""
+        words = [x.lower().split() if x else [] for x in texts]
+        n = np.array([len(w) for w in words], np.int64)
+        at = np.fromiter((i for w in words for i in map(self.__getitem__, w)), np.int64, int(n.sum()))
+        self.settle()
+        return at, n
+
+
+class _Logs(_Numbers):
+    """Hashes, and log10(count + 1), or nan where a word is not hot."""
+
+    def __init__(self, hot: np.ndarray, logs: np.ndarray) -> None:
+        self.hot, self.logs_of_hot = hot, logs
+        super().__init__()
+
+    def reset(self) -> None:
+        super().reset()
+        self.hashes, self.logs = np.zeros(0, np.int64), np.zeros(0)
+
+    def look_up(self, words: list[bytes]) -> None:
+        h = np.array([_hash(w) for w in words], np.int64)
         at = np.minimum(np.searchsorted(self.hot, h), max(len(self.hot) - 1, 0))
         logs = np.where(self.hot[at] == h, self.logs_of_hot[at], np.nan) if len(self.hot) else np.full(len(h), np.nan)
-        ids = [self.tokens[w.decode("utf-8", "replace")] for w in self.new]
-        ends = np.cumsum([len(x) // 4 for x in ids]) + self.starts[-1]
         self.hashes, self.logs = np.concatenate([self.hashes, h]), np.concatenate([self.logs, logs])
-        self.ids, self.starts = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")]), np.concatenate([self.starts, ends])
-        self.new = []
 
 
-def word_counts(training: DataFrame, text_col: str) -> DataFrame:
-    """``word, c`` over all texts: words lower-cased in A-Z, and the end of each text as the empty word."""
+class _Ids(_Numbers):
+    """Subword ids, and how often a word was counted."""
 
-    def run(batches):
-        from collections import Counter
+    def __init__(self, tokens: WordTokens) -> None:
+        self.tokens = tokens
+        super().__init__()
+
+    def reset(self) -> None:
+        super().reset()
+        self.ids, self.starts, self.counts = np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def look_up(self, words: list[bytes]) -> None:
+        flat, lengths = self.tokens.encode_words([w.decode("utf-8", "replace") for w in words])
+        self.ids = np.concatenate([self.ids, np.frombuffer(flat, np.uint32).astype(np.uint16)])
+        self.starts = np.concatenate([self.starts, np.cumsum(lengths) + self.starts[-1]])
+        self.counts = np.concatenate([self.counts, np.zeros(len(words), np.int64)])
+
+    def encode(self, texts: list[bytes | None], counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts end to end, each with its end, and where each ends; counts the words of the texts marked."""
+        at, n = self.numbers(texts)
+        self.counts += np.bincount(at[np.repeat(counted, n)], minlength=len(self.counts))
+        size = self.starts[at + 1] - self.starts[at]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.starts[at] - upto[:-1], size) + np.arange(upto[-1])]
+        ends = upto[np.cumsum(n)]
+        return np.insert(ids, ends, END_ID), ends + np.arange(1, len(n) + 1)
+
+
+def encode_texts(rows: DataFrame, text_col: str, counted: str | None, tokenizer: str | None) -> DataFrame:
+    """Each row with ``ids``, its text's subwords and end as 16-bit numbers; and rows ``word, c`` that have nothing else.
+
+    The latter count, task by task, the words of texts that ``counted`` marks (all, if None): words
+    lower-cased in A-Z, and the end of each text as the empty word. So a text is cut into words and
+    subwords once, and no later pass over the training texts does it again.
+    """
+    rows = rows.withColumn(text_col, F.col(text_col).cast("binary"))
+    where, mark = rows.columns.index(text_col), rows.columns.index(counted) if counted else None
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema), T.StructField("ids", T.BinaryType()), T.StructField("word", T.StringType()), T.StructField("c", T.LongType())])
 
-        seen: Counter = Counter()
+    def run(batches):
+        known, ends, kinds = _Ids(WordTokens(tokenizer)), 0, None
 
-        def rows():
-            words = pa.array(list(seen), pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([words, pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+        def words():
+            some = np.flatnonzero(known.counts)
+            names = list(known)
+            texts = [b"", *(names[i] for i in some)] if ends else [names[i] for i in some]
+            c = np.concatenate([[ends] if ends else [], known.counts[some]]).astype(np.int64)
+            columns = [*(pa.nulls(len(c), k) for k in kinds), pa.nulls(len(c), pa.binary()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(c)]
+            return pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
         for batch in batches:
-            for part in slices(batch, text=0):
-                for text in part.column(0).to_pylist():
-                    seen.update((text or b"").lower().split())
-                    seen[b""] += 1
-                if len(seen) > 400_000:
-                    yield rows()
-                    seen.clear()
-        yield rows()
+            kinds = [c.type for c in batch.columns]
+            for part in slices(batch, text=where):
+                marks = np.ones(part.num_rows, bool) if mark is None else part.column(mark).to_numpy(zero_copy_only=False).astype(bool)
+                ids, upto = known.encode(part.column(where).to_pylist(), marks)
+                ends += int(marks.sum())
+                offsets = np.concatenate([[0], upto * 2]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([*part.columns, packed, pa.nulls(part.num_rows, pa.string()), pa.nulls(part.num_rows, pa.int64())], schema.fieldNames())
+                if len(known) > 400_000:
+                    yield words()
+                    known.reset()
+                    ends = 0
+        if kinds:
+            yield words()
 
-    return training.select(F.col(text_col).cast("binary")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(run, schema)
+
+
+def word_counts(training: DataFrame, text_col: str) -> DataFrame:
+    """``word, c`` over all texts: words lower-cased in A-Z, and the end of each text as the empty word."""
+    return _summed(encode_texts(training.select(text_col), text_col, None, None))
+
+
+def _summed(encoded: DataFrame) -> DataFrame:
+    return encoded.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _subword_counts(counts: DataFrame, tokenizer: str | None) -> DataFrame:
@@ -393,8 +526,8 @@ def _subword_counts(counts: DataFrame, tokenizer: str | None) -> DataFrame:
     return counts.select("word", "c").mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
-def train_model(documents: DataFrame, counts: DataFrame, id_col: str, text_col: str, tokenizer: str | None) -> Scorer:
-    """Vocabulary and tables from counts of all training words; the network from all training texts.
+def train_model(documents: DataFrame, counts: DataFrame, id_col: str, text_col: str, tokenizer: str | None, ids_col: str | None = None) -> Scorer:
+    """Vocabulary and tables from counts of all training words; the network from all training texts, or their ids in ``ids_col``.
 
     To the driver come one row per subword id, one per pair of numbered subwords (about a million at
     most), and the network's weights.
@@ -419,7 +552,7 @@ def train_model(documents: DataFrame, counts: DataFrame, id_col: str, text_col:
     discard(pairs)
     passes = int(np.clip(np.ceil(STEPS * RUNS * RUN * STRIDE / max(1.0, unigrams.sum())), 1, PASSES))
     for at in range(passes):
-        read_all(documents, text_col, scorer, tokenizer, at == 0)
+        read_all(documents, text_col, scorer, tokenizer, at == 0, ids_col)
     return scorer
 
 
@@ -433,9 +566,11 @@ def even_share(lengths: list[int], total: int) -> int:
     return max(left, default=1)
 
 
-def read_all(training: DataFrame, text_col: str, scorer: Scorer, tokenizer: str | None, early: bool = False) -> None:
+def read_all(training: DataFrame, text_col: str, scorer: Scorer, tokenizer: str | None, early: bool = False, ids_col: str | None = None) -> None:
     """One pass of every training text, whole, through the network, which tunes all weights but ``COUNTED``.
 
+    ``ids_col`` holds the texts' ids as ``encode_texts`` gives them; without it texts are encoded here.
+
     Tasks start from the same weights; where they end is averaged, weighted by the subwords read,
     in ``PARTS`` sums, so that only the average comes to the driver.
     """
@@ -444,22 +579,15 @@ def read_all(training: DataFrame, text_col: str, scorer: Scorer, tokenizer: str
     names = sorted(set(scorer.network.p) - set(COUNTED))
 
     def run(batches):
-        model, tokens = shared.value, WordTokens(tokenizer)
+        model = shared.value
         network = Network.__new__(Network)
         network.mask, network.p = model.network.mask, {k: w.copy() for k, w in model.network.p.items()}
         m, step, seen = network.moments(*COUNTED), 0, 0
-        end = END_ID.to_bytes(4, "little")
-        ids, held, known = [], 0, {}
+        ids, held = [], 0
         for batch in batches:
             for part in slices(batch, text=0):
-                if len(known) > MOST_WORDS:
-                    known = {}
-                for text in part.column(0).to_pylist():
-                    words = (text or b"").lower().split()
-                    for w in words:
-                        if w not in known:
-                            known[w] = tokens[w.decode("utf-8", "replace")]
-                    ids.append(np.frombuffer(b"".join(map(known.__getitem__, words)) + end, "<u4"))
+                for x in part.column(0).to_pylist():
+                    ids.append(np.frombuffer(x, "<u2"))
                     held += len(ids[-1])
                     if held >= GATHER:
                         step, seen = network.read(*model.lessons(ids), m, step, early=early), seen + held
@@ -476,7 +604,8 @@ def read_all(training: DataFrame, text_col: str, scorer: Scorer, tokenizer: str
         return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "seen": pa.array([sum(rows.column("seen").to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     kinds = "part int, seen long, sums binary"
-    got = sorted(training.select(F.col(text_col).cast("binary")).mapInArrow(run, kinds).groupBy("part").applyInArrow(add, kinds).collect(), key=lambda r: r.part)
+    encoded = training.select(ids_col) if ids_col else encode_texts(training.select(text_col), text_col, None, tokenizer).where(F.col("ids").isNotNull()).select("ids")
+    got = sorted(encoded.mapInArrow(run, kinds).groupBy("part").applyInArrow(add, kinds).collect(), key=lambda r: r.part)
     if got:
         mean, at = np.concatenate([np.frombuffer(r.sums) for r in got]) / got[0].seen, 0
         for k in names:
@@ -499,9 +628,11 @@ def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     no training rows counts are 0, and the model knows no subword; an empty table gives an empty
     result. Extra columns, whatever their names, are not read.
     """
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (fold(F.col(id_col), modulus) == held).alias("held_out"))
-    training = rows.where(~F.col("held_out"))
-    counts = materialize(word_counts(training, "text").select("word", "c", F.xxhash64("word").alias("h")), "words")
+    held_out = fold(F.col(id_col), modulus) == held
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out"), (~held_out).alias("learnt"))
+    encoded = materialize(encode_texts(rows, "text", "learnt", tokenizer), "encoded")
+    texts = encoded.where(F.col("ids").isNotNull())
+    counts = materialize(_summed(encoded).select("word", "c", F.xxhash64("word").alias("h")), "words")
     n_all, n_distinct, n_end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("c"))), F.lit(0))).first()
     # the least count of which the words fit the broadcast, in steps of an eighth of a power of two
     step = F.floor(F.log2("c") * 8)
@@ -513,40 +644,33 @@ def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             break
         least = b.least
     hot = counts.where(F.col("c") >= least).select("h", "c").toPandas().sort_values("h")
-    scorer = train_model(training, counts, "id", "text", tokenizer)
+    scorer = train_model(texts.where("learnt"), counts, "id", "text", tokenizer, "ids")
     shared = documents.sparkSession.sparkContext.broadcast((hot.h.to_numpy(np.int64), np.log10(hot.c.to_numpy(np.float64) + 1), scorer))
     end_log = float(np.log10(n_end + 1))
     schema = T.StructType([T.StructField("id", documents.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_hot", T.LongType()), T.StructField("hot_sum", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))])
 
     def run(batches):
         hashes, logs, model = shared.value
-        known = _Words(hashes, logs, WordTokens(tokenizer))
+        known = _Logs(hashes, logs)
         for batch in batches:
             for part in slices(batch, 128, text=1):
                 if len(known) > MOST_WORDS:
                     known.reset()
-                words = [x.lower().split() if x else [] for x in part.column(1).to_pylist()]
-                n = np.array([len(w) for w in words], np.int64)
-                at = np.fromiter((i for w in words for i in map(known.__getitem__, w)), np.int64, int(n.sum()))
-                known.settle()
+                at, n = known.numbers(part.column(1).to_pylist())
                 edge = np.concatenate([[0], np.cumsum(n)])
                 found = known.logs[at]
                 rare = np.isnan(found)
                 sums = np.concatenate([[0.0], np.cumsum(np.where(rare, 0.0, found))])
                 cold = np.concatenate([[0], np.cumsum(rare)])
-                size = known.starts[at + 1] - known.starts[at]
-                upto = np.concatenate([[0], np.cumsum(size)])
-                subwords = known.ids[np.repeat(known.starts[at] - upto[:-1], size) + np.arange(upto[-1])]
-                ends = upto[edge[1:]]
-                ids = np.insert(subwords, ends, END_ID)
-                lengths = np.diff(np.concatenate([[0], ends])) + 1
-                score = model.score(ids, lengths)
+                packed = part.column(3).to_pylist()
+                score = model.score(np.frombuffer(b"".join(packed), "<u2").astype(np.intp), np.array([len(x) // 2 for x in packed]))
                 rare_of = pa.ListArray.from_arrays(pa.array(cold[edge], pa.int32()), pa.array(known.hashes[at[rare]], pa.int64()))
                 columns = [part.column(0), part.column(2), pa.array(n + 1), pa.array(n - np.diff(cold[edge]) + (n_end > 0)), pa.array(np.diff(sums[edge]) + end_log), pa.array(score), rare_of]
                 yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    scored = rows.select("id", F.col("text").cast("binary"), "held_out").mapInArrow(run, schema)
+    scored = texts.select("id", "text", "held_out", "ids").mapInArrow(run, schema)
     scored = materialize(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
+    discard(encoded)
     rare = scored.select("uid", F.explode("rare").alias("h")).join(counts.where((F.col("c") < least) & (F.col("word") != "")).select("h", "c"), "h")
     rare = rare.groupBy("uid").agg(F.count(F.lit(1)).alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("rare_sum"))
     out = scored.drop("rare").join(rare, "uid", "left")

@@ -67,6 +67,22 @@ class WordTokens(dict):
             self[word] = ids
         return ids
 
+    def encode_words(self, words: list[str]) -> tuple[array, list[int]]:
+        """Ids of words that the caller keeps, end to end, and how many each has; only what isn't letters is kept here."""
+        flat, lengths = array("I"), []
+        for word in words:
+            at = len(flat)
+            letters = word.rstrip(_MARKS)
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):
+                lower = letters.lower()
+                flat.extend([t.id for t in self.model(lower if lower.isascii() else lower.translate(self.alphabet))])
+                if len(letters) < len(word):
+                    flat.frombytes(self._part(word[len(letters) :]))
+            else:
+                flat.extend(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            lengths.append(len(flat) - at)
+        return flat, lengths
+
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:

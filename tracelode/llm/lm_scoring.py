@@ -10,6 +10,7 @@ task by task, and averaged.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, fold, materialize, slices
+from .common import batches_of, discard, fold, materialize, slices
 from .tokens import WordTokens
 
 #: Subwords known one by one; the others share one number and are told apart by their counts.
@@ -34,13 +35,15 @@ STEPS, PASSES = 700, 8
 #: A pass over all texts: runs of blocks a step, blocks a run, step size, subwords gathered for some steps, and parts that the weights are summed in.
 RUNS, RUN, RATE, GATHER, PARTS = 16, 32, 0.003, 1 << 15, 16
 #: Runs whose gradients are taken at once; the step size falls from the early one to ``RATE`` in so many steps.
-TOGETHER, EARLY_RATE, EARLY = 4, 0.01, 150
+TOGETHER, EARLY_RATE, EARLY = 2, 0.01, 150
 #: Rows of a product over classes that the library takes at once.
 PIECE = 176
 #: Weights that the pass leaves as they are: the table holds counts of all texts.
 COUNTED = ("table",)
 #: Words whose counts every worker holds (16 bytes each), and words a worker numbers before it starts over.
-HOT_WORDS, MOST_WORDS = 300_000, 500_000
+HOT_WORDS, MOST_WORDS = 300_000, 400_000
+#: Texts handed to Python at a time: their ids and hashes take more room than the texts.
+BATCH = 1024
 
 
 @dataclass
@@ -375,16 +378,19 @@ def _hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-class _Numbers(dict):
-    """Numbers words as they come; a batch's new words are looked up together by ``settle``."""
+class _Words(dict):
+    """Numbers words as they come; a batch's new words are looked up together: hashes, subword ids, and how often each was counted."""
 
-    def __init__(self) -> None:
+    def __init__(self, tokens: WordTokens) -> None:
         super().__init__()
+        self.tokens = tokens
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.new: list[bytes] = []
+        self.hashes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -392,104 +398,71 @@ class _Numbers(dict):
         return n
 
     def settle(self) -> None:
-        if self.new:
-            self.look_up(self.new)
-            self.new = []
-
-    def look_up(self, words: list[bytes]) -> None:
-        raise NotImplementedError
+        if not self.new:
+            return
+        flat, lengths = self.tokens.encode_words([w.decode("utf-8", "replace") for w in self.new])
+        self.ids = np.concatenate([self.ids, np.frombuffer(flat, np.uint32).astype(np.uint16)])
+        self.starts = np.concatenate([self.starts, np.cumsum(lengths) + self.starts[-1]])
+        self.hashes = np.concatenate([self.hashes, np.array([_hash(w) for w in self.new], np.int64)])
+        self.counts = np.concatenate([self.counts, np.zeros(len(self.new), np.int64)])
+        self.new = []
 
-    def numbers(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of texts, lower-cased in A-Z, end to end; how many words each text has."""
+    def encode(self, texts: list[bytes | None], counted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts end to end, each with its end, where each ends, hashes of the words, where each ends; counts the words of the texts marked."""
         words = [x.lower().split() if x else [] for x in texts]
         n = np.array([len(w) for w in words], np.int64)
-        at = np.fromiter((i for w in words for i in map(self.__getitem__, w)), np.int64, int(n.sum()))
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
         self.settle()
-        return at, n
-
-
-class _Logs(_Numbers):
-    """Hashes, and log10(count + 1), or nan where a word is not hot."""
-
-    def __init__(self, hot: np.ndarray, logs: np.ndarray) -> None:
-        self.hot, self.logs_of_hot = hot, logs
-        super().__init__()
-
-    def reset(self) -> None:
-        super().reset()
-        self.hashes, self.logs = np.zeros(0, np.int64), np.zeros(0)
-
-    def look_up(self, words: list[bytes]) -> None:
-        h = np.array([_hash(w) for w in words], np.int64)
-        at = np.minimum(np.searchsorted(self.hot, h), max(len(self.hot) - 1, 0))
-        logs = np.where(self.hot[at] == h, self.logs_of_hot[at], np.nan) if len(self.hot) else np.full(len(h), np.nan)
-        self.hashes, self.logs = np.concatenate([self.hashes, h]), np.concatenate([self.logs, logs])
-
-
-class _Ids(_Numbers):
-    """Subword ids, and how often a word was counted."""
-
-    def __init__(self, tokens: WordTokens) -> None:
-        self.tokens = tokens
-        super().__init__()
-
-    def reset(self) -> None:
-        super().reset()
-        self.ids, self.starts, self.counts = np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def look_up(self, words: list[bytes]) -> None:
-        flat, lengths = self.tokens.encode_words([w.decode("utf-8", "replace") for w in words])
-        self.ids = np.concatenate([self.ids, np.frombuffer(flat, np.uint32).astype(np.uint16)])
-        self.starts = np.concatenate([self.starts, np.cumsum(lengths) + self.starts[-1]])
-        self.counts = np.concatenate([self.counts, np.zeros(len(words), np.int64)])
-
-    def encode(self, texts: list[bytes | None], counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts end to end, each with its end, and where each ends; counts the words of the texts marked."""
-        at, n = self.numbers(texts)
         self.counts += np.bincount(at[np.repeat(counted, n)], minlength=len(self.counts))
         size = self.starts[at + 1] - self.starts[at]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.starts[at] - upto[:-1], size) + np.arange(upto[-1])]
-        ends = upto[np.cumsum(n)]
-        return np.insert(ids, ends, END_ID), ends + np.arange(1, len(n) + 1)
+        word_ends = np.cumsum(n)
+        ends = upto[word_ends]
+        return np.insert(ids, ends, END_ID), ends + np.arange(1, len(n) + 1), self.hashes[at], word_ends
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Values end to end as one binary value a text."""
+    offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
 def encode_texts(rows: DataFrame, text_col: str, counted: str | None, tokenizer: str | None) -> DataFrame:
-    """Each row with ``ids``, its text's subwords and end as 16-bit numbers; and rows ``word, c`` that have nothing else.
+    """Each row without its text, with ``ids``, the text's subwords and end as 16-bit numbers, and ``hashes`` of its words; and rows ``word, c`` that have nothing else.
 
     The latter count, task by task, the words of texts that ``counted`` marks (all, if None): words
     lower-cased in A-Z, and the end of each text as the empty word. So a text is cut into words and
-    subwords once, and no later pass over the training texts does it again.
+    subwords once, and no later pass does it again.
     """
-    rows = rows.withColumn(text_col, F.col(text_col).cast("binary"))
-    where, mark = rows.columns.index(text_col), rows.columns.index(counted) if counted else None
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema), T.StructField("ids", T.BinaryType()), T.StructField("word", T.StringType()), T.StructField("c", T.LongType())])
+    kept = [F.col(c) for c in rows.columns if c != text_col]
+    rows = rows.select(F.col(text_col).cast("binary"), *kept)
+    mark = rows.columns.index(counted) if counted else None
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema[1:]), T.StructField("ids", T.BinaryType()), T.StructField("hashes", T.BinaryType()), T.StructField("word", T.StringType()), T.StructField("c", T.LongType())])
 
     def run(batches):
-        known, ends, kinds = _Ids(WordTokens(tokenizer)), 0, None
+        known, ends, kinds = _Words(WordTokens(tokenizer)), 0, []
 
         def words():
-            some = np.flatnonzero(known.counts)
-            names = list(known)
-            texts = [b"", *(names[i] for i in some)] if ends else [names[i] for i in some]
+            some, names = np.flatnonzero(known.counts), list(known)
+            texts = [*([b""] if ends else []), *(names[i] for i in some)]
             c = np.concatenate([[ends] if ends else [], known.counts[some]]).astype(np.int64)
-            columns = [*(pa.nulls(len(c), k) for k in kinds), pa.nulls(len(c), pa.binary()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(c)]
+            columns = [*(pa.nulls(len(c), k) for k in [*kinds, pa.binary(), pa.binary()]), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(c)]
             return pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
         for batch in batches:
-            kinds = [c.type for c in batch.columns]
-            for part in slices(batch, text=where):
+            kinds = [c.type for c in batch.columns[1:]]
+            for part in slices(batch, text=0):
                 marks = np.ones(part.num_rows, bool) if mark is None else part.column(mark).to_numpy(zero_copy_only=False).astype(bool)
-                ids, upto = known.encode(part.column(where).to_pylist(), marks)
+                ids, upto, hashes, words_upto = known.encode(part.column(0).to_pylist(), marks)
                 ends += int(marks.sum())
-                offsets = np.concatenate([[0], upto * 2]).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
-                yield pa.RecordBatch.from_arrays([*part.columns, packed, pa.nulls(part.num_rows, pa.string()), pa.nulls(part.num_rows, pa.int64())], schema.fieldNames())
-                if len(known) > 400_000:
+                columns = [*part.columns[1:], _packed(ids.astype("<u2"), upto), _packed(hashes.astype("<i8"), words_upto), pa.nulls(part.num_rows, pa.string()), pa.nulls(part.num_rows, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+                if len(known) > MOST_WORDS:
                     yield words()
                     known.reset()
                     ends = 0
-        if kinds:
+        if known or ends:
             yield words()
 
     return rows.mapInArrow(run, schema)
@@ -512,9 +485,12 @@ def _subword_counts(counts: DataFrame, tokenizer: str | None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 50_000):
                 part = batch.slice(at, 50_000)
-                ids = [tokens[w] if w else END_ID.to_bytes(4, "little") for w in part.column(0).to_pylist()]
-                lengths = np.array([len(x) // 4 for x in ids])
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+                words = part.column(0).to_pylist()
+                flat, lengths = tokens.encode_words([w for w in words if w])
+                lengths, flat = np.array(lengths, np.int64), np.frombuffer(flat, np.uint32).astype(np.int64)
+                if "" in words:  # the end of a text
+                    at = words.index("")
+                    flat, lengths = np.insert(flat, lengths[:at].sum(), END_ID), np.insert(lengths, at, 1)
                 c = np.repeat(part.column(1).to_numpy(), lengths)
                 before = np.concatenate([[-1], flat[:-1]])[: len(flat)]
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -630,7 +606,9 @@ def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     held_out = fold(F.col(id_col), modulus) == held
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out"), (~held_out).alias("learnt"))
-    encoded = materialize(encode_texts(rows, "text", "learnt", tokenizer), "encoded")
+    spark = documents.sparkSession
+    with batches_of(spark, BATCH):
+        encoded = materialize(encode_texts(rows, "text", "learnt", tokenizer), "encoded")
     texts = encoded.where(F.col("ids").isNotNull())
     counts = materialize(_summed(encoded).select("word", "c", F.xxhash64("word").alias("h")), "words")
     n_all, n_distinct, n_end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("c"))), F.lit(0))).first()
@@ -644,32 +622,34 @@ def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             break
         least = b.least
     hot = counts.where(F.col("c") >= least).select("h", "c").toPandas().sort_values("h")
-    scorer = train_model(texts.where("learnt"), counts, "id", "text", tokenizer, "ids")
-    shared = documents.sparkSession.sparkContext.broadcast((hot.h.to_numpy(np.int64), np.log10(hot.c.to_numpy(np.float64) + 1), scorer))
+    with batches_of(spark, BATCH):
+        scorer = train_model(texts.where("learnt"), counts, "id", "text", tokenizer, "ids")
+    shared = spark.sparkContext.broadcast((hot.h.to_numpy(np.int64), np.log10(hot.c.to_numpy(np.float64) + 1), scorer))
     end_log = float(np.log10(n_end + 1))
     schema = T.StructType([T.StructField("id", documents.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_hot", T.LongType()), T.StructField("hot_sum", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))])
 
     def run(batches):
         hashes, logs, model = shared.value
-        known = _Logs(hashes, logs)
         for batch in batches:
-            for part in slices(batch, 128, text=1):
-                if len(known) > MOST_WORDS:
-                    known.reset()
-                at, n = known.numbers(part.column(1).to_pylist())
+            for part in slices(batch, 128, text=2):
+                ids, words = part.column(2).to_pylist(), part.column(3).to_pylist()
+                h = np.frombuffer(b"".join(words), "<i8")
+                n = np.array([len(x) // 8 for x in words], np.int64)
                 edge = np.concatenate([[0], np.cumsum(n)])
-                found = known.logs[at]
-                rare = np.isnan(found)
-                sums = np.concatenate([[0.0], np.cumsum(np.where(rare, 0.0, found))])
+                at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+                rare = hashes[at] != h if len(hashes) else np.ones(len(h), bool)
+                sums = np.zeros(len(h) + 1)
+                sums[1:][~rare] = logs[at[~rare]]
+                sums = np.cumsum(sums)
                 cold = np.concatenate([[0], np.cumsum(rare)])
-                packed = part.column(3).to_pylist()
-                score = model.score(np.frombuffer(b"".join(packed), "<u2").astype(np.intp), np.array([len(x) // 2 for x in packed]))
-                rare_of = pa.ListArray.from_arrays(pa.array(cold[edge], pa.int32()), pa.array(known.hashes[at[rare]], pa.int64()))
-                columns = [part.column(0), part.column(2), pa.array(n + 1), pa.array(n - np.diff(cold[edge]) + (n_end > 0)), pa.array(np.diff(sums[edge]) + end_log), pa.array(score), rare_of]
+                score = model.score(np.frombuffer(b"".join(ids), "<u2").astype(np.intp), np.array([len(x) // 2 for x in ids]))
+                rare_of = pa.ListArray.from_arrays(pa.array(cold[edge], pa.int32()), pa.array(h[rare], pa.int64()))
+                columns = [part.column(0), part.column(1), pa.array(n + 1), pa.array(n - np.diff(cold[edge]) + (n_end > 0)), pa.array(np.diff(sums[edge]) + end_log), pa.array(score), rare_of]
                 yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    scored = texts.select("id", "text", "held_out", "ids").mapInArrow(run, schema)
-    scored = materialize(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
+    scored = texts.select("id", "held_out", "ids", "hashes").mapInArrow(run, schema)
+    with batches_of(spark, BATCH):
+        scored = materialize(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
     discard(encoded)
     rare = scored.select("uid", F.explode("rare").alias("h")).join(counts.where((F.col("c") < least) & (F.col("word") != "")).select("h", "c"), "h")
     rare = rare.groupBy("uid").agg(F.count(F.lit(1)).alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("rare_sum"))
